@@ -20,10 +20,14 @@ def as_flows(flux: DataFrame) -> DataFrame:
     return flux.withColumns({"flow": F.col("weight"), "n_obs": F.lit(1).cast("bigint")})
 
 
-def totals(flows: DataFrame, *keys: str) -> DataFrame:
-    """Weighted total and number of observations per key; NULL is a key of its own."""
+def totals(flows: DataFrame, *keys: str, exact: bool = False) -> DataFrame:
+    """Weighted total and number of observations per key; NULL is a key of its own.
+
+    ``exact`` sums the weights as decimals, for totals that must not depend on the
+    order of rows.
+    """
     return flows.groupBy(*keys).agg(
-        wsum("flow").alias("flow"), F.coalesce(F.sum("n_obs"), F.lit(0)).alias("n_obs")
+        wsum("flow", exact).alias("flow"), F.coalesce(F.sum("n_obs"), F.lit(0)).alias("n_obs")
     )
 
 
@@ -43,14 +47,24 @@ def name_ends(flows: DataFrame, registry: Lookup, *ends: str) -> DataFrame:
     return flows
 
 
-def flow_mart(flux: DataFrame, registry: Lookup) -> DataFrame:
+def flow_mart(flux: DataFrame, registry: Lookup, exact: bool = False) -> DataFrame:
     """Additive pre-aggregate that the other operators can read.
 
     Rows are summed by code before any label is attached: the sum is combined on
     the map side, so a frequent pair costs one row per task in the shuffle, and
     the labels are joined to the small result.
     """
-    return label_ends(totals(as_flows(flux), *MART_KEYS), registry)
+    return label_ends(totals(as_flows(flux), *MART_KEYS, exact=exact), registry)
+
+
+def undirected(flows: DataFrame) -> DataFrame:
+    """Add both ends in text order, so that A to B and B to A share a pair."""
+    return flows.withColumns(
+        {
+            "code_a": F.least("resid_code", "work_code"),
+            "code_b": F.greatest("resid_code", "work_code"),
+        }
+    )
 
 
 def residents_of(flows: DataFrame, members: Lookup) -> DataFrame:
@@ -71,6 +85,21 @@ def touching(flows: DataFrame, members: Lookup) -> DataFrame:
     return label_ends(flows, members).filter(end_inside("resid") | end_inside("work"))
 
 
+def touching_group(labelled: DataFrame, epci: str) -> DataFrame:
+    """``touching`` for flows that already carry the groups of both ends.
+
+    The test is on plain columns, so on the mart it reaches the Parquet scan.
+    Labels of the ends outside the group are blanked.
+    """
+    kept = labelled.filter((F.col("resid_epci") == epci) | (F.col("work_epci") == epci))
+    blanked = {}
+    for end in ("resid", "work"):
+        inside = F.col(f"{end}_epci") == epci
+        for label in ("name", "epci"):
+            blanked[f"{end}_{label}"] = F.when(inside, F.col(f"{end}_{label}"))
+    return kept.withColumns(blanked)
+
+
 def within(labelled: DataFrame, year: int | None = None, epci: str | None = None) -> DataFrame:
     """Flows that stay inside one group, optionally one year and one group."""
     kept = labelled

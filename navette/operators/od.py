@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from navette.functions.modes import MODE_COLUMNS
 from navette.functions.nulls import ratio, row_sum, wsum
+from navette.operators.flows import undirected
 from navette.operators.lookup import Lookup
 from navette.sources.geojson import COORDINATE
 
@@ -65,12 +66,18 @@ def desire_lines(od: DataFrame, centroids: Lookup, start: str, end: str) -> Data
 
 def od_oneway(wide: DataFrame, *by: str) -> DataFrame:
     """A to B and B to A merged into one pair, measures added, missing as 0."""
-    pairs = between_communes(wide)
-    return pairs.groupBy(
-        *by,
-        F.least("resid_code", "work_code").alias("code_a"),
-        F.greatest("resid_code", "work_code").alias("code_b"),
-    ).agg(*[wsum(m).alias(m) for m in MEASURES], wsum("total").alias("total"))
+    pairs = undirected(between_communes(wide))
+    return pairs.groupBy(*by, "code_a", "code_b").agg(
+        *[wsum(m).alias(m) for m in MEASURES], wsum("total").alias("total")
+    )
+
+
+def od_oneway_from_flows(flows: DataFrame, *by: str) -> DataFrame:
+    """The same without the directed wide table, so with one shuffle instead of two.
+
+    A mode no traveller of the pair used is NULL here and 0 in ``od_oneway``.
+    """
+    return od_wide(undirected(between_communes(flows)), *by, "code_a", "code_b")
 
 
 def with_shares(oneway: DataFrame) -> DataFrame:

@@ -11,12 +11,16 @@ from navette.operators.flows import totals
 
 
 def mode_shares(flows: DataFrame, *by: str) -> DataFrame:
-    """Flow per mode with the total of its group and its share of that total.
+    """Flow per mode with the total of its group and its share of that total."""
+    return share_of_total(totals(flows, *by, "mode").drop("n_obs"), *by)
 
-    The total is a window over the aggregated rows. A window group holds one row
-    per mode however large the group was, and NULL keys find their total.
+
+def share_of_total(per_mode: DataFrame, *by: str) -> DataFrame:
+    """Total and share for rows that are already one per ``by`` and mode.
+
+    The total is a window over aggregated rows: a group holds one row per mode
+    however many travellers it has, and NULL keys find their total.
     """
-    per_mode = totals(flows, *by, "mode").drop("n_obs")
     return per_mode.withColumn(
         "total", F.sum("flow").over(Window.partitionBy(*by))
     ).withColumn("share", ratio(F.col("flow"), F.col("total")))

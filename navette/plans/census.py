@@ -17,9 +17,26 @@ from pyspark.sql import functions as F
 from navette.functions.modes import recode_mode
 from navette.operators.flows import as_flows, flow_mart, totals
 from navette.operators.lookup import Lookup
+from navette.sources.delimited import read_delimited
 from navette.sources.geojson import COORDINATE
+from navette.sources.mart import read_mart, write_mart
 from navette.sources.shared import fresh_path
 
+# The columns read from each table, declared so that no file is opened to infer them.
+TABLES = {
+    "lineitem": {
+        "l_orderkey": "BIGINT",
+        "l_suppkey": "BIGINT",
+        "l_linenumber": "INT",
+        "l_quantity": "DOUBLE",
+    },
+    "orders": {"o_orderkey": "BIGINT", "o_custkey": "BIGINT", "o_orderdate": "TIMESTAMP_NTZ"},
+    "customer": {"c_custkey": "BIGINT", "c_nationkey": "INT"},
+    "supplier": {"s_suppkey": "BIGINT", "s_nationkey": "INT"},
+    "nation": {"n_nationkey": "INT", "n_name": "STRING", "n_regionkey": "INT"},
+    "region": {"r_regionkey": "INT", "r_name": "STRING"},
+}
+
 # Measures of side tables and paths of written tables, per application and data set.
 _MEASURED: dict[tuple, tuple[int, int]] = {}
 _WRITTEN: dict[tuple, str] = {}
@@ -30,31 +47,34 @@ class Census:
     spark: SparkSession
     sf_dir: str
 
-    def table(self, name: str, *columns: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").select(*columns)
+    def table(self, name: str) -> DataFrame:
+        schema = ", ".join(f"{column} {kind}" for column, kind in TABLES[name].items())
+        return self.spark.read.schema(schema).parquet(f"{self.sf_dir}/{name}.parquet")
 
     def flux(self, year: int | None = None) -> DataFrame:
         """Survey rows; a given year reaches the scan as a date range.
 
-        Orders meet customers first, so the widest table is shuffled only once
-        on its order key. Side tables too large to broadcast are joined by
-        shuffle, with the partitions of frequent keys split at run time.
+        Orders meet customers first, so the widest table is shuffled once on its
+        order key. Lines and orders both grow with the survey, so that join is a
+        sort-merge join at every size. Customers and suppliers are broadcast only
+        if their files are below the session's threshold; above it they are joined
+        by shuffle, with the partitions of frequent keys split at run time.
         """
-        orders = self.table("orders", "o_orderkey", "o_custkey", "o_orderdate")
+        orders = self.table("orders")
         if year is not None:
             start = F.lit(dt.datetime(year, 1, 1)).cast("timestamp_ntz")
             end = F.lit(dt.datetime(year + 1, 1, 1)).cast("timestamp_ntz")
             orders = orders.filter((F.col("o_orderdate") >= start) & (F.col("o_orderdate") < end))
-        customer = self.table("customer", "c_custkey", "c_nationkey")
-        supplier = self.table("supplier", "s_suppkey", "s_nationkey")
-        lines = self.table("lineitem", "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity")
+        customer = self.table("customer")
+        supplier = self.table("supplier")
+        lines = self.table("lineitem")
         homes = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
             "o_orderkey",
             F.col("c_nationkey").cast("string").alias("resid_code"),
             F.year("o_orderdate").alias("year"),
         )
         return (
-            lines.join(homes, F.col("l_orderkey") == F.col("o_orderkey"))
+            lines.join(homes.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
             .select(
                 "resid_code",
@@ -65,14 +85,16 @@ class Census:
             )
         )
 
-    def flows(self, year: int | None = None) -> DataFrame:
+    def flux_with_mode(self) -> DataFrame:
+        return self.flux().withColumn("mode", recode_mode(F.col("mode_code"), F.col("year")))
+
+    def flows(self) -> DataFrame:
         """Survey rows with their mode label, ready for the operators."""
-        flux = self.flux(year)
-        return as_flows(flux.withColumn("mode", recode_mode(F.col("mode_code"), F.col("year"))))
+        return as_flows(self.flux_with_mode())
 
     def registry_frame(self) -> DataFrame:
-        nation = self.table("nation", "n_nationkey", "n_name", "n_regionkey")
-        region = self.table("region", "r_regionkey", "r_name")
+        nation = self.table("nation")
+        region = self.table("region")
         return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
             F.col("n_nationkey").cast("string").alias("code"),
             F.col("n_name").alias("name"),
@@ -81,7 +103,7 @@ class Census:
 
     def centroid_frame(self) -> DataFrame:
         key = F.col("n_nationkey")
-        return self.table("nation", "n_nationkey").select(
+        return self.table("nation").select(
             key.cast("string").alias("code"),
             (key * F.lit(0.5) - 5).cast(COORDINATE).alias("lon"),
             (key * F.lit(0.25) + 42).cast(COORDINATE).alias("lat"),
@@ -93,6 +115,18 @@ class Census:
         points = self.centroid_frame().select("code", point.alias("wkt"))
         return self.registry_frame().join(points, "code")
 
+    def control(self) -> DataFrame:
+        """Published pair totals, read from a delimited file."""
+        path = self.written(
+            "control_csv",
+            lambda p: self.control_frame()
+            .write.option("sep", ";")
+            .option("header", True)
+            .csv(p),
+        )
+        types = {"resid_code": "string", "work_code": "string", "published": "double"}
+        return read_delimited(self.spark, path, types)
+
     def control_frame(self) -> DataFrame:
         """Pair totals with known differences: some one too high, some pairs absent."""
         resid, work = F.col("resid_code"), F.col("work_code")
@@ -114,7 +148,14 @@ class Census:
 
     def mart(self) -> DataFrame:
         """The flow mart as a plan over the tables."""
-        return flow_mart(self.flows(), self.registry())
+        return flow_mart(self.flux_with_mode(), self.registry())
+
+    def mart_path(self) -> str:
+        return self.written("flow_mart", lambda path: write_mart(self.mart(), path))
+
+    def stored_mart(self) -> DataFrame:
+        """The written flow mart: survey rows are joined and summed only once."""
+        return read_mart(self.spark, self.mart_path())
 
     def written(self, name: str, write) -> str:
         """Path of a table that ``write(path)`` has filled, once per application."""

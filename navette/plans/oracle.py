@@ -327,6 +327,12 @@ GROUP BY ALL ORDER BY flow DESC, resid_name LIMIT 3""",
     "share_by_residence_mode_all": _shares(
         "touching_all", ["year", "epci", "resid_code"], ["resid_name"]
     ),
+    "share_by_residence_mode_from_mart": _shares(
+        "touching", ["year", "resid_code"], ["resid_name"]
+    ),
+    "share_by_residence_intra_all": _labels(
+        "intra", ["year", "epci", "resid_code"], ["resid_name"], "*", SHARE_LABEL
+    ),
     "share_by_work_mode": _shares("touching", ["year", "work_code"], ["work_name"]),
     "share_labels": _labels(
         "touching", ["year", "resid_code"], ["resid_name"], "year, resid_name, mode", SHARE_LABEL
@@ -334,6 +340,13 @@ GROUP BY ALL ORDER BY flow DESC, resid_name LIMIT 3""",
     "od_mode_share": _shares("labelled", ["year", "resid_code", "work_code"], PAIR_NAMES),
     "od_mode_share_from_mart": _shares("labelled", ["year", "resid_code", "work_code"], PAIR_NAMES),
     "od_mode_share_all": _shares("intra", ["year", "epci", "resid_code", "work_code"], PAIR_NAMES),
+    "od_mode_share_selected": _labels(
+        f"(FROM intra WHERE year = {YEAR} AND epci = '{EPCI}')",
+        ["resid_code", "work_code"],
+        PAIR_NAMES,
+        "*",
+        OD_SHARE_LABEL,
+    ),
     "od_share_labels": _labels(
         "intra",
         ["year", "epci", "resid_code", "work_code"],

@@ -82,7 +82,7 @@ def scan_mode_labels(census: Census) -> DataFrame:
     counted = census.flux().groupBy("mode_code").agg(F.count("*").alias("n_obs"))
 
     def write(path: str) -> None:
-        codes = census.table("lineitem", "l_linenumber").distinct()
+        codes = census.table("lineitem").select("l_linenumber").distinct()
         code = F.col("l_linenumber").cast("string")
         listed = codes.select(
             F.lit("TRANS").alias("COD_VAR"),
@@ -105,7 +105,7 @@ def ingest_years_union(census: Census) -> DataFrame:
         cells.write.partitionBy("ANNEE").option("sep", ";").option("header", True).csv(path)
 
     path = census.written("flux_by_year_csv", write)
-    found = census.table("orders", "o_orderdate").select(F.year("o_orderdate").alias("year"))
+    found = census.table("orders").select(F.year("o_orderdate").alias("year"))
     years = sorted(row["year"] for row in found.distinct().collect())
     return delimited.read_flux_years(census.spark, path + "/ANNEE={year}", years)
 
@@ -193,23 +193,19 @@ def geojson_contours(census: Census) -> DataFrame:
     return geojson.named_geometry(geojson.commune_contours(features), census.registry())
 
 
-def _mart_path(census: Census) -> str:
-    return census.written("flow_mart", lambda p: mart.write_mart(census.mart(), p))
-
-
 @query
 def mart_roundtrip(census: Census) -> DataFrame:
-    return mart.read_mart(census.spark, _mart_path(census))
+    return census.stored_mart()
 
 
 @query
 def mart_pruned_scan(census: Census) -> DataFrame:
-    return flows.within(mart.read_mart(census.spark, _mart_path(census)), YEAR, EPCI)
+    return flows.within(census.stored_mart(), YEAR, EPCI)
 
 
 @query
 def mart_build_if_absent(census: Census) -> DataFrame:
-    return mart.build_mart_if_absent(census.spark, _mart_path(census), census.mart)
+    return mart.build_mart_if_absent(census.spark, census.mart_path(), census.mart)
 
 
 # --- registry, labels, selections --------------------------------------------
@@ -240,14 +236,10 @@ def flux_labelled(census: Census) -> DataFrame:
 
 @query
 def recode_modes(census: Census) -> DataFrame:
-    per_code = flows.totals(as_raw_flows(census), "year", "mode_code")
+    per_code = flows.totals(flows.as_flows(census.flux()), "year", "mode_code")
     return delimited.with_mode(per_code)
 
 
-def as_raw_flows(census: Census) -> DataFrame:
-    return flows.as_flows(census.flux())
-
-
 @query
 def flux_residents(census: Census) -> DataFrame:
     return flows.residents_of(census.flux(), census.members(EPCI))
@@ -286,14 +278,14 @@ def _touching_selection(census: Census) -> DataFrame:
 
 
 def _touching_all(census: Census) -> DataFrame:
-    """The same for every group, from the pre-aggregate."""
-    return flows.outsiders_of_group_to_null(flows.by_touched_group(census.mart())).drop(
-        "resid_name", "work_name"
-    )
+    """The same for every group, from the mart."""
+    touched = flows.by_touched_group(census.stored_mart())
+    return flows.outsiders_of_group_to_null(touched).drop("resid_name", "work_name")
 
 
 def _within_all(census: Census) -> DataFrame:
-    return flows.within(census.mart())
+    """Flows of every year inside every group, from the mart."""
+    return flows.within(census.stored_mart())
 
 
 # --- aggregates --------------------------------------------------------------
@@ -381,6 +373,22 @@ def share_by_residence_mode_all(census: Census) -> DataFrame:
     return flows.name_ends(found, census.registry(), "resid")
 
 
+@query
+def share_by_residence_mode_from_mart(census: Census) -> DataFrame:
+    """The same as ``share_by_residence_mode``, read from the written mart."""
+    touched = flows.touching_group(census.stored_mart(), EPCI)
+    found = shares.mode_shares(flows.outsiders_to_null(touched), "year", "resid_code")
+    return flows.name_ends(found, census.members(EPCI), "resid")
+
+
+@query
+def share_by_residence_intra_all(census: Census) -> DataFrame:
+    """Share by home commune of the trips inside every group, with its label."""
+    found = shares.mode_shares(_within_all(census), "year", "epci", "resid_code")
+    labelled = shares.with_share_label(found)
+    return flows.name_ends(labelled, census.registry(), "resid")
+
+
 @query
 def share_by_work_mode(census: Census) -> DataFrame:
     found = shares.mode_shares(_touching_selection(census), "year", "work_code")
@@ -406,24 +414,32 @@ def od_mode_share(census: Census) -> DataFrame:
 @query
 def od_mode_share_from_mart(census: Census) -> DataFrame:
     """The same result from the written mart."""
-    stored = mart.read_mart(census.spark, _mart_path(census))
-    keys = ["year", "resid_code", "work_code"]
-    found = shares.mode_shares(stored.select(*keys, "mode", "flow", "n_obs"), *keys)
-    return flows.name_ends(found, census.registry(), "resid", "work")
+    stored = census.stored_mart()
+    found = shares.share_of_total(stored, "year", "resid_code", "work_code")
+    return found.drop("n_obs", "resid_epci", "work_epci")
 
 
 @query
 def od_mode_share_all(census: Census) -> DataFrame:
     """Modal matrix of every group and year, flows inside the group."""
-    found = shares.mode_shares(_within_all(census), "year", "epci", "resid_code", "work_code")
-    return flows.name_ends(found, census.registry(), "resid", "work")
+    found = shares.share_of_total(_within_all(census), "year", "resid_code", "work_code")
+    return found.drop("n_obs", "resid_epci", "work_epci")
+
+
+@query
+def od_mode_share_selected(census: Census) -> DataFrame:
+    """One request: the modal matrix of the chosen group and year, from the mart."""
+    chosen = flows.within(census.stored_mart(), YEAR, EPCI)
+    found = shares.with_od_share_label(
+        shares.share_of_total(chosen, "resid_code", "work_code")
+    )
+    return found.drop("n_obs", "year", "resid_epci", "work_epci")
 
 
 @query
 def od_share_labels(census: Census) -> DataFrame:
-    found = shares.mode_shares(_within_all(census), "year", "epci", "resid_code", "work_code")
-    labelled = shares.with_od_share_label(found)
-    return flows.name_ends(labelled, census.registry(), "resid", "work").select(
+    found = shares.share_of_total(_within_all(census), "year", "resid_code", "work_code")
+    return shares.with_od_share_label(found).select(
         "year", "epci", "resid_name", "work_name", "mode", "label"
     )
 
@@ -431,18 +447,18 @@ def od_share_labels(census: Census) -> DataFrame:
 @query
 def commune_order(census: Census) -> DataFrame:
     """Display order of the communes of every group and year, all trips counted."""
-    named = census.registry().attach(
-        flows.totals(census.flows(), "year", "resid_code"), "resid_code", {"epci": "epci"}, "inner"
+    living = census.stored_mart().filter(F.col("resid_epci").isNotNull())
+    return ranking.commune_order(
+        living.withColumnRenamed("resid_epci", "epci"), census.registry(), "year", "epci"
     )
-    return ranking.commune_order(named, census.registry(), "year", "epci")
 
 
 @query
 def od_display_order(census: Census) -> DataFrame:
     """Matrix cells of every group and year with the positions of both communes."""
-    inside = flows.totals(_within_all(census), "year", "epci", "resid_code", "work_code", "mode")
+    inside = _within_all(census)
     order = ranking.commune_order(inside, census.registry(), "year", "epci")
-    cells = inside.drop("n_obs")
+    cells = inside.select("year", "epci", "resid_code", "work_code", "mode", "flow")
     return ranking.with_display_order(cells, order, "year", "epci")
 
 
@@ -489,14 +505,8 @@ def od_oneway_shares(census: Census) -> DataFrame:
 
 
 def _oneway_all(census: Census) -> DataFrame:
-    """Undirected pairs inside every group, straight from the pre-aggregate.
-
-    The wide columns are summed under the undirected key at once, so the directed
-    wide table is never shuffled.
-    """
-    ends = {"code_a": F.least("resid_code", "work_code"), "code_b": F.greatest("resid_code", "work_code")}
-    pairs = od.between_communes(_within_all(census)).withColumns(ends)
-    return od.with_shares(od.od_wide(pairs, "year", "epci", "code_a", "code_b"))
+    """Undirected pairs inside every group, from the mart."""
+    return od.with_shares(od.od_oneway_from_flows(_within_all(census), "year", "epci"))
 
 
 @query
@@ -511,11 +521,11 @@ def od_oneway_shares_all(census: Census) -> DataFrame:
 
 @query
 def choropleth_measures(census: Census) -> DataFrame:
-    return classify.choropleth_measures(census.flows(), census.layer())
+    return classify.choropleth_measures(census.stored_mart(), census.layer())
 
 
 def _measures(census: Census) -> DataFrame:
-    measures = classify.choropleth_measures(census.flows(), census.registry())
+    measures = classify.choropleth_measures(census.stored_mart(), census.registry())
     return measures.select("year", "epci", "code", "domicile", "travail")
 
 
@@ -585,4 +595,4 @@ def legend_labels(census: Census) -> DataFrame:
 @query
 def control_total_recon(census: Census) -> DataFrame:
     computed = flows.totals(census.flows(), "resid_code", "work_code")
-    return reconcile.reconcile(computed, census.control_frame())
+    return reconcile.reconcile(computed, census.control())
