@@ -8,7 +8,7 @@ from navette.functions.modes import (
     mode_comparable,
     recode_mode,
 )
-from navette.functions.nulls import in_set, ratio, row_sum, wcount, wsum
+from navette.functions.nulls import in_set, ratio, row_sum, wsum
 
 __all__ = [
     "MODES",
@@ -23,6 +23,5 @@ __all__ = [
     "recode_mode",
     "row_sum",
     "share_label",
-    "wcount",
     "wsum",
 ]

@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The words of the share labels, and what stands for a missing value.
+SHARE_WORDS = "Part modale :"
+TRIPS_WORDS = "Trajets :"
+PERCENT = "%"
+MISSING_TEXT = "NA"
+
+
 def number_text(value: Column, digits: int = 0) -> Column:
     """Rounded number without a trailing ``.0``; a missing number reads ``NA``."""
     if digits == 0:
@@ -13,17 +20,17 @@ def number_text(value: Column, digits: int = 0) -> Column:
     else:
         text = F.format_string(f"%.{digits}f", F.round(value, digits))
         text = F.when(value.isNotNull(), F.regexp_replace(text, r"\.0+$", ""))
-    return F.coalesce(text, F.lit("NA"))
+    return F.coalesce(text, F.lit(MISSING_TEXT))
 
 
 def share_label(part: Column, total: Column, share: Column) -> Column:
     """``Part modale : p % / Trajets : n / t`` over two lines."""
     return F.concat_ws(
         " ",
-        F.lit("Part modale :"),
+        F.lit(SHARE_WORDS),
         number_text(share * 100, 1),
-        F.lit("%"),
-        F.lit("\nTrajets :"),
+        F.lit(PERCENT),
+        F.lit("\n" + TRIPS_WORDS),
         number_text(part),
         F.lit("/"),
         number_text(total),
@@ -34,10 +41,10 @@ def od_share_label(mode: Column, part: Column, total: Column, share: Column) ->
     """The matrix form of the label: the mode first, then share and trips."""
     return F.concat_ws(
         " ",
-        F.coalesce(mode, F.lit("NA")),
-        F.lit("\nPart modale :"),
+        F.coalesce(mode, F.lit(MISSING_TEXT)),
+        F.lit("\n" + SHARE_WORDS),
         number_text(share * 100, 1),
-        F.lit("%\nTrajets :"),
+        F.lit(PERCENT + "\n" + TRIPS_WORDS),
         number_text(part),
         F.lit("/"),
         number_text(total),

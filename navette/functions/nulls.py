@@ -31,11 +31,6 @@ def wsum(weight: Column | str, exact: bool = False) -> Column:
     return F.coalesce(F.sum(weight), F.lit(0.0))
 
 
-def wcount(predicate: Column) -> Column:
-    """Rows for which the predicate holds; NULL does not hold."""
-    return F.count_if(F.coalesce(predicate, F.lit(False)))
-
-
 def ratio(part: Column, total: Column) -> Column:
     """Division that gives NULL for a zero total instead of an error."""
     return part / F.nullif(total, F.lit(0.0))

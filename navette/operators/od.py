@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navette.functions.modes import MODE_COLUMNS
-from navette.functions.nulls import ratio, row_sum, wsum
+from navette.functions.nulls import in_set, ratio, row_sum, wsum
 from navette.operators.flows import undirected
 from navette.operators.lookup import Lookup
 from navette.sources.geojson import COORDINATE
@@ -22,9 +22,8 @@ def od_wide(flows: DataFrame, *by: str) -> DataFrame:
     rows is NULL; unlisted and missing modes share the column ``other``, which
     keeps the schema fixed and the total equal to the sum of the columns.
     """
-    listed = F.coalesce(F.col("mode").isin(list(MODE_COLUMNS)), F.lit(False))
     tests = {column: F.col("mode") == mode for mode, column in MODE_COLUMNS.items()}
-    tests[OTHER] = ~listed
+    tests[OTHER] = ~in_set(F.col("mode"), MODE_COLUMNS)
     columns = []
     for column, test in tests.items():
         present = F.count_if(test) > 0

@@ -148,9 +148,8 @@ def registry_scan(census: Census) -> DataFrame:
             (F.col("code").cast("int") + 6).alias("at"),
             F.concat_ws(";", "code", "name", F.lit("200"), "epci").alias("value"),
         )
-        # One sheet is one file; it holds one short line per commune.
-        sheet = head.unionByName(body).coalesce(1).sortWithinPartitions("at")
-        sheet.select("value").write.text(path)
+        # The parts of the sheet are named in the order of its lines.
+        head.unionByName(body).orderBy("at").select("value").write.text(path)
 
     return registry.read_registry_sheet(census.spark, census.written("registry_sheet", write))
 
@@ -223,7 +222,7 @@ def epci_choices(census: Census) -> DataFrame:
 
 @query
 def flux_labelled(census: Census) -> DataFrame:
-    labelled = flows.label_ends(delimited.with_mode(census.flux()), census.registry())
+    labelled = flows.label_ends(flows.with_mode(census.flux()), census.registry())
     return labelled.withColumnsRenamed(
         {
             "resid_name": "commune_residence",
@@ -237,7 +236,7 @@ def flux_labelled(census: Census) -> DataFrame:
 @query
 def recode_modes(census: Census) -> DataFrame:
     per_code = flows.totals(flows.as_flows(census.flux()), "year", "mode_code")
-    return delimited.with_mode(per_code)
+    return flows.with_mode(per_code)
 
 
 @query
@@ -252,7 +251,7 @@ def flux_workers(census: Census) -> DataFrame:
 
 @query
 def flux_epci_any(census: Census) -> DataFrame:
-    selected = flows.touching(delimited.with_mode(census.flux()), census.members(EPCI))
+    selected = flows.touching(flows.with_mode(census.flux()), census.members(EPCI))
     return selected.drop("resid_epci", "work_epci", "mode_comparable")
 
 
@@ -266,7 +265,7 @@ def flux_epci_any_all(census: Census) -> DataFrame:
 
 @query
 def flux_epci_intra(census: Census) -> DataFrame:
-    labelled = flows.label_ends(delimited.with_mode(census.flux(YEAR)), census.registry())
+    labelled = flows.label_ends(flows.with_mode(census.flux(YEAR)), census.registry())
     return flows.within(labelled, YEAR, EPCI).drop(
         "year", "resid_epci", "work_epci", "mode_comparable"
     )

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navette.functions.modes import mode_comparable, recode_mode
+from navette.operators.flows import with_mode
 from navette.schemas import FLOW_FILE_COLUMNS, FLOW_FILE_TYPES
 
 # Cells that stand for a missing value.
@@ -72,17 +72,6 @@ def read_flux_years(
     return with_mode(stacked)
 
 
-def with_mode(flux: DataFrame) -> DataFrame:
-    """Add the mode label and whether it can be compared across years."""
-    year = F.col("year")
-    return flux.withColumns(
-        {
-            "mode": recode_mode(F.col("mode_code"), year),
-            "mode_comparable": mode_comparable(year),
-        }
-    )
-
-
 def read_mode_labels(
     spark: SparkSession,
     path: str,

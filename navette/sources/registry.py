@@ -15,12 +15,14 @@ def read_registry_sheet(spark: SparkSession, path: str, sep: str = ";") -> DataF
     """Registry sheet saved as delimited text, with any preamble above its header.
 
     The header is the first line with a ``CODGEO`` cell; only lines below it are
-    data. Line order comes from the block a line was read from and its position
-    there, so the sheet may be split between tasks.
+    data. Line order comes from the file, the block a line was read from and its
+    position there, so the sheet may be split between tasks, or into several files
+    whose names follow its order.
     """
     lines = spark.read.text(path).select(
         "value",
         F.struct(
+            F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("line"),
         ).alias("at"),
@@ -34,11 +36,8 @@ def read_registry_sheet(spark: SparkSession, path: str, sep: str = ";") -> DataF
         raise ValueError(f"no line with a {HEADER_CELL} cell in {path}")
     names = [name.strip() for name in header["value"].split(sep)]
     schema = ", ".join(f"`{name or f'_c{i}'}` STRING" for i, name in enumerate(names))
-    below = (F.col("at.block") > header["at"]["block"]) | (
-        (F.col("at.block") == header["at"]["block"])
-        & (F.col("at.line") > header["at"]["line"])
-    )
-    cells = lines.filter(below).select(F.from_csv("value", schema, {"sep": sep}).alias("row"))
+    first = F.struct(*[F.lit(v).alias(k) for k, v in header["at"].asDict().items()])
+    cells = lines.filter(F.col("at") > first).select(F.from_csv("value", schema, {"sep": sep}).alias("row"))
     return cells.select(
         *[F.col(f"row.{old}").alias(new) for old, new in REGISTRY_COLUMNS.items()]
     ).filter(F.col("code").isNotNull())

@@ -13,14 +13,14 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session without the setting gets a temporary folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="navette-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="navette-")
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -45,8 +45,7 @@ def registry(spark):
 
 @pytest.fixture(scope="session")
 def make_flux(spark):
-    from navette.operators.flows import as_flows
-    from navette.sources.delimited import with_mode
+    from navette.operators.flows import as_flows, with_mode
 
     schema = "resid_code STRING, work_code STRING, weight DOUBLE, mode_code STRING, year INT"
 

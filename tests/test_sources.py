@@ -86,13 +86,13 @@ def test_registry_below_a_preamble(spark, tmp_path):
     path = tmp_path / "registry.csv"
     path.write_text(
         "Intercommunalité;;;\nau 01/01/2018;a;b;c\n;;;\nCode;Libellé;EPCI;Libellé\nx;y;z;t\n"
-        "CODGEO;LIBGEO;EPCI;LIBEPCI\n01004;Ambérieu;200;Plaine\n44109;Nantes;244;Nantes Métropole\n"
+        "CODGEO;LIBGEO;EPCI;LIBEPCI\n01004;Ambérieu;200;Plaine\n69123;Lyon;200;Grand Lyon\n"
     )
     found = rows(registry.read_registry_sheet(spark, str(path)))
-    assert found == [("01004", "Ambérieu", "Plaine"), ("44109", "Nantes", "Nantes Métropole")]
+    assert found == [("01004", "Ambérieu", "Plaine"), ("69123", "Lyon", "Grand Lyon")]
     lookup = registry.registry_lookup(registry.read_registry_sheet(spark, str(path)))
     assert registry.communes_of(lookup, "Plaine").frame.count() == 1
-    assert [r[0] for r in registry.epci_choices(lookup.frame).collect()] == ["Nantes Métropole", "Plaine"]
+    assert [r[0] for r in registry.epci_choices(lookup.frame).collect()] == ["Grand Lyon", "Plaine"]
 
 
 def test_registry_split_between_tasks(spark, tmp_path):
@@ -186,14 +186,33 @@ def test_mart_without_receipt_is_built_again(spark, tmp_path, make_flux, registr
     assert [(r["resid_code"], r["flow"]) for r in found] == [("A", 2.0)]
 
 
-def test_shared_folder_is_the_one_the_session_names(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path) + "/")
-    try:
-        assert shared.shared_folder(spark) == str(tmp_path)
-        assert shared.fresh_path(spark, "x").startswith(f"{tmp_path}/navette/x-")
-    finally:
-        if before is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", before)
+class Session:
+    """As much of a session as choosing the folder needs."""
+
+    def __init__(self, named=None, master="local[2]"):
+        self.conf = {"spark.checkpoint.dir": named} if named else {}
+        self.sparkContext = self
+        self.master = master
+        self.chosen = None
+
+    def getCheckpointDir(self):
+        return self.chosen
+
+    def setCheckpointDir(self, folder):
+        self.chosen = folder
+
+
+def test_shared_folder_is_the_one_the_session_names():
+    session = Session("hdfs://cluster/checkpoints/", "spark://cluster")
+    assert shared.shared_folder(session) == "hdfs://cluster/checkpoints"
+    assert shared.fresh_path(session, "x").startswith("hdfs://cluster/checkpoints/navette/x-")
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session(master="yarn"))
+
+
+def test_local_session_gets_one_temporary_folder():
+    session = Session()
+    assert shared.shared_folder(session) == shared.shared_folder(session) == session.chosen
