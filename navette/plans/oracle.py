@@ -224,6 +224,7 @@ OD_SHARE_LABEL = (
     f"'Trajets : ' || {_num('flow')} || ' / ' || {_num('total')}"
 )
 
+CHOSEN = f"(FROM intra WHERE year = {YEAR} AND epci = '{EPCI}')"
 PAIR_NAMES = ["resid_name", "work_name"]
 
 SELECTS = {
@@ -341,7 +342,7 @@ GROUP BY ALL ORDER BY flow DESC, resid_name LIMIT 3""",
     "od_mode_share_from_mart": _shares("labelled", ["year", "resid_code", "work_code"], PAIR_NAMES),
     "od_mode_share_all": _shares("intra", ["year", "epci", "resid_code", "work_code"], PAIR_NAMES),
     "od_mode_share_selected": _labels(
-        f"(FROM intra WHERE year = {YEAR} AND epci = '{EPCI}')",
+        CHOSEN,
         ["resid_code", "work_code"],
         PAIR_NAMES,
         "*",
@@ -472,6 +473,26 @@ SELECT year, epci, code_a, code_b, {_legend("total")} AS label_total,
        {_legend("share_active")} AS label_active,
        {_legend("share_sustainable")} AS label_sustainable
 FROM oneway""",
+    # one group and year, as shown to a reader
+    "report_matrix": f"""
+{_with(_shares(CHOSEN, ["resid_code", "work_code"], PAIR_NAMES))},
+ordered AS (
+  SELECT resid_code AS code,
+         CAST(row_number() OVER (ORDER BY sum(weight) DESC, resid_name) AS INTEGER) AS position
+  FROM {CHOSEN} GROUP BY resid_code, resid_name
+)
+SELECT s.*, r.position AS resid_position, w.position AS work_position, {OD_SHARE_LABEL} AS label
+FROM s LEFT JOIN ordered r ON r.code = resid_code LEFT JOIN ordered w ON w.code = work_code""",
+    "report_residence": _labels(CHOSEN, ["resid_code"], ["resid_name"], "*", SHARE_LABEL),
+    "report_flow_map": f"""
+{ONEWAY_ALL}
+SELECT code_a, code_b, {_line("a", "b")} AS line, total, share_active, share_sustainable,
+       {_bins("share_active", SHARE_LIMITS)} AS class_active,
+       {_bins("share_sustainable", SHARE_LIMITS)} AS class_sustainable,
+       {_legend("share_active")} AS label_active,
+       {_legend("share_sustainable")} AS label_sustainable
+FROM oneway JOIN centroids a ON code_a = a.code JOIN centroids b ON code_b = b.code
+WHERE year = {YEAR} AND epci = '{EPCI}'""",
     # control totals
     "control_total_recon": """
 , computed AS (SELECT resid_code, work_code, sum(weight) AS computed FROM flux GROUP BY ALL),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from navette.functions.labels import legend_label
 from navette.functions.modes import MODE_LABELS, recode_mode
 from navette.operators import classify, flows, od, ranking, reconcile, residency, shares
+from navette.plans import ingest, reports
 from navette.plans.census import Census
 from navette.sources import archive, delimited, geojson, mart, registry
 
@@ -107,7 +108,7 @@ def ingest_years_union(census: Census) -> DataFrame:
     path = census.written("flux_by_year_csv", write)
     found = census.table("orders").select(F.year("o_orderdate").alias("year"))
     years = sorted(row["year"] for row in found.distinct().collect())
-    return delimited.read_flux_years(census.spark, path + "/ANNEE={year}", years)
+    return ingest.read_years(census.spark, path + "/ANNEE={year}", years)
 
 
 @query
@@ -588,6 +589,24 @@ def legend_labels(census: Census) -> DataFrame:
     )
 
 
+# --- one group and year, as shown to a reader ---------------------------------
+
+
+@query
+def report_matrix(census: Census) -> DataFrame:
+    return reports.matrix(census.stored_mart(), census.registry(), YEAR, EPCI)
+
+
+@query
+def report_residence(census: Census) -> DataFrame:
+    return reports.residence(census.stored_mart(), census.registry(), YEAR, EPCI)
+
+
+@query
+def report_flow_map(census: Census) -> DataFrame:
+    return reports.flow_map(census.stored_mart(), census.centroids(), YEAR, EPCI)
+
+
 # --- control totals ----------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,18 +54,16 @@ def read_flux(
 
 
 def read_flux_years(
-    spark: SparkSession, path_template: str, years: Iterable[int], sep: str = ";"
+    path_template: str, years: Iterable[int], read: Callable[[str], DataFrame]
 ) -> DataFrame:
-    """Yearly files stacked by column name, each row tagged with its year.
+    """Yearly files stacked by column name, each row tagged with its year and mode.
 
-    ``path_template`` holds ``{year}``. Each year has its own reader, so files of
-    different years may order their columns differently.
+    ``path_template`` holds ``{year}``. Every year is read on its own, so files of
+    different years may order their columns differently; the stack is one lazy plan.
     """
     stacked = None
     for year in years:
-        one = read_flux(spark, path_template.format(year=year), sep).withColumn(
-            "year", F.lit(int(year))
-        )
+        one = read(path_template.format(year=year)).withColumn("year", F.lit(int(year)))
         stacked = one if stacked is None else stacked.unionByName(one, allowMissingColumns=True)
     if stacked is None:
         raise ValueError("no year given")

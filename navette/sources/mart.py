@@ -49,7 +49,9 @@ def mart_receipt(spark: SparkSession, path: str):
     """Row and observation counts of a finished mart, or None."""
     try:
         return spark.read.schema(RECEIPT_SCHEMA).parquet(_receipt_path(path)).first()
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

@@ -5,6 +5,7 @@ import pytest
 from conftest import as_dict
 
 from navette.operators import flows
+from navette.plans import ingest
 from navette.sources import archive, delimited, geojson, mart, registry, shared
 
 CSV = (
@@ -53,7 +54,7 @@ def test_only_named_columns_are_read(spark, flow_csv):
 def test_years_may_order_their_columns_differently(spark, tmp_path):
     (tmp_path / "f_2016.csv").write_text("COMMUNE;DCLT;IPONDI;TRANS\nA;B;1;3\n")
     (tmp_path / "f_2017.csv").write_text("TRANS;IPONDI;X;DCLT;COMMUNE\n3;2;x;B;A\n")
-    frame = delimited.read_flux_years(spark, str(tmp_path / "f_{year}.csv"), [2016, 2017])
+    frame = ingest.read_years(spark, str(tmp_path / "f_{year}.csv"), [2016, 2017])
     found = as_dict(frame, "year")
     assert found[(2016,)]["weight"] == 1.0 and found[(2017,)]["weight"] == 2.0
     assert found[(2016,)]["mode"] == "3" and found[(2017,)]["mode"] == "Vélo"
@@ -62,7 +63,7 @@ def test_years_may_order_their_columns_differently(spark, tmp_path):
 
 def test_no_year_is_an_error(spark):
     with pytest.raises(ValueError):
-        delimited.read_flux_years(spark, "x{year}", [])
+        ingest.read_years(spark, "x{year}", [])
 
 
 def test_mode_label_table(spark, tmp_path):
@@ -186,6 +187,47 @@ def test_mart_without_receipt_is_built_again(spark, tmp_path, make_flux, registr
     assert [(r["resid_code"], r["flow"]) for r in found] == [("A", 2.0)]
 
 
+@pytest.fixture
+def yearly_files(tmp_path):
+    for year, extra in ((2016, "B;A;1;3\n"), (2017, "C;Z;2;3\nA;B;0.5;2\n")):
+        text = "COMMUNE;DCLT;IPONDI;TRANS\nA;B;1.5;2\n" + extra
+        (tmp_path / f"FD_MOBPRO_{year}.csv").write_text(text)
+        with zipfile.ZipFile(tmp_path / f"RP{year}.zip", "w") as target:
+            target.writestr(f"FD_MOBPRO_{year}.csv", text)
+            target.writestr("Varmod.csv", "x\n1\n")
+    sheet = tmp_path / "communes.csv"
+    sheet.write_text("x\nCODGEO;LIBGEO;LIBEPCI\nA;Alpha;Nord\nB;Beta;Nord\nC;Gamma;Sud\n")
+    return tmp_path
+
+
+@pytest.mark.parametrize("template", ["FD_MOBPRO_{year}.csv", "RP{year}.zip"])
+def test_ingest_from_files_to_mart(spark, yearly_files, template):
+    found = ingest.build(
+        spark,
+        str(yearly_files / template),
+        [2016, 2017],
+        str(yearly_files / "communes.csv"),
+        str(yearly_files / f"mart-{template[:2]}"),
+    )
+    cells = as_dict(found, "year", "resid_code", "work_code", "mode")
+    assert len(cells) == 4
+    assert cells[(2017, "A", "B", "Marche")]["flow"] == 2.0
+    assert cells[(2017, "A", "B", "Marche")]["n_obs"] == 2
+    assert cells[(2016, "A", "B", "2")]["resid_epci"] == "Nord"
+    assert cells[(2017, "C", "Z", "Vélo")]["work_epci"] is None
+
+
+def test_labelled_rows_of_all_years(spark, yearly_files):
+    found = ingest.labelled_flux(
+        spark,
+        str(yearly_files / "FD_MOBPRO_{year}.csv"),
+        [2016, 2017],
+        str(yearly_files / "communes.csv"),
+    )
+    assert found.count() == 5
+    assert {r["resid_name"] for r in found.collect()} == {"Alpha", "Beta", "Gamma"}
+
+
 class Session:
     """As much of a session as choosing the folder needs."""
 
