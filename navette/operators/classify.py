@@ -33,7 +33,7 @@ def choropleth_measures(flows: DataFrame, layer: Lookup) -> DataFrame:
         _if_any(F.col("home"), "flow").alias("domicile"),
         _if_any(~F.col("home"), "flow").alias("travail"),
     )
-    return layer.side().join(measures, layer.key, "left")
+    return layer.frame.join(measures, layer.key, "left")
 
 
 def _if_any(test: Column, measure: str) -> Column:

@@ -142,11 +142,9 @@ def by_touched_group(labelled: DataFrame) -> DataFrame:
 
 def outsiders_of_group_to_null(touched: DataFrame) -> DataFrame:
     """As ``outsiders_to_null``, with respect to the ``epci`` of the row."""
-    return touched.withColumns(
-        {
-            f"{end}_code": F.when(
-                F.col(f"{end}_epci").eqNullSafe(F.col("epci")), F.col(f"{end}_code")
-            )
-            for end in ("resid", "work")
-        }
-    )
+    blanked = {}
+    for end in ("resid", "work"):
+        inside = F.col(f"{end}_epci").eqNullSafe(F.col("epci"))
+        for label in ("code", "name"):
+            blanked[f"{end}_{label}"] = F.when(inside, F.col(f"{end}_{label}"))
+    return touched.withColumns(blanked)

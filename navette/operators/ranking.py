@@ -9,12 +9,12 @@ from navette.operators.flows import name_ends, totals
 from navette.operators.lookup import Lookup
 
 
-def commune_order(flows: DataFrame, registry: Lookup, *by: str) -> DataFrame:
+def commune_order(labelled: DataFrame, *by: str) -> DataFrame:
     """Communes of residence by descending flow within ``by``, names breaking ties.
 
     The ranking sees one row per registered commune, never the flows themselves.
     """
-    per_commune = name_ends(totals(flows, *by, "resid_code"), registry, "resid")
+    per_commune = totals(labelled, *by, "resid_code", "resid_name")
     order = Window.partitionBy(*by).orderBy(
         F.col("flow").desc(), F.col("resid_name"), F.col("resid_code")
     )

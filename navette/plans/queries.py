@@ -279,8 +279,7 @@ def _touching_selection(census: Census) -> DataFrame:
 
 def _touching_all(census: Census) -> DataFrame:
     """The same for every group, from the mart."""
-    touched = flows.by_touched_group(census.stored_mart())
-    return flows.outsiders_of_group_to_null(touched).drop("resid_name", "work_name")
+    return flows.outsiders_of_group_to_null(flows.by_touched_group(census.stored_mart()))
 
 
 def _within_all(census: Census) -> DataFrame:
@@ -369,24 +368,22 @@ def share_by_residence_mode(census: Census) -> DataFrame:
 
 @query
 def share_by_residence_mode_all(census: Census) -> DataFrame:
-    found = shares.mode_shares(_touching_all(census), "year", "epci", "resid_code")
-    return flows.name_ends(found, census.registry(), "resid")
+    return shares.mode_shares(_touching_all(census), "year", "epci", "resid_code", "resid_name")
 
 
 @query
 def share_by_residence_mode_from_mart(census: Census) -> DataFrame:
     """The same as ``share_by_residence_mode``, read from the written mart."""
     touched = flows.touching_group(census.stored_mart(), EPCI)
-    found = shares.mode_shares(flows.outsiders_to_null(touched), "year", "resid_code")
-    return flows.name_ends(found, census.members(EPCI), "resid")
+    outsiders = flows.outsiders_to_null(touched)
+    return shares.mode_shares(outsiders, "year", "resid_code", "resid_name")
 
 
 @query
 def share_by_residence_intra_all(census: Census) -> DataFrame:
     """Share by home commune of the trips inside every group, with its label."""
-    found = shares.mode_shares(_within_all(census), "year", "epci", "resid_code")
-    labelled = shares.with_share_label(found)
-    return flows.name_ends(labelled, census.registry(), "resid")
+    found = shares.mode_shares(_within_all(census), "year", "epci", "resid_code", "resid_name")
+    return shares.with_share_label(found)
 
 
 @query
@@ -448,16 +445,14 @@ def od_share_labels(census: Census) -> DataFrame:
 def commune_order(census: Census) -> DataFrame:
     """Display order of the communes of every group and year, all trips counted."""
     living = census.stored_mart().filter(F.col("resid_epci").isNotNull())
-    return ranking.commune_order(
-        living.withColumnRenamed("resid_epci", "epci"), census.registry(), "year", "epci"
-    )
+    return ranking.commune_order(living.withColumnRenamed("resid_epci", "epci"), "year", "epci")
 
 
 @query
 def od_display_order(census: Census) -> DataFrame:
     """Matrix cells of every group and year with the positions of both communes."""
     inside = _within_all(census)
-    order = ranking.commune_order(inside, census.registry(), "year", "epci")
+    order = ranking.commune_order(inside, "year", "epci")
     cells = inside.select("year", "epci", "resid_code", "work_code", "mode", "flow")
     return ranking.with_display_order(cells, order, "year", "epci")
 
@@ -594,12 +589,12 @@ def legend_labels(census: Census) -> DataFrame:
 
 @query
 def report_matrix(census: Census) -> DataFrame:
-    return reports.matrix(census.stored_mart(), census.registry(), YEAR, EPCI)
+    return reports.matrix(census.stored_mart(), YEAR, EPCI)
 
 
 @query
 def report_residence(census: Census) -> DataFrame:
-    return reports.residence(census.stored_mart(), census.registry(), YEAR, EPCI)
+    return reports.residence(census.stored_mart(), YEAR, EPCI)
 
 
 @query

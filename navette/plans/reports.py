@@ -13,10 +13,10 @@ from navette.operators import classify, flows, od, ranking, shares
 from navette.operators.lookup import Lookup
 
 
-def matrix(mart: DataFrame, registry: Lookup, year: int, epci: str) -> DataFrame:
+def matrix(mart: DataFrame, year: int, epci: str) -> DataFrame:
     """Modal share of every pair of communes, largest communes of residence first."""
     inside = flows.within(mart, year, epci)
-    order = ranking.commune_order(inside, registry, "year")
+    order = ranking.commune_order(inside, "year")
     cells = shares.with_od_share_label(shares.share_of_total(inside, "resid_code", "work_code"))
     return ranking.with_display_order(cells, order, "year").select(
         "resid_code", "resid_name", "resid_position",
@@ -25,11 +25,10 @@ def matrix(mart: DataFrame, registry: Lookup, year: int, epci: str) -> DataFrame
     )
 
 
-def residence(mart: DataFrame, registry: Lookup, year: int, epci: str) -> DataFrame:
+def residence(mart: DataFrame, year: int, epci: str) -> DataFrame:
     """Modal share by commune of residence, trips inside the group."""
     inside = flows.within(mart, year, epci)
-    found = shares.with_share_label(shares.mode_shares(inside, "resid_code"))
-    return flows.name_ends(found, registry, "resid")
+    return shares.with_share_label(shares.mode_shares(inside, "resid_code", "resid_name"))
 
 
 def flow_map(mart: DataFrame, centroids: Lookup, year: int, epci: str) -> DataFrame:

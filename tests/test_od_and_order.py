@@ -69,7 +69,7 @@ def test_equal_flows_are_ordered_by_name(make_flux, registry):
             ("Z", "A", 99.0, "1", 2018),
         ]
     )
-    order = ranking.commune_order(frame, registry, "year")
+    order = ranking.commune_order(flows.label_ends(frame, registry), "year")
     assert [(r["resid_name"], r["position"]) for r in order.orderBy("position").collect()] == [
         ("Gamma", 1),
         ("Alpha", 2),
@@ -79,7 +79,7 @@ def test_equal_flows_are_ordered_by_name(make_flux, registry):
 
 def test_commune_nobody_leaves_sorts_last(make_flux, registry):
     frame = make_flux([("A", "C", 1.0, "1", 2018), ("B", "A", 2.0, "1", 2018)])
-    order = ranking.commune_order(frame, registry, "year")
+    order = ranking.commune_order(flows.label_ends(frame, registry), "year")
     cells = flows.totals(frame, "year", "resid_code", "work_code", "mode")
     found = ranking.with_display_order(cells, order, "year").collect()
     assert [(r["resid_code"], r["resid_position"], r["work_position"]) for r in found] == [
