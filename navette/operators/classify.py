@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -60,12 +62,20 @@ def continuous_scale(values: DataFrame, value: str, *by: str) -> DataFrame:
     limits = values.groupBy(*by).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
     scaled = ratio(F.col(value) - F.col("__low"), F.col("__high") - F.col("__low"))
     return (
-        values.join(limits, list(by), "inner")
+        _join_groups(values, limits, {key: key for key in by})
         .withColumn("scale", scaled)
         .drop("__low", "__high")
     )
 
 
+def _join_groups(values: DataFrame, groups: DataFrame, keys: Mapping[str, str]) -> DataFrame:
+    """Left join in which NULL keys match (name in ``groups`` -> name in ``values``)."""
+    hidden = {key: f"__key_{key}" for key in keys}
+    groups = groups.withColumnsRenamed(hidden)
+    same = [F.col(mine).eqNullSafe(F.col(hidden[key])) for key, mine in keys.items()]
+    return values.join(groups, reduce(and_, same), "left").drop(*hidden.values())
+
+
 def rank_scale(values: DataFrame, value: str, *by: str) -> DataFrame:
     """Rank of each value within its group of communes, equal values sharing one."""
     order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
@@ -89,16 +99,13 @@ def natural_breaks(values: DataFrame, value: str, k: int, *by: str) -> DataFrame
         )
         return pdf[keys + ["__value"]].assign(natural_class=classes)
 
-    key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.select(*by).schema)
+    key_types = ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.select(*by).schema
+    )
     classes = distinct.groupBy(*by).applyInPandas(
         solve, f"{key_types}, `__value` double, natural_class int"
     )
-    for key in keys:
-        classes = classes.withColumnRenamed(key, f"__{key}")
-    same = F.col(value) == F.col("__value")
-    for key in keys:
-        same = same & F.col(key).eqNullSafe(F.col(f"__{key}"))
-    return values.join(classes, same, "left").drop("__value", *[f"__{key}" for key in keys])
+    return _join_groups(values, classes, {**{key: key for key in by}, "__value": value})
 
 
 def least_squares_classes(values: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:

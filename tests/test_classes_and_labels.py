@@ -74,8 +74,9 @@ def test_shares_above_half_fall_outside_the_half_scale(spark):
 
 
 def test_continuous_scale_of_equal_values_is_null(spark):
-    frame = spark.createDataFrame([("g", 2.0), ("g", 2.0), ("h", 1.0), ("h", 3.0), ("h", 2.0)], "k STRING, v DOUBLE")
-    found = classify.continuous_scale(frame, "v", "k").collect()
+    rows = [("g", 2.0), ("g", 2.0), ("h", 1.0), ("h", 3.0), ("h", 2.0), (None, 4.0), (None, 8.0), (None, None)]
+    found = classify.continuous_scale(spark.createDataFrame(rows, "k STRING, v DOUBLE"), "v", "k").collect()
+    assert sorted((r["scale"] for r in found if r["k"] is None), key=str) == [0.0, 1.0, None]
     assert sorted((r["k"], r["v"], r["scale"]) for r in found if r["k"] == "h") == [("h", 1.0, 0.0), ("h", 2.0, 0.5), ("h", 3.0, 1.0)]
     assert [r["scale"] for r in found if r["k"] == "g"] == [None, None]
 
