@@ -20,6 +20,7 @@ from navette.operators.lookup import Lookup
 from navette.sources.delimited import read_delimited
 from navette.sources.geojson import COORDINATE
 from navette.sources.mart import read_mart, write_mart
+from navette.sources.registry import communes_of
 from navette.sources.shared import fresh_path
 
 # The columns read from each table, declared so that no file is opened to infer them.
@@ -144,7 +145,7 @@ class Census:
         return self._measured("layer", self.layer_frame())
 
     def members(self, epci: str) -> Lookup:
-        return self.registry().where(F.col("epci") == epci)
+        return communes_of(self.registry(), epci)
 
     def mart(self) -> DataFrame:
         """The flow mart as a plan over the tables."""

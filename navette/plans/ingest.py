@@ -1,8 +1,10 @@
 """Batch ingest: yearly flow files and a registry sheet into the flow mart.
 
+With ``--rows`` the labelled survey rows are written as well.
+
     spark-submit --py-files navette.zip navette/plans/ingest.py \\
         --files '…/FD_MOBPRO_{year}.csv' --years 2016 2017 2018 2019 \\
-        --registry '…/communes.csv' --mart '…/flow_mart'
+        --registry '…/communes.csv' --mart '…/flow_mart' [--rows '…/enriched']
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from navette.operators.flows import flow_mart, label_ends
 from navette.sources.archive import read_flux_zip, read_zip_archives
 from navette.sources.delimited import read_flux, read_flux_years
+from navette.sources.enriched import build_enriched_if_absent
 from navette.sources.mart import build_mart_if_absent
 from navette.sources.registry import read_registry_sheet, registry_lookup
 
@@ -41,6 +44,15 @@ def labelled_flux(
     return label_ends(read_years(spark, template, years), lookup)
 
 
+def build_rows(
+    spark: SparkSession, template: str, years: Iterable[int], registry_sheet: str, path: str
+) -> DataFrame:
+    """The labelled survey rows at ``path``, written if they are not there yet."""
+    return build_enriched_if_absent(
+        spark, path, lambda: labelled_flux(spark, template, years, registry_sheet)
+    )
+
+
 def build(
     spark: SparkSession, template: str, years: Iterable[int], registry_sheet: str, path: str
 ) -> DataFrame:
@@ -59,9 +71,13 @@ def main() -> None:
     parser.add_argument("--years", required=True, type=int, nargs="+")
     parser.add_argument("--registry", required=True)
     parser.add_argument("--mart", required=True)
+    parser.add_argument("--rows")
     chosen = parser.parse_args()
     spark = SparkSession.builder.appName("navette-ingest").getOrCreate()
-    build(spark, chosen.files, chosen.years, chosen.registry, chosen.mart)
+    inputs = (spark, chosen.files, chosen.years, chosen.registry)
+    if chosen.rows:
+        build_rows(*inputs, chosen.rows)
+    build(*inputs, chosen.mart)
     spark.stop()
 
 

@@ -255,6 +255,9 @@ FROM box""",
 , mart AS ({MART})
 SELECT * FROM mart WHERE year = {YEAR} AND resid_epci = '{EPCI}' AND work_epci = '{EPCI}'""",
     "mart_build_if_absent": MART,
+    "enriched_roundtrip": "SELECT * FROM labelled",
+    "enriched_pruned_scan": f"""
+SELECT * FROM labelled WHERE year = {YEAR} AND resid_epci = '{EPCI}' AND work_epci = '{EPCI}'""",
     # registry, labels, selections
     "registry_slice": "SELECT code, name FROM members",
     "epci_choices": "SELECT DISTINCT epci FROM registry ORDER BY epci",

@@ -13,7 +13,7 @@ from navette.functions.modes import MODE_LABELS, recode_mode
 from navette.operators import classify, flows, od, ranking, reconcile, residency, shares
 from navette.plans import ingest, reports
 from navette.plans.census import Census
-from navette.sources import archive, delimited, geojson, mart, registry
+from navette.sources import archive, delimited, enriched, geojson, mart, registry
 
 # The selection of the step-by-step analysis.
 EPCI = "EUROPE"
@@ -208,6 +208,26 @@ def mart_build_if_absent(census: Census) -> DataFrame:
     return mart.build_mart_if_absent(census.spark, census.mart_path(), census.mart)
 
 
+def _enriched(census: Census) -> DataFrame:
+    path = census.written(
+        "enriched_rows",
+        lambda p: enriched.write_enriched(
+            flows.label_ends(census.flux_with_mode(), census.registry()), p
+        ),
+    )
+    return enriched.read_enriched(census.spark, path)
+
+
+@query
+def enriched_roundtrip(census: Census) -> DataFrame:
+    return _enriched(census)
+
+
+@query
+def enriched_pruned_scan(census: Census) -> DataFrame:
+    return flows.within(_enriched(census), YEAR, EPCI)
+
+
 # --- registry, labels, selections --------------------------------------------
 
 

@@ -26,13 +26,32 @@ REGISTRY_COLUMNS = {
     "LIBEPCI": "epci",
 }
 
-FLUX_SCHEMA = T.StructType(
+# The columns of the enriched rows as stored, and their names here.
+ENRICHED_COLUMNS = {
+    "COMMUNE": "resid_code",
+    "DCLT": "work_code",
+    "IPONDI": "weight",
+    "TRANS": "mode_code",
+    "Mode de transport": "mode",
+    "annee": "year",
+    "epci_resid": "resid_epci",
+    "Commune de résidence": "resid_name",
+    "epci_travail": "work_epci",
+    "Commune de travail": "work_name",
+}
+
+ENRICHED_SCHEMA = T.StructType(
     [
-        T.StructField("resid_code", T.StringType()),
-        T.StructField("work_code", T.StringType()),
-        T.StructField("weight", T.DoubleType()),
-        T.StructField("mode_code", T.StringType()),
-        T.StructField("year", T.IntegerType()),
+        T.StructField("COMMUNE", T.StringType()),
+        T.StructField("DCLT", T.StringType()),
+        T.StructField("IPONDI", T.DoubleType()),
+        T.StructField("TRANS", T.StringType()),
+        T.StructField("Mode de transport", T.StringType()),
+        T.StructField("annee", T.IntegerType()),
+        T.StructField("epci_resid", T.StringType()),
+        T.StructField("Commune de résidence", T.StringType()),
+        T.StructField("epci_travail", T.StringType()),
+        T.StructField("Commune de travail", T.StringType()),
     ]
 )
 

@@ -2,42 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from navette.schemas import MART_SCHEMA
-
-RECEIPT_SCHEMA = "rows BIGINT, n_obs BIGINT"
-
-
-def _receipt_path(path: str) -> str:
-    return path.rstrip("/") + ".receipt"
+from navette.sources.published import publish_if_absent
 
 
 def write_mart(mart: DataFrame, path: str) -> None:
     """Write the mart so that readers can skip files and row groups.
 
-    Range partitioning on year and groups splits a large year over many tasks,
-    and the sort inside each file makes row-group statistics selective. A receipt
-    is written last; without it the mart counts as absent.
+    Range partitioning on year, groups and codes splits a large year or group
+    over many tasks (the mart has one row per pair and mode, so no range is hot),
+    and the sort inside each file makes row-group statistics selective.
     """
-    spark = mart.sparkSession
-    columns = [field.name for field in MART_SCHEMA.fields]
     (
-        mart.select(*columns)
+        mart.select(*MART_SCHEMA.names)
         .repartitionByRange("year", "resid_epci", "work_epci", "resid_code", "work_code")
         .sortWithinPartitions("year", "resid_epci", "work_epci")
         .write.mode("overwrite")
         .partitionBy("year")
         .parquet(path)
     )
-    (
-        read_mart(spark, path)
-        .agg(F.count("*").alias("rows"), F.coalesce(F.sum("n_obs"), F.lit(0)).alias("n_obs"))
-        .write.mode("overwrite")
-        .parquet(_receipt_path(path))
-    )
 
 
 def read_mart(spark: SparkSession, path: str) -> DataFrame:
@@ -45,18 +32,8 @@ def read_mart(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MART_SCHEMA).parquet(path)
 
 
-def mart_receipt(spark: SparkSession, path: str):
-    """Row and observation counts of a finished mart, or None."""
-    try:
-        return spark.read.schema(RECEIPT_SCHEMA).parquet(_receipt_path(path)).first()
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def build_mart_if_absent(spark: SparkSession, path: str, build) -> DataFrame:
-    """Read the mart at ``path``; call ``build()`` and write it first if missing."""
-    if mart_receipt(spark, path) is None:
-        write_mart(build(), path)
-    return read_mart(spark, path)
+def build_mart_if_absent(
+    spark: SparkSession, path: str, build: Callable[[], DataFrame]
+) -> DataFrame:
+    """Read the mart at ``path``; build and write it first if it is not there."""
+    return publish_if_absent(spark, path, MART_SCHEMA, lambda: write_mart(build(), path))

@@ -6,7 +6,7 @@ from conftest import as_dict
 
 from navette.operators import flows
 from navette.plans import ingest
-from navette.sources import archive, delimited, geojson, mart, registry, shared
+from navette.sources import archive, delimited, geojson, mart, published, registry, shared
 
 CSV = (
     "AGEREVQ;DCLT;COMMUNE;IPONDI;TRANS\n"
@@ -174,7 +174,7 @@ def test_mart_round_trip_and_single_build(spark, tmp_path, make_flux, registry):
     first = rows(mart.build_mart_if_absent(spark, path, build))
     again = rows(mart.build_mart_if_absent(spark, path, build))
     assert first == again and len(built) == 1 and len(first) == 2
-    assert tuple(mart.mart_receipt(spark, path)) == (2, 3)
+    assert published.rows_published(spark, path) == 2
     assert ("A", "B", "Aucun", 2, 5.0, "Alpha", "Nord", "Beta", "Nord", 2018) in first
 
 
@@ -217,15 +217,33 @@ def test_ingest_from_files_to_mart(spark, yearly_files, template):
     assert cells[(2017, "C", "Z", "Vélo")]["work_epci"] is None
 
 
-def test_labelled_rows_of_all_years(spark, yearly_files):
-    found = ingest.labelled_flux(
+def test_labelled_rows_keep_their_display_names_on_disk(spark, yearly_files):
+    path = str(yearly_files / "rows")
+    found = ingest.build_rows(
         spark,
         str(yearly_files / "FD_MOBPRO_{year}.csv"),
         [2016, 2017],
         str(yearly_files / "communes.csv"),
+        path,
     )
     assert found.count() == 5
     assert {r["resid_name"] for r in found.collect()} == {"Alpha", "Beta", "Gamma"}
+    stored = spark.read.parquet(path)
+    assert {"Commune de résidence", "Mode de transport", "annee"} <= set(stored.columns)
+    pruned = flows.within(found, 2017, "Nord")
+    assert [(r["resid_code"], r["weight"]) for r in pruned.orderBy("weight").collect()] == [
+        ("A", 0.5),
+        ("A", 1.5),
+    ]
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(epci_resid,Nord)" in plan and "annee" in plan.split("PartitionFilters")[1]
+
+
+def test_differing_headers_under_one_path_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("COMMUNE;DCLT;IPONDI;TRANS\nA;B;1;3\n")
+    (tmp_path / "b.csv").write_text("DCLT;COMMUNE;IPONDI;TRANS\nA;B;1;3\n")
+    with pytest.raises(Exception, match="header"):
+        delimited.read_flux(spark, str(tmp_path / "*.csv")).collect()
 
 
 class Session:
