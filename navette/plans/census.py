@@ -8,14 +8,13 @@ groups of communes.
 
 from __future__ import annotations
 
-import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navette.functions.modes import recode_mode
-from navette.operators.flows import as_flows, flow_mart, totals
+from navette.operators.flows import as_flows, flow_mart, residents_of, totals, workers_in
 from navette.operators.lookup import Lookup
 from navette.sources.delimited import read_delimited
 from navette.sources.geojson import COORDINATE
@@ -38,6 +37,8 @@ TABLES = {
     "region": {"r_regionkey": "INT", "r_name": "STRING"},
 }
 
+FLUX_COLUMNS = ["resid_code", "work_code", "weight", "mode_code", "year"]
+
 # Measures of side tables and paths of written tables, per application and data set.
 _MEASURED: dict[tuple, tuple[int, int]] = {}
 _WRITTEN: dict[tuple, str] = {}
@@ -52,46 +53,58 @@ class Census:
         schema = ", ".join(f"{column} {kind}" for column, kind in TABLES[name].items())
         return self.spark.read.schema(schema).parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def flux(self, year: int | None = None) -> DataFrame:
-        """Survey rows; a given year reaches the scan as a date range.
-
-        Orders meet customers first, so the widest table is shuffled once on its
-        order key. Lines and orders both grow with the survey, so that join is a
-        sort-merge join at every size. Customers and suppliers are broadcast only
-        if their files are below the session's threshold; above it they are joined
-        by shuffle, with the partitions of frequent keys split at run time.
+    def flux(
+        self,
+        year: int | None = None,
+        residents: Lookup | None = None,
+        workers: Lookup | None = None,
+    ) -> DataFrame:
+        """Survey rows, optionally of one year, of some homes or of some work places.
+
+        A year reaches the scan as a date range, and a selection of communes acts on
+        its own side, so both come before the widest join. Lines and orders both grow
+        with the survey, so that join is a sort-merge join at every size. Customers
+        and suppliers are broadcast only if their files are below the session's
+        threshold; above it they are joined by shuffle, with the partitions of
+        frequent keys split at run time.
         """
         orders = self.table("orders")
         if year is not None:
-            start = F.lit(dt.datetime(year, 1, 1)).cast("timestamp_ntz")
-            end = F.lit(dt.datetime(year + 1, 1, 1)).cast("timestamp_ntz")
-            orders = orders.filter((F.col("o_orderdate") >= start) & (F.col("o_orderdate") < end))
-        customer = self.table("customer")
-        supplier = self.table("supplier")
-        lines = self.table("lineitem")
-        homes = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+            ordered = F.col("o_orderdate")
+            start, end = (
+                F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz") for y in (year, year + 1)
+            )
+            orders = orders.filter((ordered >= start) & (ordered < end))
+        homes = orders.join(
+            self.table("customer"), F.col("o_custkey") == F.col("c_custkey")
+        ).select(
             "o_orderkey",
             F.col("c_nationkey").cast("string").alias("resid_code"),
             F.year("o_orderdate").alias("year"),
         )
-        return (
-            lines.join(homes.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-            .select(
-                "resid_code",
-                F.col("s_nationkey").cast("string").alias("work_code"),
-                F.col("l_quantity").alias("weight"),
-                F.col("l_linenumber").cast("string").alias("mode_code"),
-                "year",
-            )
+        jobs = self.table("lineitem").join(
+            self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")
+        ).select(
+            "l_orderkey",
+            F.col("s_nationkey").cast("string").alias("work_code"),
+            F.col("l_quantity").alias("weight"),
+            F.col("l_linenumber").cast("string").alias("mode_code"),
         )
-
-    def flux_with_mode(self) -> DataFrame:
-        return self.flux().withColumn("mode", recode_mode(F.col("mode_code"), F.col("year")))
-
-    def flows(self) -> DataFrame:
+        if residents is not None:
+            homes = residents_of(homes, residents)
+        if workers is not None:
+            jobs = workers_in(jobs, workers)
+        return jobs.join(
+            homes.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")
+        ).select(*FLUX_COLUMNS)
+
+    def flux_with_mode(self, workers: Lookup | None = None) -> DataFrame:
+        flux = self.flux(workers=workers)
+        return flux.withColumn("mode", recode_mode(F.col("mode_code"), F.col("year")))
+
+    def flows(self, workers: Lookup | None = None) -> DataFrame:
         """Survey rows with their mode label, ready for the operators."""
-        return as_flows(self.flux_with_mode())
+        return as_flows(self.flux_with_mode(workers))
 
     def registry_frame(self) -> DataFrame:
         nation = self.table("nation")

@@ -262,12 +262,12 @@ def recode_modes(census: Census) -> DataFrame:
 
 @query
 def flux_residents(census: Census) -> DataFrame:
-    return flows.residents_of(census.flux(), census.members(EPCI))
+    return census.flux(residents=census.members(EPCI))
 
 
 @query
 def flux_workers(census: Census) -> DataFrame:
-    return flows.workers_in(census.flux(), census.members(EPCI))
+    return census.flux(workers=census.members(EPCI))
 
 
 @query
@@ -286,7 +286,9 @@ def flux_epci_any_all(census: Census) -> DataFrame:
 
 @query
 def flux_epci_intra(census: Census) -> DataFrame:
-    labelled = flows.label_ends(flows.with_mode(census.flux(YEAR)), census.registry())
+    members = census.members(EPCI)
+    chosen = census.flux(YEAR, residents=members, workers=members)
+    labelled = flows.label_ends(flows.with_mode(chosen), census.registry())
     return flows.within(labelled, YEAR, EPCI).drop(
         "year", "resid_epci", "work_epci", "mode_comparable"
     )
@@ -364,7 +366,8 @@ def top10_work_communes(census: Census) -> DataFrame:
 
 @query
 def work_commune_residency(census: Census) -> DataFrame:
-    return residency.work_commune_residency(census.flows(), census.members(EPCI), "year")
+    members = census.members(EPCI)
+    return residency.work_commune_residency(census.flows(workers=members), members, "year")
 
 
 @query

@@ -28,13 +28,13 @@ def read_registry_sheet(spark: SparkSession, path: str, sep: str = ";") -> DataF
         ).alias("at"),
     )
     header = (
-        lines.filter(F.array_contains(F.split("value", sep), HEADER_CELL))
+        lines.filter(F.array_contains(F.split(F.translate("value", '"', ""), rf"\Q{sep}\E"), HEADER_CELL))
         .agg(F.min("at").alias("at"), F.min_by("value", "at").alias("value"))
         .first()
     )
     if header["value"] is None:
         raise ValueError(f"no line with a {HEADER_CELL} cell in {path}")
-    names = [name.strip() for name in header["value"].split(sep)]
+    names = [name.strip() for name in header["value"].replace('"', "").split(sep)]
     schema = ", ".join(f"`{name or f'_c{i}'}` STRING" for i, name in enumerate(names))
     first = F.struct(*[F.lit(v).alias(k) for k, v in header["at"].asDict().items()])
     cells = lines.filter(F.col("at") > first).select(F.from_csv("value", schema, {"sep": sep}).alias("row"))

@@ -96,6 +96,12 @@ def test_registry_below_a_preamble(spark, tmp_path):
     assert [r[0] for r in registry.epci_choices(lookup.frame).collect()] == ["Grand Lyon", "Plaine"]
 
 
+def test_registry_with_quotes_and_another_separator(spark, tmp_path):
+    path = tmp_path / "registry.csv"
+    path.write_text('x|y\n"LIBEPCI"|"CODGEO"|"LIBGEO"\n"Plaine"|"01004"|"A|B"\n')
+    assert rows(registry.read_registry_sheet(spark, str(path), "|")) == [("01004", "A|B", "Plaine")]
+
+
 def test_registry_split_between_tasks(spark, tmp_path):
     lines = [f"junk{i};a;b" for i in range(300)]
     lines += ["CODGEO;LIBGEO;LIBEPCI"] + [f"{i:05d};n{i};e{i % 7}" for i in range(2000)]
