@@ -37,8 +37,6 @@ TABLES = {
     "region": {"r_regionkey": "INT", "r_name": "STRING"},
 }
 
-FLUX_COLUMNS = ["resid_code", "work_code", "weight", "mode_code", "year"]
-
 # Measures of side tables and paths of written tables, per application and data set.
 _MEASURED: dict[tuple, tuple[int, int]] = {}
 _WRITTEN: dict[tuple, str] = {}
@@ -75,28 +73,30 @@ class Census:
                 F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz") for y in (year, year + 1)
             )
             orders = orders.filter((ordered >= start) & (ordered < end))
+        # Keys stay numbers until after the join, which keeps its shuffle narrow.
         homes = orders.join(
             self.table("customer"), F.col("o_custkey") == F.col("c_custkey")
-        ).select(
-            "o_orderkey",
-            F.col("c_nationkey").cast("string").alias("resid_code"),
-            F.year("o_orderdate").alias("year"),
-        )
-        jobs = self.table("lineitem").join(
-            self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")
-        ).select(
-            "l_orderkey",
-            F.col("s_nationkey").cast("string").alias("work_code"),
-            F.col("l_quantity").alias("weight"),
-            F.col("l_linenumber").cast("string").alias("mode_code"),
+        ).select("o_orderkey", "c_nationkey", F.year("o_orderdate").alias("year"))
+        jobs = (
+            self.table("lineitem")
+            .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .select("l_orderkey", "s_nationkey", "l_quantity", "l_linenumber")
         )
+        resid_code = F.col("c_nationkey").cast("string").alias("resid_code")
+        work_code = F.col("s_nationkey").cast("string").alias("work_code")
         if residents is not None:
-            homes = residents_of(homes, residents)
+            homes = residents_of(homes.select("*", resid_code), residents).drop("resid_code")
         if workers is not None:
-            jobs = workers_in(jobs, workers)
+            jobs = workers_in(jobs.select("*", work_code), workers).drop("work_code")
         return jobs.join(
             homes.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")
-        ).select(*FLUX_COLUMNS)
+        ).select(
+            resid_code,
+            work_code,
+            F.col("l_quantity").alias("weight"),
+            F.col("l_linenumber").cast("string").alias("mode_code"),
+            "year",
+        )
 
     def flux_with_mode(self, workers: Lookup | None = None) -> DataFrame:
         flux = self.flux(workers=workers)
