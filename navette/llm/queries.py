@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navette.llm import decontaminate, mixing, ngram_join, personal_data, quality
+from navette.llm import decontaminate, mixing, ngram_join, personal_data, quality, suffix_dedup
 from navette.llm.common import held_out
 
 
@@ -23,6 +23,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_copies(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -46,6 +51,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op7_mix": op7_mix,
     "op8_ngram_join": op8_ngram_join,
     "op9_decontamination": op9_decontamination,
