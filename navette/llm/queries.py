@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navette.llm import decontaminate, mixing, ngram_join, personal_data, quality, suffix_dedup
+from navette.llm import decontaminate, mixing, ngram_join, personal_data, quality, suffix_dedup, toxicity
 from navette.llm.common import held_out
 
 
@@ -28,6 +28,15 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    aside = held_out(F.col("doc_id"), 4, 2)
+    labels = table(spark, sf_dir, "labels").where(~aside).select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.toxicity(docs, labels).select(
+        "doc_id", aside.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_copies(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -52,6 +61,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_mix": op7_mix,
     "op8_ngram_join": op8_ngram_join,
     "op9_decontamination": op9_decontamination,
