@@ -37,7 +37,9 @@ CELLS = 1 << 20
 #: Bytes of a word's beginnings that are features of their own.
 BEGINNINGS = (4, 6)
 #: Standard errors below the estimate that a word's weight is set.
-CAUTION = 2.5
+CAUTION = 3.0
+#: Smallest weight that counts; words that merely go with toxic text weigh less.
+LEAST_WEIGHT = 0.7
 STRONGEST = 3
 BINS = 1000
 
@@ -254,7 +256,8 @@ def word_weights(docs: DataFrame, restorer: Restorer, labels: tuple) -> np.ndarr
     clean, toxic = counts[:CELLS] + 1.0, counts[CELLS : 2 * CELLS] + 1.0
     n_clean, n_toxic = counts[2 * CELLS] + 2.0, counts[2 * CELLS + 1] + 2.0
     ratio = np.log(toxic / n_toxic) - np.log(clean / n_clean)
-    return np.maximum(ratio - CAUTION * np.sqrt(1 / toxic + 1 / clean), 0).astype(np.float32)
+    bound = ratio - CAUTION * np.sqrt(1 / toxic + 1 / clean)
+    return np.where(bound >= LEAST_WEIGHT, bound, 0).astype(np.float32)
 
 
 def evidence(buf: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
