@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navette.llm import decontaminate, mixing, ngram_join, personal_data, quality, suffix_dedup, toxicity
+from navette.llm import (
+    chat_format,
+    decontaminate,
+    embedding_dedup,
+    mixing,
+    ngram_join,
+    personal_data,
+    quality,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 from navette.llm.common import held_out
 
 
@@ -23,11 +34,36 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saying = "\\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", saying), (-7, 1, "assistant", saying)], turns.schema)
+    return chat_format.read_back(chat_format.formatted_chats(turns.union(more)))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Rules of hosts and paths.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last number of a path names the document of the page, which may carry a quality label."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    _, path = url_filter.host_and_path(F.col("url"))
+    named = pages.select("page_id", F.regexp_extract(path, r"([0-9]{1,18})[^0-9]*$", 1).try_cast("long").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("label"))
+    judged = url_filter.verdicts(pages, named.join(labels, "doc_id").select("page_id", "label"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     aside = held_out(F.col("doc_id"), 4, 2)
@@ -60,7 +96,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_chat_format": op2_chat_format,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_url_filter": op4_url_filter,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_mix": op7_mix,
     "op8_ngram_join": op8_ngram_join,
