@@ -121,18 +121,19 @@ def lowered(buf: np.ndarray) -> np.ndarray:
 
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame, written to the shared folder and read back, so that lost executors cost no earlier step."""
-    spark = frame.sparkSession
+    spark, schema = frame.sparkSession, frame.schema
     path = fresh_path(spark, name)
     frame.write.parquet(path)
-    done = spark.read.schema(frame.schema).parquet(path)
+    del frame
     release(spark)
-    return done
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Let the driver collect garbage: only then does Spark delete shuffle files no plan needs any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round finds unused lets go of more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
