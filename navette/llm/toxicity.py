@@ -47,7 +47,7 @@ SYMBOLS = 28  # boundary, a to z, other letters
 # fixed values: what signs may stand for
 READINGS = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c",
+    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t",
 }
 MARKS = ".-_*"
 
@@ -111,7 +111,7 @@ class Restorer:
             choices = READINGS.get(seen, "" if seen in MARKS or seen == " " else seen)
             reached: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
             for (p, q, last), (cost, path) in states.items():
-                steps = [((p, q, last), cost, path)] if not choices or last in choices else []
+                steps = [((p, q, last), cost, path)] if not choices or (last and last in choices) else []
                 for letter in choices:
                     symbol = _symbol(letter)
                     steps.append(((q, symbol, letter), cost + self.costs[p, q, symbol], (letter, path)))

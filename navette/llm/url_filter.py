@@ -9,7 +9,7 @@ each node decides how its children generalise:
 
 A template is the host and the generalised segments. Its purity is the share of bad pages among
 its labelled ones, smoothed towards the share of all labelled pages. A template is rejected if
-its purity reaches ``REJECT``. Rules come first: a rule fits its host and all subdomains if the path starts with
+its purity is above ``REJECT``. Rules come first: a rule fits its host and all subdomains if the path starts with
 the rule's path; the longest rule wins.
 
 Only DataFrame operations are used. Counts are aggregates with a map-side combine, so a host
@@ -113,7 +113,7 @@ def verdicts(pages: DataFrame, labelled: DataFrame, rules: dict[str, str], key:
     rated = paths.select("host", "path", "template").join(rated, "template")
     judged = null_safe_join(known.drop("bad"), rated, ["host", "path"])
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    method = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
+    method = F.when(F.col("purity") > REJECT, "block").otherwise("allow")
     return judged.select(
         F.col("page_id").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"),
         "template", "purity",
