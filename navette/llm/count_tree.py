@@ -6,7 +6,7 @@ import numpy as np
 
 GROUPS = 256
 #: A count that does not fit is stored as this value and bounds nothing.
-FULL = 65535
+FULL = 255
 FANOUT = 16
 
 
@@ -16,7 +16,7 @@ def count_vectors(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(rows), np.diff(bounds))
     cell = owner * GROUPS + (hashes >> np.uint64(48)).astype(np.int64) % GROUPS
     counts = np.bincount(cell, minlength=rows * GROUPS)
-    return np.minimum(counts, FULL).astype(np.uint16).reshape(rows, GROUPS)
+    return np.minimum(counts, FULL).astype(np.uint8).reshape(rows, GROUPS)
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:

@@ -10,14 +10,14 @@ pairs in an R-tree and before each exact comparison.
 2.  ``shared_tokens``: a linked pair shares one of the first n/4 + 1 shingles of both, in
     any order common to all documents. The order here is by how full the shingle's
     cell is, so wide-spread passages come last. Only classes enter, once per slice of text.
-3.  ``star_pairs``: each shared token links its smallest class to the others.
+3.  ``centred``: the smallest class of a shared token is its centre, and is paired with the others.
 4.  Pairs within the bound are verified on whole sets; links give components.
-5.  ``remaining_pairs``: within a token that still holds several components, classes
+5.  ``remaining_pairs``: around a centre that still has several components, classes
     outside the largest one search R-trees of the others. Blocks bound what a task holds.
 6.  These pairs are verified too, and the components of all links are the result.
 
 Two classes in one component need no further comparison, so a group of thousands of
-near copies costs a comparison for each member and token, not for each pair.
+near copies costs a comparison for each member and centre, not for each pair.
 
 Null or wordless texts have no shingles, no links and form their own component.
 Rows may repeat: equal rows are one class. Columns other than the key and text are
@@ -46,6 +46,8 @@ CELLS = 1 << 18
 SPREAD = 65_536
 #: Classes in one R-tree of the last search.
 BLOCK = 4096
+#: Pairs of two numbers that may be sent to all executors; more are joined by a shuffle of the texts.
+BROADCAST_ROWS = 500_000
 
 _PROFILE = "doc_id long, n long, cls long, check long, vec binary, block int, part binary"
 
@@ -145,19 +147,25 @@ def within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, shingles) of the wanted classes, read from one document of each."""
-    known = classes.join(wanted, "cls").select("cls", F.col("rep").alias("doc_id"))
+def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, fine: bool) -> DataFrame:
+    """(cls, shingles) of the wanted classes, read from one document of each.
+
+    ``fine``: of each hash only the group among 65,536, with repeats, a quarter of the size.
+    """
+    known = written(classes.join(wanted, "cls").select("cls", F.col("rep").alias("doc_id")), "ngram-wanted")
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
 
     def run(batches):
         for batch in slices(batches):
             hashes, bounds = shingle_sets(*utf8(batch.column("text")))
             cls, _ = _classes(hashes, bounds)
             same = cls.view(np.int64) == batch.column("cls").to_numpy()
-            sets = [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            kept = (hashes >> np.uint64(48)).astype(np.uint16) if fine else hashes
+            sets = [kept[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             out = pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.binary())], ["cls", "shingles"])
             yield out.filter(pa.array(same))
 
@@ -165,64 +173,81 @@ def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
     return texts.mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets reach the similarity."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, fine: bool) -> DataFrame:
+    """Pairs whose sets reach the similarity; with fine groups, whose summed minima allow it."""
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
 
+    def common(u, v):
+        if fine:
+            return int(np.minimum(np.bincount(u, minlength=1 << 16), np.bincount(v, minlength=1 << 16)).sum())
+        both = np.concatenate([u, v])
+        both.sort()
+        return int((both[1:] == both[:-1]).sum())
+
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([u, v])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(u) + len(v) - common))
+                u, v = (np.frombuffer(z.as_buffer(), np.uint16 if fine else np.uint64) for z in (x, y))
+                shared = common(u, v)
+                keep.append(100 * shared >= percent * (len(u) + len(v) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def star_pairs(tokens: DataFrame) -> DataFrame:
-    centre = tokens.groupBy("token").agg(F.min("cls").alias("a"))
-    pairs = tokens.join(centre, "token").where("cls <> a")
-    return pairs.select("a", F.col("cls").alias("b")).distinct()
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs that reach the similarity: first by a finer count vector, then by the sets themselves."""
+    for fine in (True, False):
+        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+        sets = written(whole_sets(docs, classes, ends, fine), "ngram-sets")
+        pairs = written(compared(pairs, sets, percent, fine), "ngram-links")
+    return pairs
+
+
+def centred(tokens: DataFrame) -> DataFrame:
+    """(centre, cls): classes by the smallest class of a token they are in, itself included.
+
+    Many tokens have one centre, so a pair of classes meets about once, not once for each shared token.
+    """
+    centre = tokens.groupBy("token").agg(F.min("cls").alias("centre"))
+    return tokens.join(centre, "token").select("centre", "cls").distinct()
 
 
 def remaining_pairs(
-    tokens: DataFrame, classes: DataFrame, found: DataFrame, percent: int, block: int = BLOCK
+    groups: DataFrame, classes: DataFrame, found: DataFrame, percent: int, block: int = BLOCK
 ) -> DataFrame:
-    """Pairs of different components that share a token and stay within the bound."""
-    placed = tokens.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left")
-    placed = placed.select("token", "cls", F.coalesce("component", "cls").alias("comp"))
-    parts = placed.groupBy("token", "comp").agg(F.count("*").alias("size"))
-    spread = parts.groupBy("token").agg(
+    """Pairs of different components that share a centre and stay within the bound."""
+    placed = groups.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left")
+    placed = placed.select("centre", "cls", F.coalesce("component", "cls").alias("comp"))
+    parts = placed.groupBy("centre", "comp").agg(F.count("*").alias("size"))
+    spread = parts.groupBy("centre").agg(
         F.max_by("comp", F.struct("size", "comp")).alias("largest"),
         F.sum("size").alias("total"),
         F.count("*").alias("parts"),
     )
-    spread = spread.where("parts > 1").select("token", "largest", F.ceil(F.col("total") / block).cast("int").alias("n_blocks"))
-    rows = placed.join(spread, "token")
+    spread = spread.where("parts > 1").select("centre", "largest", F.ceil(F.col("total") / block).cast("int").alias("n_blocks"))
+    rows = placed.join(spread, "centre")
     indexed = rows.select(
-        "token", F.expr("int(pmod(xxhash64(cls), n_blocks))").alias("piece"), F.lit(0).alias("asks"), "cls", "comp"
+        "centre", F.expr("int(pmod(xxhash64(cls), n_blocks))").alias("piece"), F.lit(0).alias("asks"), "cls", "comp"
     )
     asking = rows.where("comp <> largest").select(
-        "token", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("piece"), F.lit(1).alias("asks"), "cls", "comp"
+        "centre", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("piece"), F.lit(1).alias("asks"), "cls", "comp"
     )
     sized = classes.select("cls", "n", "vec")
     dealt = indexed.union(asking).join(sized, "cls")
-    dealt = dealt.select("token", "piece", "asks", "cls", "comp", "n", "vec")
-    dealt = dealt.repartition("token", "piece").sortWithinPartitions("token", "piece", "asks", "cls")
+    dealt = dealt.select("centre", "piece", "asks", "cls", "comp", "n", "vec")
+    dealt = dealt.repartition("centre", "piece").sortWithinPartitions("centre", "piece", "asks", "cls")
 
     def run(batches):
         held: dict = {"key": None}
 
-        def answer(group, rows):
+        def answer(rows):
             """Index rows come first; questions may arrive over several calls."""
-            token_piece, asks, cls, comp, n, vec = rows
-            if held["key"] != token_piece:
-                held.update(key=token_piece, index=[], tree=None)
+            group, asks, cls, comp, n, vec = rows
+            if held["key"] != group:
+                held.update(key=group, index=[], tree=None)
             if not asks[0]:
                 held["index"].append((cls, comp, n, vec))
                 return None
@@ -242,15 +267,15 @@ def remaining_pairs(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, piece, asks, cls, comp, n = (batch.column(i).to_numpy() for i in range(6))
+            centre, piece, asks, cls, comp, n = (batch.column(i).to_numpy() for i in range(6))
             vec = _vectors(batch.column("vec"))
             new = np.flatnonzero(
-                np.concatenate([[True], (token[1:] != token[:-1]) | (piece[1:] != piece[:-1]) | (asks[1:] != asks[:-1])])
+                np.concatenate([[True], (centre[1:] != centre[:-1]) | (piece[1:] != piece[:-1]) | (asks[1:] != asks[:-1])])
             ).tolist()
             out = []
-            for s, e in zip(new, [*new[1:], len(token)], strict=True):
-                key = (int(token[s]), int(piece[s]))
-                got = answer(key, (key, asks[s:e], cls[s:e], comp[s:e], n[s:e], vec[s:e]))
+            for s, e in zip(new, [*new[1:], len(centre)], strict=True):
+                key = (int(centre[s]), int(piece[s]))
+                got = answer((key, asks[s:e], cls[s:e], comp[s:e], n[s:e], vec[s:e]))
                 if got is not None:
                     out.append(got)
             if out:
@@ -274,19 +299,16 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     )
     classes = written(classes, "ngram-classes")
     tokens = written(shared_tokens(docs, cells, percent), "ngram-tokens")
-    pairs = written(within_bound(star_pairs(tokens), classes, percent), "ngram-pairs")
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = written(whole_sets(docs, classes, ends), "ngram-sets")
-    links = written(verified(pairs, sets, percent), "ngram-links")
+    groups = written(centred(tokens), "ngram-groups")
+    stars = groups.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
+    pairs = written(within_bound(stars, classes, percent), "ngram-pairs")
+    links = verified(docs, classes, pairs, percent)
     found = components(links, "ngram-components")
-    rest = written(remaining_pairs(tokens, classes, found, percent), "ngram-rest")
+    rest = written(remaining_pairs(groups, classes, found, percent), "ngram-rest")
     rest = rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = written(rest, "ngram-untried")
     if not rest.isEmpty():
-        ends = rest.select(F.col("a").alias("cls")).union(rest.select(F.col("b").alias("cls"))).distinct()
-        fresh = ends.join(sets.select("cls"), "cls", "left_anti")
-        sets = written(sets.union(whole_sets(docs, classes, fresh)), "ngram-more-sets")
-        links = written(links.union(verified(rest, sets, percent)), "ngram-all-links")
+        links = links.union(verified(docs, classes, rest, percent))
         found = components(links, "ngram-all-components")
     roots = classes.select("cls", "rep").join(found.withColumnRenamed("node", "cls"), "cls", "left")
     roots = roots.select("cls", "rep", F.coalesce("component", "cls").alias("root"))
@@ -308,20 +330,29 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Wordless rows all stay. Rows that share a key are told apart by their class of equal sets.
     """
     placed = ngram_components(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id")))
-    placed = written(placed.select(F.col(key).alias("__key"), "cls", "root").distinct(), "ngram-kept")
+    placed = written(placed.select(F.col(key).alias("__key"), F.col("cls").alias("__own"), F.col("root").alias("__root")).distinct(), "ngram-kept")
     several = docs.groupBy(F.col(key).alias("__key")).count().where("count > 1 or __key is null").select("__key")
+    several = written(several, "ngram-several")
     single = placed.join(several, "__key", "left_anti").where("__key is not null")
     once = docs.join(single, F.col(key) == F.col("__key"), "left_semi")
+    if several.isEmpty():
+        return once
 
     @F.pandas_udf("long")
     def class_of(texts):
-        hashes, bounds = shingle_sets(*utf8(pa.Array.from_pandas(texts, type=pa.string())))
-        cls, _ = _classes(hashes, bounds)
-        return pd.Series(cls.view(np.int64)).where(np.diff(bounds) > 0).astype("Int64")
+        out = [pd.Series([], dtype="Int64")]
+        whole = pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.string())], ["text"])
+        for piece in slices([whole]):
+            hashes, bounds = shingle_sets(*utf8(piece.column("text")))
+            cls, _ = _classes(hashes, bounds)
+            out.append(pd.Series(cls.view(np.int64)).where(np.diff(bounds) > 0).astype("Int64"))
+        return pd.concat(out, ignore_index=True)
 
     same = F.col(key).eqNullSafe(F.col("__key"))
-    again = docs.join(several, same, "left_semi").withColumn("__cls", class_of(F.col(text).cast("string")))
+    # written, so that the class is worked out for these rows only
+    again = written(docs.join(several, same, "left_semi"), "ngram-again")
+    again = again.withColumn("__cls", class_of(F.col(text).cast("string")))
     wordless = again.where("__cls is null").select(docs.columns)
-    chosen = again.join(placed, same & (F.col("__cls") == F.col("cls")))
-    chosen = chosen.dropDuplicates(["root"]).select(docs.columns)
+    chosen = again.join(placed, same & (F.col("__cls") == F.col("__own")))
+    chosen = chosen.dropDuplicates(["__root"]).select(docs.columns)
     return once.union(wordless).union(chosen)
