@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from navette.sources.shared import fresh_path
 
 #: Bytes of text a kernel takes at once; a longer document is a slice of its own.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 WORD_BYTES = "[^\\x20\\x09-\\x0D]+"
 

@@ -48,6 +48,8 @@ SPREAD = 65_536
 BLOCK = 4096
 #: Pairs of two numbers that may be sent to all executors; more are joined by a shuffle of the texts.
 BROADCAST_ROWS = 500_000
+#: Keys of dropped documents that may be sent to all executors; more are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
 
 _PROFILE = "doc_id long, n long, cls long, check long, vec binary, block int, part binary"
 
@@ -329,12 +331,19 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Wordless rows all stay. Rows that share a key are told apart by their class of equal sets.
     """
-    placed = ngram_components(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id")))
-    placed = written(placed.select(F.col(key).alias("__key"), F.col("cls").alias("__own"), F.col("root").alias("__root")).distinct(), "ngram-kept")
+    placed = ngram_components(docs, key, text).select(
+        F.col(key).alias("__key"),
+        F.col("cls").alias("__own"),
+        F.col("root").alias("__root"),
+        F.col(key).eqNullSafe(F.col("component_id")).alias("__kept"),
+    )
+    placed = written(placed.distinct(), "ngram-placed")
     several = docs.groupBy(F.col(key).alias("__key")).count().where("count > 1 or __key is null").select("__key")
     several = written(several, "ngram-several")
-    single = placed.join(several, "__key", "left_anti").where("__key is not null")
-    once = docs.join(single, F.col(key) == F.col("__key"), "left_semi")
+    gone = written(placed.where("not __kept").select("__key").union(several).where("__key is not null").distinct(), "ngram-gone")
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    once = docs.where(F.col(key).isNotNull()).join(gone, F.col(key) == F.col("__key"), "left_anti")
     if several.isEmpty():
         return once
 
@@ -353,6 +362,6 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     again = written(docs.join(several, same, "left_semi"), "ngram-again")
     again = again.withColumn("__cls", class_of(F.col(text).cast("string")))
     wordless = again.where("__cls is null").select(docs.columns)
-    chosen = again.join(placed, same & (F.col("__cls") == F.col("__own")))
+    chosen = again.join(placed.where("__kept"), same & (F.col("__cls") == F.col("__own")))
     chosen = chosen.dropDuplicates(["__root"]).select(docs.columns)
     return once.union(wordless).union(chosen)
