@@ -74,9 +74,10 @@ def od_oneway(wide: DataFrame, *by: str) -> DataFrame:
 def od_oneway_from_flows(flows: DataFrame, *by: str) -> DataFrame:
     """The same without the directed wide table, so with one shuffle instead of two.
 
-    A mode no traveller of the pair used is NULL here and 0 in ``od_oneway``.
+    A mode no traveller of the pair used is 0.
     """
-    return od_wide(undirected(between_communes(flows)), *by, "code_a", "code_b")
+    wide = od_wide(undirected(between_communes(flows)), *by, "code_a", "code_b")
+    return wide.withColumns({m: F.coalesce(m, F.lit(0.0)) for m in MEASURES})
 
 
 def with_shares(oneway: DataFrame) -> DataFrame:

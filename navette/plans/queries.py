@@ -205,7 +205,14 @@ def mart_pruned_scan(census: Census) -> DataFrame:
 
 @query
 def mart_build_if_absent(census: Census) -> DataFrame:
-    return mart.build_mart_if_absent(census.spark, census.mart_path(), census.mart)
+    """Published once at a path of its own; the second call finds it and must not build."""
+
+    def unwanted() -> DataFrame:
+        raise AssertionError("the mart is present")
+
+    path = f"{census.mart_path()}-published"
+    mart.build_mart_if_absent(census.spark, path, census.mart)
+    return mart.build_mart_if_absent(census.spark, path, unwanted)
 
 
 def _enriched(census: Census) -> DataFrame:

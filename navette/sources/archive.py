@@ -32,7 +32,8 @@ def zip_member_rows(
     """Rows of the delimited members whose name matches the pattern ``member``.
 
     Each member is decompressed and parsed as a stream of Arrow batches, so a
-    task holds the archive and one block of rows, never the unpacked file.
+    task holds the archive and one block of rows, never the unpacked file. Cells
+    are trimmed, as in the reader of plain files.
     """
     names = list(types)
 
@@ -58,7 +59,12 @@ def zip_member_rows(
     text = archives.select("content").mapInArrow(
         rows, ", ".join(f"`{n}` STRING" for n in names)
     )
-    return text.select(*[F.col(f"`{n}`").try_cast(kind).alias(n) for n, kind in types.items()])
+    columns = []
+    for name, kind in types.items():
+        cell = F.btrim(F.col(f"`{name}`"))
+        present = F.when(~cell.isin(*MISSING), cell)
+        columns.append(present.try_cast(kind).alias(name))
+    return text.select(*columns)
 
 
 def read_flux_zip(archives: DataFrame, member: str, sep: str = ";") -> DataFrame:

@@ -14,12 +14,39 @@ from navette.schemas import FLOW_FILE_COLUMNS, FLOW_FILE_TYPES
 MISSING = ("", "NA")
 
 
+def _as_text(spark: SparkSession, path: str | list[str], sep: str, trim: bool) -> DataFrame:
+    return (
+        spark.read.option("sep", sep)
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("ignoreLeadingWhiteSpace", trim)
+        .option("ignoreTrailingWhiteSpace", trim)
+        .csv(path)
+    )
+
+
+def unparsed_cells(
+    spark: SparkSession, path: str | list[str], types: Mapping[str, str], sep: str = ";"
+) -> DataFrame:
+    """One row: for each column, how many cells hold something that is not of its type.
+
+    ``read_delimited`` takes these as missing, and a missing weight adds nothing.
+    """
+    raw = _as_text(spark, path, sep, True)
+    counts = []
+    for name, kind in types.items():
+        cell = F.btrim(F.col(f"`{name}`"))
+        bad = cell.isNotNull() & ~cell.isin(*MISSING) & cell.try_cast(kind).isNull()
+        counts.append(F.count_if(bad).alias(name))
+    return raw.agg(*counts)
+
+
 def read_delimited(
     spark: SparkSession,
     path: str | list[str],
     types: Mapping[str, str],
     sep: str = ";",
-    trim: bool = False,
+    trim: bool = True,
 ) -> DataFrame:
     """The columns named in ``types``, cast to the declared type.
 
@@ -28,24 +55,17 @@ def read_delimited(
     their leading zeros. A cell that is not of its type is missing. A file whose header differs from the first one fails
     instead of giving shifted values.
     """
-    raw = (
-        spark.read.option("sep", sep)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("ignoreLeadingWhiteSpace", trim)
-        .option("ignoreTrailingWhiteSpace", trim)
-        .csv(path)
-    )
+    raw = _as_text(spark, path, sep, trim)
     columns = []
     for name, kind in types.items():
-        cell = F.col(f"`{name}`")
+        cell = F.btrim(F.col(f"`{name}`")) if trim else F.col(f"`{name}`")
         present = F.when(~cell.isin(*MISSING), cell)
         columns.append(present.try_cast(kind).alias(name))
     return raw.select(*columns)
 
 
 def read_flux(
-    spark: SparkSession, path: str | list[str], sep: str = ";", trim: bool = False
+    spark: SparkSession, path: str | list[str], sep: str = ";", trim: bool = True
 ) -> DataFrame:
     """One yearly flow file (or several with the same layout), four columns wide."""
     return read_delimited(spark, path, FLOW_FILE_TYPES, sep, trim).withColumnsRenamed(

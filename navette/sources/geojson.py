@@ -23,10 +23,18 @@ def read_features(spark: SparkSession, path: str, whole_files: bool = False) ->
     """Features as (code, geometry type, coordinate text).
 
     Accepts feature collections and single features, one per line or, with
-    ``whole_files``, one per file.
+    ``whole_files``, one per file. Anything else fails: a file spread over lines
+    would otherwise give no rows and no error.
     """
-    raw = spark.read.schema(FEATURE_SCHEMA).option("multiLine", whole_files).json(path)
-    single = F.array(F.struct("properties", "geometry"))
+    raw = (
+        spark.read.schema(FEATURE_SCHEMA)
+        .option("multiLine", whole_files)
+        .option("mode", "FAILFAST")
+        .json(path)
+    )
+    neither = F.raise_error(F.lit("a row of the GeoJSON input is neither a feature nor a collection"))
+    known = F.col("properties").isNotNull() | F.col("geometry").isNotNull()
+    single = F.when(known, F.array(F.struct("properties", "geometry"))).otherwise(neither)
     feature = raw.select(F.explode(F.coalesce("features", single)).alias("f"))
     return feature.select(
         F.col("f.properties.code").alias("code"),
@@ -54,18 +62,26 @@ def commune_points(features: DataFrame) -> DataFrame:
     )
 
 
-def commune_contours(features: DataFrame) -> DataFrame:
-    """Polygon features with WKT, rings in file order."""
-    rings = F.from_json("coordinates", "array<array<array<double>>>")
+def _rings_text(rings: Column) -> Column:
     ring_text = F.transform(
         rings,
         lambda ring: F.concat(
             F.lit("("), F.concat_ws(", ", F.transform(ring, _pair_text)), F.lit(")")
         ),
     )
-    return features.filter(F.col("kind") == "Polygon").select(
-        "code",
-        F.concat(F.lit("POLYGON ("), F.concat_ws(", ", ring_text), F.lit(")")).alias("wkt"),
+    return F.concat(F.lit("("), F.concat_ws(", ", ring_text), F.lit(")"))
+
+
+def commune_contours(features: DataFrame) -> DataFrame:
+    """Polygon and multipolygon features with WKT, parts and rings in file order."""
+    one = F.from_json("coordinates", "array<array<array<double>>>")
+    many = F.from_json("coordinates", "array<array<array<array<double>>>>")
+    parts = F.concat(F.lit("("), F.concat_ws(", ", F.transform(many, _rings_text)), F.lit(")"))
+    wkt = F.when(F.col("kind") == "Polygon", F.concat(F.lit("POLYGON "), _rings_text(one))).when(
+        F.col("kind") == "MultiPolygon", F.concat(F.lit("MULTIPOLYGON "), parts)
+    )
+    return features.filter(F.col("kind").isin("Polygon", "MultiPolygon")).select(
+        "code", wkt.alias("wkt")
     )
 
 

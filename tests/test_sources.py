@@ -35,15 +35,15 @@ def test_columns_are_found_by_name_and_missing_markers_are_null(spark, flow_csv)
             ("1004", "01004", 1.5, "1"),
             ("01004", None, 2.0, None),
             (None, "44109", None, "2"),
-            ("44109", " 44109 ", None, "3"),
+            ("44109", "44109", None, "3"),
         ],
         key=str,
     )
 
 
-def test_trimmed_scan(spark, flow_csv):
-    found = as_dict(delimited.read_flux(spark, str(flow_csv), trim=True), "mode_code")
-    assert found[("3",)]["work_code"] == "44109"
+def test_untrimmed_scan_on_request(spark, flow_csv):
+    found = as_dict(delimited.read_flux(spark, str(flow_csv), trim=False), "mode_code")
+    assert found[("3",)]["work_code"] == " 44109 "
 
 
 def test_only_named_columns_are_read(spark, flow_csv):
