@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -20,11 +20,14 @@ HALF_SHARE_BREAKS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5]
 SHARE_BREAKS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 
 
-def choropleth_measures(flows: DataFrame, layer: Lookup) -> DataFrame:
+def choropleth_measures(
+    flows: DataFrame, layer: Lookup, years: Sequence[int | None]
+) -> DataFrame:
     """Flow by home and by work commune and year, on the geometry layer.
 
     Each flow is stacked under both of its communes, so one scan and one shuffle
-    give both measures. A commune without rows for a role has NULL there.
+    give both measures. Every commune of the layer has a row for each of ``years``;
+    without rows for a role it has NULL there. Without years it has one row.
     """
     roles = F.array(
         F.struct(F.col("resid_code").alias("code"), F.lit(True).alias("home")),
@@ -35,7 +38,11 @@ def choropleth_measures(flows: DataFrame, layer: Lookup) -> DataFrame:
         _if_any(F.col("home"), "flow").alias("domicile"),
         _if_any(~F.col("home"), "flow").alias("travail"),
     )
-    return layer.frame.join(measures, layer.key, "left")
+    each_year = F.array(*[F.lit(y) for y in years]).cast("array<int>")
+    shown = layer.frame.withColumn("year", F.explode_outer(each_year))
+    measures = measures.withColumnsRenamed({"year": "__year", "code": "__code"})
+    same = [F.col(layer.key) == F.col("__code"), F.col("year").eqNullSafe(F.col("__year"))]
+    return shown.join(measures, same, "left").drop("__year", "__code")
 
 
 def _if_any(test: Column, measure: str) -> Column:
@@ -55,24 +62,24 @@ def fixed_class(value: Column, breaks: Sequence[float]) -> Column:
 
 
 def continuous_scale(values: DataFrame, value: str, *by: str) -> DataFrame:
-    """Position of each value between the least and the greatest of its group.
+    """Position, from 0 to 1, of each value between the least and the greatest of its group.
 
     The limits are aggregated and joined back, so no task needs a whole group.
+    Give a stored measure: a sum worked out twice can differ in its last digit.
     """
     limits = values.groupBy(*by).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
-    scaled = ratio(F.col(value) - F.col("__low"), F.col("__high") - F.col("__low"))
+    place = ratio(F.col(value) - F.col("__low"), F.col("__high") - F.col("__low"))
+    inside = F.when(place < 0, 0.0).when(place > 1, 1.0).otherwise(place)
     return (
-        _join_groups(values, limits, {key: key for key in by})
-        .withColumn("scale", scaled)
-        .drop("__low", "__high")
+        _join_groups(values, limits, by).withColumn("scale", inside).drop("__low", "__high")
     )
 
 
-def _join_groups(values: DataFrame, groups: DataFrame, keys: Mapping[str, str]) -> DataFrame:
-    """Left join in which NULL keys match (name in ``groups`` -> name in ``values``)."""
+def _join_groups(values: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which NULL keys match."""
     hidden = {key: f"__key_{key}" for key in keys}
     groups = groups.withColumnsRenamed(hidden)
-    same = [F.col(mine).eqNullSafe(F.col(hidden[key])) for key, mine in keys.items()]
+    same = [F.col(key).eqNullSafe(F.col(hidden[key])) for key in keys]
     return values.join(groups, reduce(and_, same), "left").drop(*hidden.values())
 
 
@@ -86,7 +93,8 @@ def natural_breaks(values: DataFrame, value: str, k: int, *by: str) -> DataFrame
     """Class (from 1) of each value under the least-squares partition into ``k``.
 
     Equal values are counted before grouping, so a task receives the distinct
-    commune totals of one group, and all groups are solved in parallel.
+    commune totals of one group, and all groups are solved in parallel. Each group
+    gets the least value of each class, and values are compared with these limits.
     """
     known = values.filter(F.col(value).isNotNull())
     distinct = known.groupBy(*by, F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
@@ -94,18 +102,18 @@ def natural_breaks(values: DataFrame, value: str, k: int, *by: str) -> DataFrame
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__value")
-        classes = least_squares_classes(
-            pdf["__value"].to_numpy(float), pdf["__n"].to_numpy(float), k
-        )
-        return pdf[keys + ["__value"]].assign(natural_class=classes)
+        found = pdf["__value"].to_numpy(float)
+        classes = least_squares_classes(found, pdf["__n"].to_numpy(float), k)
+        starts = np.flatnonzero(np.diff(classes, prepend=0))
+        return pdf[keys].head(1).assign(__limits=[found[starts].tolist()])
 
     key_types = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.select(*by).schema
     )
-    classes = distinct.groupBy(*by).applyInPandas(
-        solve, f"{key_types}, `__value` double, natural_class int"
-    )
-    return _join_groups(values, classes, {**{key: key for key in by}, "__value": value})
+    limits = distinct.groupBy(*by).applyInPandas(solve, f"{key_types}, `__limits` array<double>")
+    reached = F.size(F.filter("__limits", lambda low: low <= F.col(value)))
+    classed = F.when(F.col(value).isNotNull(), F.greatest(reached, F.lit(1)))
+    return _join_groups(values, limits, by).withColumn("natural_class", classed).drop("__limits")
 
 
 def least_squares_classes(values: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
@@ -126,7 +134,7 @@ def least_squares_classes(values: np.ndarray, counts: np.ndarray, k: int) -> np.
         mean_part = (first[stop] - first[starts]) ** 2 / mass
         return second[stop] - second[starts] - mean_part
 
-    cost = np.concatenate(([0.0], [spread(np.array([0]), stop)[0] for stop in range(1, n + 1)]))
+    cost = np.concatenate(([0.0], second[1:] - first[1:] ** 2 / weight[1:]))
     starts_by_class = []
     for c in range(2, k + 1):
         best = np.full(n + 1, np.inf)

@@ -171,6 +171,11 @@ class Census:
         """The written flow mart: survey rows are joined and summed only once."""
         return read_mart(self.spark, self.mart_path())
 
+    def years(self) -> list[int | None]:
+        """Survey years of the mart, its partitions, in order."""
+        found = self.stored_mart().select("year").distinct().collect()
+        return sorted((row["year"] for row in found), key=lambda y: (y is None, y))
+
     def written(self, name: str, write) -> str:
         """Path of a table that ``write(path)`` has filled, once per application."""
         key = self._key(name)

@@ -163,8 +163,9 @@ measures AS (
   FROM home h FULL OUTER JOIN jobs j ON h.year = j.year AND h.code = j.code
 ),
 commune AS (
-  SELECT year, epci, registry.code, name, domicile, travail
-  FROM registry LEFT JOIN measures ON registry.code = measures.code
+  SELECT shown.year, epci, registry.code, name, domicile, travail
+  FROM registry CROSS JOIN (SELECT DISTINCT year FROM flux) shown
+  LEFT JOIN measures ON registry.code = measures.code AND shown.year = measures.year
 )
 """
 

@@ -546,12 +546,20 @@ def od_oneway_shares_all(census: Census) -> DataFrame:
 
 @query
 def choropleth_measures(census: Census) -> DataFrame:
-    return classify.choropleth_measures(census.stored_mart(), census.layer())
+    return classify.choropleth_measures(census.stored_mart(), census.layer(), census.years())
 
 
 def _measures(census: Census) -> DataFrame:
-    measures = classify.choropleth_measures(census.stored_mart(), census.registry())
-    return measures.select("year", "epci", "code", "domicile", "travail")
+    """Map measures, stored, so that limits and classes come from the same sums."""
+
+    def frame() -> DataFrame:
+        registry, years = census.registry(), census.years()
+        measures = classify.choropleth_measures(census.stored_mart(), registry, years)
+        return measures.select("year", "epci", "code", "domicile", "travail")
+
+    path = census.written("map_measures", lambda p: frame().write.parquet(p))
+    types = "year INT, epci STRING, code STRING, domicile DOUBLE, travail DOUBLE"
+    return census.spark.read.schema(types).parquet(path)
 
 
 @query

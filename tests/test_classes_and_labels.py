@@ -89,10 +89,37 @@ def test_ranks_are_shared(spark):
 
 def test_commune_without_jobs_has_no_measure_there(make_flux, registry):
     frame = make_flux([("A", "B", 2.0, "1", 2018), ("A", "B", 1.0, "1", 2018), ("Z", "B", 4.0, "1", 2018)])
-    found = as_dict(classify.choropleth_measures(frame, registry), "code")
+    found = as_dict(classify.choropleth_measures(frame, registry, [2018]), "code")
     assert (found[("A",)]["domicile"], found[("A",)]["travail"]) == (3.0, None)
     assert (found[("B",)]["domicile"], found[("B",)]["travail"]) == (None, 7.0)
-    assert found[("C",)]["year"] is None and ("Z",) not in found
+    assert (found[("C",)]["year"], found[("C",)]["domicile"]) == (2018, None) and ("Z",) not in found
+
+
+def test_every_commune_has_a_row_each_year(make_flux, registry):
+    frame = make_flux([("A", "B", 2.0, "1", 2017), ("C", "C", 1.0, "1", 2017), ("A", "B", 1.0, "1", 2018)])
+    found = as_dict(classify.choropleth_measures(frame, registry, [2017, 2018]), "code", "year")
+    assert len(found) == 2 * registry.rows
+    assert (found["C", 2017]["domicile"], found["C", 2018]["domicile"]) == (1.0, None)
+    assert found["A", 2018]["domicile"] == 1.0 and found["D", 2017]["travail"] is None
+
+
+def test_without_years_communes_stay(make_flux, registry):
+    found = classify.choropleth_measures(make_flux([]), registry, []).collect()
+    assert len(found) == registry.rows and {r["year"] for r in found} == {None}
+
+
+def test_fractional_measures_in_any_order_have_a_class(spark):
+    rng = np.random.default_rng(3)
+    rows = [("g", f"c{i % 40}", float(w)) for i, w in enumerate(rng.random(4000))]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([(g, c, float(w)) for g, c, w in rows], "epci STRING, code STRING, w DOUBLE")
+    summed = frame.repartition(7).groupBy("epci", "code").agg(F.sum("w").alias("v"))
+    classed = classify.natural_breaks(summed, "v", 3, "epci").collect()
+    assert len(classed) == 40 and {r["natural_class"] for r in classed} == {1, 2, 3}
+    by_value = [r["natural_class"] for r in sorted(classed, key=lambda r: r["v"])]
+    assert by_value == sorted(by_value)
+    scaled = [r["scale"] for r in classify.continuous_scale(summed, "v", "epci").collect()]
+    assert len(scaled) == 40 and all(0.0 <= x <= 1.0 for x in scaled)
 
 
 def test_label_texts(spark):

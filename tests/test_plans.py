@@ -80,6 +80,12 @@ def test_facts_are_never_broadcast(census):
     assert "SortMergeJoin [l_orderkey" in plan
 
 
+@pytest.mark.parametrize("name", ["class_continuous", "class_natural_breaks"])
+def test_classes_do_not_sum_again(spark, name):
+    plan = plan_of(QUERIES[name](spark, SMALL_DIR))
+    assert "sum(" not in plan and "FileScan parquet [year" in plan
+
+
 def test_hot_commune_is_split_when_the_registry_cannot_be_broadcast(spark, tmp_path, monkeypatch):
     """A key with most of the rows is read by several tasks of the join."""
     from navette.operators import lookup
