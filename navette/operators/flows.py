@@ -104,12 +104,21 @@ def touching_group(labelled: DataFrame, epci: str) -> DataFrame:
     Labels of the ends outside the group are blanked.
     """
     kept = labelled.filter((F.col("resid_epci") == epci) | (F.col("work_epci") == epci))
+    return _labels_of(kept, epci)
+
+
+def workers_of_group(labelled: DataFrame, epci: str) -> DataFrame:
+    """Flows that end in the group, labels of homes outside it blanked."""
+    return _labels_of(labelled.filter(F.col("work_epci") == epci), epci)
+
+
+def _labels_of(labelled: DataFrame, epci: str) -> DataFrame:
     blanked = {}
     for end in ("resid", "work"):
         inside = F.col(f"{end}_epci") == epci
         for label in ("name", "epci"):
             blanked[f"{end}_{label}"] = F.when(inside, F.col(f"{end}_{label}"))
-    return kept.withColumns(blanked)
+    return labelled.withColumns(blanked)
 
 
 def within(labelled: DataFrame, year: int | None = None, epci: str | None = None) -> DataFrame:

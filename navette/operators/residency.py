@@ -1,4 +1,7 @@
-"""Counts of surveyed people by where they live and work relative to a group."""
+"""Counts of surveyed people by where they live and work relative to a group.
+
+Flows come from ``touching`` or ``touching_group``: an end outside the group is unlabelled.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navette.functions.nulls import ratio
-from navette.operators.flows import end_inside, label_ends, name_ends, touching
+from navette.operators.flows import end_inside, name_ends
 from navette.operators.lookup import Lookup
 
 
@@ -15,12 +18,11 @@ def observations(predicate: Column) -> Column:
     return F.coalesce(F.sum(F.when(predicate, F.col("n_obs"))), F.lit(0).cast("bigint"))
 
 
-def membership_stats(flows: DataFrame, members: Lookup) -> DataFrame:
+def membership_stats(touched: DataFrame) -> DataFrame:
     """Per work commune: who lives in the group, works in it, both, only works."""
     lives, works = end_inside("resid"), end_inside("work")
     return (
-        touching(flows, members)
-        .groupBy("work_code")
+        touched.groupBy("work_code")
         .agg(
             observations(lives).alias("n_resid"),
             observations(works).alias("n_work"),
@@ -37,12 +39,11 @@ def top_work_communes(stats: DataFrame, registry: Lookup, n: int) -> DataFrame:
     return name_ends(top, registry, "work")
 
 
-def headline_counts(flows: DataFrame, members: Lookup, *by: str) -> DataFrame:
+def headline_counts(touched: DataFrame, *by: str) -> DataFrame:
     """Touching, resident, working, both and incoming people, in one pass."""
     lives, works = end_inside("resid"), end_inside("work")
     return (
-        touching(flows, members)
-        .groupBy(*by)
+        touched.groupBy(*by)
         .agg(
             observations(F.lit(True)).alias("n_touching"),
             observations(lives).alias("n_residents"),
@@ -53,15 +54,15 @@ def headline_counts(flows: DataFrame, members: Lookup, *by: str) -> DataFrame:
     )
 
 
-def work_commune_residency(flows: DataFrame, members: Lookup, *by: str) -> DataFrame:
+def work_commune_residency(touched: DataFrame, members: Lookup, *by: str) -> DataFrame:
     """Per work commune of the group: where its workers live.
 
     ``n_own_commune`` counts people who live in the commune they work in;
     membership of the whole group is counted separately.
     """
     lives = end_inside("resid")
-    labelled = label_ends(flows, members).filter(end_inside("work"))
-    counted = labelled.groupBy(*by, "work_code").agg(
+    working = touched.filter(end_inside("work"))
+    counted = working.groupBy(*by, "work_code").agg(
         observations(F.lit(True)).alias("n_total"),
         observations(lives).alias("n_resident_in_epci"),
         observations(~lives).alias("n_nonresident"),

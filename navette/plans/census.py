@@ -98,13 +98,13 @@ class Census:
             "year",
         )
 
-    def flux_with_mode(self, workers: Lookup | None = None) -> DataFrame:
-        flux = self.flux(workers=workers)
+    def flux_with_mode(self) -> DataFrame:
+        flux = self.flux()
         return flux.withColumn("mode", recode_mode(F.col("mode_code"), F.col("year")))
 
-    def flows(self, workers: Lookup | None = None) -> DataFrame:
+    def flows(self) -> DataFrame:
         """Survey rows with their mode label, ready for the operators."""
-        return as_flows(self.flux_with_mode(workers))
+        return as_flows(self.flux_with_mode())
 
     def registry_frame(self) -> DataFrame:
         nation = self.table("nation")
@@ -145,7 +145,7 @@ class Census:
         """Pair totals with known differences: some one too high, some pairs absent."""
         resid, work = F.col("resid_code"), F.col("work_code")
         extra = F.when((resid.cast("int") + work.cast("int")) % 7 == 0, 1.0).otherwise(0.0)
-        pairs = totals(self.flows(), "resid_code", "work_code").filter(resid != work)
+        pairs = totals(self.stored_mart(), "resid_code", "work_code").filter(resid != work)
         return pairs.select("resid_code", "work_code", (F.col("flow") + extra).alias("published"))
 
     def registry(self) -> Lookup:

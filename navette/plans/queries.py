@@ -301,9 +301,14 @@ def flux_epci_intra(census: Census) -> DataFrame:
     )
 
 
+def _touching(census: Census) -> DataFrame:
+    """Flows of every year that touch the chosen group, from the mart."""
+    return flows.touching_group(census.stored_mart(), EPCI)
+
+
 def _touching_selection(census: Census) -> DataFrame:
-    """Flows of every year that touch the chosen group, outsiders as one NULL end."""
-    return flows.outsiders_to_null(flows.touching(census.flows(), census.members(EPCI)))
+    """The same, outsiders as one NULL end."""
+    return flows.outsiders_to_null(_touching(census))
 
 
 def _touching_all(census: Census) -> DataFrame:
@@ -326,19 +331,19 @@ def flow_mart(census: Census) -> DataFrame:
 
 @query
 def weighted_by_residence(census: Census) -> DataFrame:
-    per_commune = flows.totals(census.flows(), "year", "resid_code")
+    per_commune = flows.totals(census.stored_mart(), "year", "resid_code")
     return flows.name_ends(per_commune, census.registry(), "resid").drop("n_obs")
 
 
 @query
 def weighted_by_work(census: Census) -> DataFrame:
-    per_commune = flows.totals(census.flows(), "year", "work_code")
+    per_commune = flows.totals(census.stored_mart(), "year", "work_code")
     return flows.name_ends(per_commune, census.registry(), "work").drop("n_obs")
 
 
 @query
 def weighted_by_residence_mode(census: Census) -> DataFrame:
-    per_mode = flows.totals(census.flows(), "year", "resid_code", "mode")
+    per_mode = flows.totals(census.stored_mart(), "year", "resid_code", "mode")
     return flows.name_ends(per_mode, census.registry(), "resid").drop("n_obs")
 
 
@@ -350,41 +355,41 @@ def count_by_residence(census: Census) -> DataFrame:
 
 @query
 def od_pair_totals(census: Census) -> DataFrame:
-    pairs = flows.totals(census.flows(), "year", "resid_code", "work_code")
+    pairs = flows.totals(census.stored_mart(), "year", "resid_code", "work_code")
     return flows.name_ends(pairs, census.registry(), "resid", "work").drop("n_obs")
 
 
 @query
 def od_mode_flows(census: Census) -> DataFrame:
-    pairs = flows.totals(census.flows(), *flows.MART_KEYS)
+    pairs = flows.totals(census.stored_mart(), *flows.MART_KEYS)
     return flows.name_ends(pairs, census.registry(), "resid", "work").drop("n_obs")
 
 
 @query
 def membership_stats(census: Census) -> DataFrame:
-    return residency.membership_stats(census.flows(), census.members(EPCI))
+    return residency.membership_stats(_touching(census))
 
 
 @query
 def top10_work_communes(census: Census) -> DataFrame:
-    stats = residency.membership_stats(census.flows(), census.members(EPCI))
+    stats = residency.membership_stats(_touching(census))
     return residency.top_work_communes(stats, census.registry(), 10)
 
 
 @query
 def work_commune_residency(census: Census) -> DataFrame:
-    members = census.members(EPCI)
-    return residency.work_commune_residency(census.flows(workers=members), members, "year")
+    working = flows.workers_of_group(census.stored_mart(), EPCI)
+    return residency.work_commune_residency(working, census.members(EPCI), "year")
 
 
 @query
 def headline_counts(census: Census) -> DataFrame:
-    return residency.headline_counts(census.flows(), census.members(EPCI), "year")
+    return residency.headline_counts(_touching(census), "year")
 
 
 @query
 def top3_inflow(census: Census) -> DataFrame:
-    return ranking.top_origins(census.flows(), census.registry(), COMMUNE, 3)
+    return ranking.top_origins(census.stored_mart(), census.registry(), COMMUNE, 3)
 
 
 # --- shares ------------------------------------------------------------------
@@ -433,7 +438,10 @@ def share_labels(census: Census) -> DataFrame:
 
 @query
 def od_mode_share(census: Census) -> DataFrame:
-    """Modal share of every ordered pair of communes in every year."""
+    """Modal share of every ordered pair of communes in every year.
+
+    The one share that is worked out from survey rows, as a check of the mart.
+    """
     found = shares.mode_shares(census.flows(), "year", "resid_code", "work_code")
     return flows.name_ends(found, census.registry(), "resid", "work")
 
@@ -645,5 +653,5 @@ def report_flow_map(census: Census) -> DataFrame:
 
 @query
 def control_total_recon(census: Census) -> DataFrame:
-    computed = flows.totals(census.flows(), "resid_code", "work_code")
+    computed = flows.totals(census.stored_mart(), "resid_code", "work_code")
     return reconcile.reconcile(computed, census.control())

@@ -118,7 +118,7 @@ def test_wide_keeps_absent_apart_from_zero(make_flux):
 
 def test_counts_treat_missing_residence_as_outside(null_keys, registry):
     members = registry.where(F.col("epci") == "Nord")
-    row = residency.headline_counts(null_keys, members, "year").first()
+    row = residency.headline_counts(flows.touching(null_keys, members), "year").first()
     assert row["n_touching"] == 4
     assert row["n_residents"] == 2
     assert row["n_workers"] == 3
@@ -128,7 +128,7 @@ def test_counts_treat_missing_residence_as_outside(null_keys, registry):
 
 def test_membership_stats_per_work_commune(null_keys, registry):
     members = registry.where(F.col("epci") == "Nord")
-    found = as_dict(residency.membership_stats(null_keys, members), "work_code")
+    found = as_dict(residency.membership_stats(flows.touching(null_keys, members)), "work_code")
     assert found[("B",)]["n_resid"] == 1
     assert found[("B",)]["n_work_not_resid"] == 1
     assert found[(None,)]["n_work"] == 0
@@ -144,7 +144,7 @@ def test_own_commune_is_not_membership(make_flux, registry):
         ]
     )
     members = registry.where(F.col("epci") == "Nord")
-    row = residency.work_commune_residency(frame, members, "year").first()
+    row = residency.work_commune_residency(flows.touching(frame, members), members, "year").first()
     assert (row["n_total"], row["n_resident_in_epci"], row["n_nonresident"]) == (4, 2, 2)
     assert row["n_own_commune"] == 1
     assert row["share_nonresident"] == 0.5

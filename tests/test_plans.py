@@ -86,6 +86,18 @@ def test_classes_do_not_sum_again(spark, name):
     assert "sum(" not in plan and "FileScan parquet [year" in plan
 
 
+# Queries whose result is survey rows, the mart itself, codes the mart does not hold, or the named check.
+READ_SURVEY = {
+    "flow_mart", "od_mode_share", "recode_modes", "scan_mode_labels", "scan_zip_member",
+    "flux_labelled", "flux_residents", "flux_workers", "flux_epci_any", "flux_epci_any_all", "flux_epci_intra",
+}
+
+
+def test_only_named_queries_read_survey_rows(spark):
+    found = {name for name, build in QUERIES.items() if "l_orderkey" in plan_of(build(spark, SMALL_DIR))}
+    assert found == READ_SURVEY
+
+
 def test_hot_commune_is_split_when_the_registry_cannot_be_broadcast(spark, tmp_path, monkeypatch):
     """A key with most of the rows is read by several tasks of the join."""
     from navette.operators import lookup
