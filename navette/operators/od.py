@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navette.functions.modes import MODE_COLUMNS
+from navette.functions.modes import MODE_COLUMNS, mode_comparable
 from navette.functions.nulls import in_set, ratio, row_sum, wsum
 from navette.operators.flows import undirected
 from navette.operators.lookup import Lookup
@@ -80,11 +80,19 @@ def od_oneway_from_flows(flows: DataFrame, *by: str) -> DataFrame:
     return wide.withColumns({m: F.coalesce(m, F.lit(0.0)) for m in MEASURES})
 
 
-def with_shares(oneway: DataFrame) -> DataFrame:
-    """Active (cycling, walking) and sustainable (with public transport) shares."""
+def with_shares(oneway: DataFrame, comparable: Column | None = None) -> DataFrame:
+    """Active (cycling, walking) and sustainable (with public transport) shares.
+
+    They are NULL where ``comparable`` does not hold. Left out, it is judged by the
+    survey year, where the frame has one; frames recoded by one list for all years pass TRUE.
+    """
+    if comparable is None:
+        comparable = mode_comparable(F.col("year")) if "year" in oneway.columns else F.lit(True)
+    active = ratio(row_sum("velo", "marche"), F.col("total"))
+    sustainable = ratio(row_sum("velo", "marche", "tc"), F.col("total"))
     return oneway.withColumns(
         {
-            "share_active": ratio(row_sum("velo", "marche"), F.col("total")),
-            "share_sustainable": ratio(row_sum("velo", "marche", "tc"), F.col("total")),
+            "share_active": F.when(comparable, active),
+            "share_sustainable": F.when(comparable, sustainable),
         }
     )

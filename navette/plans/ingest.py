@@ -10,7 +10,9 @@ With ``--rows`` the labelled survey rows are written as well.
 from __future__ import annotations
 
 import argparse
+import json
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,25 +46,37 @@ def labelled_flux(
     return label_ends(read_years(spark, template, years), lookup)
 
 
+def _each_year(years: Iterable[int], inputs: tuple[str, str], publish) -> DataFrame:
+    """Tables of single years stacked, so that another year builds that year only."""
+    tables = [publish(year, json.dumps([year, *inputs])) for year in sorted(set(years))]
+    return reduce(DataFrame.unionByName, tables)
+
+
 def build_rows(
     spark: SparkSession, template: str, years: Iterable[int], registry_sheet: str, path: str
 ) -> DataFrame:
-    """The labelled survey rows at ``path``, written if they are not there yet."""
-    return build_enriched_if_absent(
-        spark, path, lambda: labelled_flux(spark, template, years, registry_sheet)
-    )
+    """The labelled survey rows of ``years`` below ``path``; years not there yet are written."""
+
+    def publish(year: int, request: str) -> DataFrame:
+        build = lambda: labelled_flux(spark, template, [year], registry_sheet)
+        return build_enriched_if_absent(spark, path, build, request)
+
+    return _each_year(years, (template, registry_sheet), publish)
 
 
 def build(
     spark: SparkSession, template: str, years: Iterable[int], registry_sheet: str, path: str
 ) -> DataFrame:
-    """The flow mart at ``path``, built from the files if it is not there yet."""
+    """The flow mart of ``years`` below ``path``; years not there yet are built from the files."""
+
+    def publish(year: int, request: str) -> DataFrame:
+        def mart() -> DataFrame:
+            lookup = registry_lookup(read_registry_sheet(spark, registry_sheet))
+            return flow_mart(read_years(spark, template, [year]), lookup)
 
-    def mart() -> DataFrame:
-        lookup = registry_lookup(read_registry_sheet(spark, registry_sheet))
-        return flow_mart(read_years(spark, template, years), lookup)
+        return build_mart_if_absent(spark, path, mart, request)
 
-    return build_mart_if_absent(spark, path, mart)
+    return _each_year(years, (template, registry_sheet), publish)
 
 
 def main() -> None:

@@ -406,6 +406,12 @@ SELECT year, code_a, code_b, total, (velo + marche) / total AS share_active,
        (velo + marche + tc) / total AS share_sustainable
 FROM oneway""",
     "od_oneway_shares_all": f"{ONEWAY_ALL} SELECT * FROM oneway",
+    "od_oneway_shares_2016": f"""
+{ONEWAY_ALL}
+SELECT CASE WHEN year = {YEAR} THEN 2016 ELSE year END AS year, epci, code_a, code_b, total,
+       CASE WHEN year <> {YEAR} THEN share_active END AS share_active,
+       CASE WHEN year <> {YEAR} THEN share_sustainable END AS share_sustainable
+FROM oneway""",
     # map tables
     "choropleth_measures": f"""
 {MEASURES}

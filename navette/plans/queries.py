@@ -549,6 +549,16 @@ def od_oneway_shares_all(census: Census) -> DataFrame:
     )
 
 
+@query
+def od_oneway_shares_2016(census: Census) -> DataFrame:
+    """One survey year read as 2016, whose modes cannot be compared: totals stay, shares are NULL."""
+    year = F.when(F.col("year") == YEAR, 2016).otherwise(F.col("year"))
+    flux = flows.with_mode(census.flux().withColumn("year", year))
+    inside = flows.within(flows.flow_mart(flux, census.registry()))
+    shown = od.with_shares(od.od_oneway_from_flows(inside, "year", "epci"))
+    return shown.select("year", "epci", "code_a", "code_b", "total", "share_active", "share_sustainable")
+
+
 # --- map tables --------------------------------------------------------------
 
 

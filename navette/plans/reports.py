@@ -35,7 +35,7 @@ def flow_map(mart: DataFrame, centroids: Lookup, year: int, epci: str) -> DataFr
     """Undirected lines with total, both shares, their classes and legend texts."""
     inside = flows.within(mart, year, epci)
     lines = od.desire_lines(
-        od.with_shares(od.od_oneway_from_flows(inside)), centroids, "code_a", "code_b"
+        od.with_shares(od.od_oneway_from_flows(inside, "year")), centroids, "code_a", "code_b"
     )
     shown = ["code_a", "code_b", "line", "total"]
     for kind in ("active", "sustainable"):

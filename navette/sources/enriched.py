@@ -32,10 +32,10 @@ def read_enriched(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build_enriched_if_absent(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame]
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], request: str = ""
 ) -> DataFrame:
-    """Read the rows at ``path``; build and write them first if they are not there."""
+    """Read the rows of ``request`` below ``path``; build and write them first if they are not there."""
     table = publish_if_absent(
-        spark, path, ENRICHED_SCHEMA, lambda: write_enriched(build(), path)
+        spark, path, ENRICHED_SCHEMA, lambda folder: write_enriched(build(), folder), request
     )
     return table.withColumnsRenamed(ENRICHED_COLUMNS)

@@ -33,7 +33,9 @@ def read_mart(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build_mart_if_absent(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame]
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], request: str = ""
 ) -> DataFrame:
-    """Read the mart at ``path``; build and write it first if it is not there."""
-    return publish_if_absent(spark, path, MART_SCHEMA, lambda: write_mart(build(), path))
+    """Read the mart of ``request`` below ``path``; build and write it first if it is not there."""
+    return publish_if_absent(
+        spark, path, MART_SCHEMA, lambda folder: write_mart(build(), folder), request
+    )

@@ -2,42 +2,66 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.types import StructType
 
-RECEIPT_SCHEMA = "rows BIGINT"
+RECEIPT_SCHEMA = "rows BIGINT, request STRING, folder STRING"
 
 
-def _receipt_path(path: str) -> str:
-    return path.rstrip("/") + ".receipt"
+def _receipt_path(path: str, request: str) -> str:
+    name = hashlib.sha256(request.encode()).hexdigest()[:16]
+    return f"{path.rstrip('/')}.receipts/{name}"
 
 
-def rows_published(spark: SparkSession, path: str) -> int | None:
-    """Row count of the finished table at ``path``, or None if there is none."""
+def _if_present(read: Callable[[], DataFrame]) -> DataFrame | None:
     try:
-        receipt = spark.read.schema(RECEIPT_SCHEMA).parquet(_receipt_path(path)).first()
+        return read()
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+
+
+def _receipt(spark: SparkSession, path: str, request: str) -> Row | None:
+    reader = spark.read.schema(RECEIPT_SCHEMA)
+    found = _if_present(lambda: reader.parquet(_receipt_path(path, request)))
+    return found.first() if found is not None else None
+
+
+def rows_published(spark: SparkSession, path: str, request: str = "") -> int | None:
+    """Row count of the finished table of ``request`` at ``path``, or None if there is none."""
+    receipt = _receipt(spark, path, request)
     return receipt["rows"] if receipt else None
 
 
 def publish_if_absent(
-    spark: SparkSession, path: str, schema: StructType, write: Callable[[], None]
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    write: Callable[[str], None],
+    request: str = "",
 ) -> DataFrame:
-    """Read the Parquet table at ``path``; call ``write`` first if it is not there.
+    """The Parquet table of ``request`` below ``path``; ``write(folder)`` makes it if it is not there.
 
-    The receipt is written after the table, so a table left behind by an
-    interrupted writer is written again.
+    ``request`` says what the table holds (years, inputs). Each has a receipt with the
+    folder and the row count of its table, written after it, so a table left behind by an
+    interrupted writer, or one that has lost files since, is made again. Every writer gets
+    a fresh folder, so frames on an older table stay readable.
     """
-    table = spark.read.schema(schema)
-    if rows_published(spark, path) is None:
-        write()
-        written = table.parquet(path).agg(F.count("*").alias("rows"))
-        written.write.mode("overwrite").parquet(_receipt_path(path))
-    return table.parquet(path)
+    reader = spark.read.schema(schema)
+    receipt = _receipt(spark, path, request)
+    if receipt:
+        table = _if_present(lambda: reader.parquet(receipt["folder"]))
+        if table is not None and table.count() == receipt["rows"]:
+            return table
+    folder = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+    write(folder)
+    table = reader.parquet(folder)
+    entry = spark.createDataFrame([(table.count(), request, folder)], RECEIPT_SCHEMA)
+    entry.coalesce(1).write.mode("overwrite").parquet(_receipt_path(path, request))
+    return table

@@ -181,3 +181,12 @@ def test_invariants(make_flux, registry, seed):
     alone = flat(shares.mode_shares(one, "year", "resid_code"), *columns)
     assert flat(slice_, *columns) == alone
     assert flat(shares.mode_shares(from_mart, "year", "resid_code"), *columns) == alone
+
+
+def test_shares_of_2016_are_unknown(make_flux):
+    frame = make_flux([("A", "B", 2.0, "3", 2016), ("A", "B", 2.0, "3", 2017)])
+    merged = od.od_oneway_from_flows(frame, "year")
+    found = as_dict(od.with_shares(merged), "year")
+    assert found[2016,]["total"] == 2.0 and found[2016,]["share_active"] is None
+    assert found[2017,]["share_active"] == 1.0
+    assert as_dict(od.with_shares(merged, F.lit(True)), "year")[2016,]["share_active"] == 0.0

@@ -88,7 +88,7 @@ def test_classes_do_not_sum_again(spark, name):
 
 # Queries whose result is survey rows, the mart itself, codes the mart does not hold, or the named check.
 READ_SURVEY = {
-    "flow_mart", "od_mode_share", "recode_modes", "scan_mode_labels", "scan_zip_member",
+    "flow_mart", "od_mode_share", "od_oneway_shares_2016", "recode_modes", "scan_mode_labels", "scan_zip_member",
     "flux_labelled", "flux_residents", "flux_workers", "flux_epci_any", "flux_epci_any_all", "flux_epci_intra",
 }
 

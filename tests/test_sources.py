@@ -1,5 +1,7 @@
 import json
 import zipfile
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from conftest import as_dict
@@ -193,6 +195,30 @@ def test_mart_without_receipt_is_built_again(spark, tmp_path, make_flux, registr
     assert [(r["resid_code"], r["flow"]) for r in found] == [("A", 2.0)]
 
 
+def test_mart_that_lost_a_file_is_built_again(spark, tmp_path, make_flux, registry):
+    def build():
+        return flows.flow_mart(make_flux([("A", "B", 2.0, "1", 2018), ("A", "B", 1.0, "1", 2019)]), registry)
+
+    path = str(tmp_path / "mart")
+    first = mart.build_mart_if_absent(spark, path, build)
+    next(Path(urlparse(first.inputFiles()[0]).path).parent.glob("*.parquet")).unlink()
+    again = mart.build_mart_if_absent(spark, path, build)
+    assert again.count() == 2 and published.rows_published(spark, path) == 2
+
+
+def test_added_year_builds_that_year_only(spark, yearly_files, monkeypatch):
+    read = []
+    whole = ingest.read_years
+    monkeypatch.setattr(ingest, "read_years", lambda s, t, years, *m: read.append(list(years)) or whole(s, t, years, *m))
+    given = (spark, str(yearly_files / "FD_MOBPRO_{year}.csv"))
+    sheet, path = str(yearly_files / "communes.csv"), str(yearly_files / "mart")
+    old = ingest.build(*given, [2016], sheet, path)
+    both = ingest.build(*given, [2016, 2017], sheet, path)
+    assert read == [[2016], [2017]]
+    assert {r["year"] for r in both.collect()} == {2016, 2017}
+    assert {r["year"] for r in old.collect()} == {2016}  # still readable
+
+
 @pytest.fixture
 def yearly_files(tmp_path):
     for year, extra in ((2016, "B;A;1;3\n"), (2017, "C;Z;2;3\nA;B;0.5;2\n")):
@@ -234,7 +260,7 @@ def test_labelled_rows_keep_their_display_names_on_disk(spark, yearly_files):
     )
     assert found.count() == 5
     assert {r["resid_name"] for r in found.collect()} == {"Alpha", "Beta", "Gamma"}
-    stored = spark.read.parquet(path)
+    stored = spark.read.parquet(found.inputFiles()[0].rsplit("/annee=", 1)[0])
     assert {"Commune de résidence", "Mode de transport", "annee"} <= set(stored.columns)
     pruned = flows.within(found, 2017, "Nord")
     assert [(r["resid_code"], r["weight"]) for r in pruned.orderBy("weight").collect()] == [
