@@ -5,18 +5,22 @@ from __future__ import annotations
 import numpy as np
 
 GROUPS = 256
+#: Groups of the longer vector of a large set. With few groups, large sets of like size all look alike.
+FINE_GROUPS = 4096
+#: Elements from which a set has the longer vector too.
+LARGE = 2048
 #: A count that does not fit is stored as this value and bounds nothing.
 FULL = 255
 FANOUT = 16
 
 
-def count_vectors(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def count_vectors(hashes: np.ndarray, bounds: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """Per row, how many of its set's hashes fall into each group."""
     rows = len(bounds) - 1
     owner = np.repeat(np.arange(rows), np.diff(bounds))
-    cell = owner * GROUPS + (hashes >> np.uint64(48)).astype(np.int64) % GROUPS
-    counts = np.bincount(cell, minlength=rows * GROUPS)
-    return np.minimum(counts, FULL).astype(np.uint8).reshape(rows, GROUPS)
+    cell = owner * groups + (hashes >> np.uint64(48)).astype(np.int64) % groups
+    counts = np.bincount(cell, minlength=rows * groups)
+    return np.minimum(counts, FULL).astype(np.uint8).reshape(rows, groups)
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -33,9 +37,17 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class CountTree:
-    """Packed tree: points sorted by set size, then by vector; a node keeps the largest counts and sizes below it."""
+    """Packed tree: points sorted by set size, then by vector; a node keeps the largest counts and sizes below it.
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
+    ``finer``: per point its longer vector, or None; a second bound where both sides have one.
+    """
+
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, finer: list | None = None):
+        self.sizes = sizes
+        large = [i for i, v in enumerate(finer or []) if v is not None]
+        self.place = np.full(len(sizes), -1)
+        self.place[large] = np.arange(len(large))
+        self.finer = np.stack([finer[i] for i in large]) if large else None
         order = np.lexsort((*vectors[:, :4].T, sizes))
         self.order = order
         self.levels = [(vectors[order], sizes[order], sizes[order])]
@@ -46,7 +58,7 @@ class CountTree:
                 (np.maximum.reduceat(high, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(top, cuts))
             )
 
-    def search(self, vector: np.ndarray, size: int, percent: int) -> np.ndarray:
+    def search(self, vector: np.ndarray, size: int, percent: int, finer: np.ndarray | None = None) -> np.ndarray:
         """Indices of the points whose bound allows the similarity."""
         found = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -1, -1):
@@ -59,4 +71,12 @@ class CountTree:
                 below = len(self.levels[depth - 1][1])
                 found = (found[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                 found = found[found < below]
-        return self.order[found]
+        found = self.order[found]
+        if finer is None or self.finer is None:
+            return found
+        place = self.place[found]
+        keep = place < 0
+        both = found[~keep]
+        need = least_overlap(self.sizes[both], size, percent)
+        keep[~keep] = overlap_bound(self.finer[place[~keep]], finer[None, :]) >= need
+        return found[keep]

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from navette.llm.common import as_blocks, components, mix, slices, summed, utf8, written
-from navette.llm.count_tree import CountTree, count_vectors, least_overlap, overlap_bound
+from navette.llm.count_tree import FINE_GROUPS, GROUPS, LARGE, CountTree, count_vectors, least_overlap, overlap_bound
 from navette.llm.shingles import row_sums, shingle_sets
 
 PERCENT = 75
@@ -64,7 +64,10 @@ def _classes(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """Set size, class and count vector of each document; rows with a block hold cell counts."""
+    """Set size, class and count vector of each document; rows with a block hold cell counts.
+
+    The count vector of a large set is followed by its longer one.
+    """
 
     def run(batches):
         cells = np.zeros(CELLS, np.int64)
@@ -74,13 +77,16 @@ def profiles(docs: DataFrame) -> DataFrame:
             n = np.diff(bounds)
             cls, check = _classes(hashes, bounds)
             none = n == 0
-            vectors = count_vectors(hashes, bounds)
+            vectors = [v.tobytes() for v in count_vectors(hashes, bounds)]
+            for row in np.flatnonzero(n >= LARGE).tolist():
+                one = hashes[bounds[row] : bounds[row + 1]]
+                vectors[row] += count_vectors(one, np.array([0, len(one)]), FINE_GROUPS).tobytes()
             columns = [
                 batch.column("doc_id"),
                 pa.array(n),
                 pa.array(cls.view(np.int64), mask=none),
                 pa.array(check.view(np.int64), mask=none),
-                pa.array([v.tobytes() for v in vectors], pa.binary(), mask=none),
+                pa.array(vectors, pa.binary(), mask=none),
                 pa.nulls(len(n), pa.int32()),
                 pa.nulls(len(n), pa.binary()),
             ]
@@ -131,7 +137,7 @@ def shared_tokens(docs: DataFrame, cells: np.ndarray, percent: int, spread: int
 
 def within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose count vectors allow the similarity."""
-    sized = classes.select("cls", "n", "vec")
+    sized = classes.select("cls", "n", F.substring("vec", 1, GROUPS).alias("vec"))
     sides = [sized.select([F.col(c).alias(f"{side}_{c}") for c in ("cls", "n", "vec")]) for side in "ab"]
     joined = pairs.join(sides[0], F.col("a") == F.col("a_cls")).join(sides[1], F.col("b") == F.col("b_cls"))
 
@@ -149,7 +155,11 @@ def within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.frombuffer(b"".join(v[:GROUPS] for v in column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _finer(column: pa.Array) -> list[np.ndarray | None]:
+    return [np.frombuffer(v, np.uint8)[GROUPS:] if len(v) > GROUPS else None for v in column.to_pylist()]
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, fine: bool) -> DataFrame:
@@ -247,20 +257,21 @@ def remaining_pairs(
 
         def answer(rows):
             """Index rows come first; questions may arrive over several calls."""
-            group, asks, cls, comp, n, vec = rows
+            group, asks, cls, comp, n, vec, finer = rows
             if held["key"] != group:
                 held.update(key=group, index=[], tree=None)
             if not asks[0]:
-                held["index"].append((cls, comp, n, vec))
+                held["index"].append((cls, comp, n, vec, finer))
                 return None
             if held["tree"] is None:
                 if not held["index"]:
                     return None
-                c, k, m, v = (np.concatenate(x) for x in zip(*held["index"], strict=True))
-                held.update(cls=c, comp=k, tree=CountTree(v, m), index=[])
+                *columns, long = zip(*held["index"], strict=True)
+                c, k, m, v = (np.concatenate(x) for x in columns)
+                held.update(cls=c, comp=k, tree=CountTree(v, m, [f for part in long for f in part]), index=[])
             a, b = [], []
             for i in range(len(cls)):
-                hits = held["tree"].search(vec[i], int(n[i]), percent)
+                hits = held["tree"].search(vec[i], int(n[i]), percent, finer[i])
                 hits = held["cls"][hits[held["comp"][hits] != comp[i]]]
                 a.append(np.minimum(hits, cls[i]))
                 b.append(np.maximum(hits, cls[i]))
@@ -270,14 +281,14 @@ def remaining_pairs(
             if not batch.num_rows:
                 continue
             centre, piece, asks, cls, comp, n = (batch.column(i).to_numpy() for i in range(6))
-            vec = _vectors(batch.column("vec"))
+            vec, finer = _vectors(batch.column("vec")), _finer(batch.column("vec"))
             new = np.flatnonzero(
                 np.concatenate([[True], (centre[1:] != centre[:-1]) | (piece[1:] != piece[:-1]) | (asks[1:] != asks[:-1])])
             ).tolist()
             out = []
             for s, e in zip(new, [*new[1:], len(centre)], strict=True):
                 key = (int(centre[s]), int(piece[s]))
-                got = answer((key, asks[s:e], cls[s:e], comp[s:e], n[s:e], vec[s:e]))
+                got = answer((key, asks[s:e], cls[s:e], comp[s:e], n[s:e], vec[s:e], finer[s:e]))
                 if got is not None:
                     out.append(got)
             if out:

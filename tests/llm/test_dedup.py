@@ -66,6 +66,21 @@ def test_ngram_components(spark):
     assert got == expected_groups(texts)
 
 
+def test_ngram_components_of_long_texts(spark):
+    """Long texts that share a passage, each with a near copy: links stay, and no others come."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    passage = " ".join(word() for _ in range(3000))
+    texts = {}
+    for i in range(8):
+        words = [word() for _ in range(4000)]
+        texts[i] = " ".join(words) + " " + passage
+        words[7] = "changed"
+        texts[i + 20] = " ".join(words) + " " + passage
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(frame(spark, texts)).collect()}
+    assert got == expected_groups(texts) and all(got[i + 20][1] == i for i in range(8))
+
+
 def test_ngram_remaining_pairs_in_small_blocks(spark):
     """Without any link known, the tree search alone must give every linked pair around a centre."""
     rng = np.random.default_rng(3)
@@ -128,6 +143,15 @@ def test_count_tree_is_complete():
         found = set(tree.search(vectors[q], int(sizes[q]), 75).tolist())
         linked = {i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, sets[q])) >= 75 * len(np.union1d(s, sets[q]))}
         assert linked <= found
+    big = [np.unique(rng.integers(0, 2**63, 6000, dtype=np.uint64)) for _ in range(12)]
+    big += [b[rng.random(len(b)) < 0.95] for b in big] + [sets[0]]
+    ends = np.cumsum([0, *map(len, big)])
+    points, sizes = count_vectors(np.concatenate(big), ends), np.diff(ends)
+    longer = [count_vectors(b, np.array([0, len(b)]), 4096)[0] if len(b) > 2048 else None for b in big]
+    tree, coarse = CountTree(points, sizes, longer), CountTree(points, sizes)
+    for q in range(24):
+        found = set(tree.search(points[q], int(sizes[q]), 75, longer[q]).tolist())
+        assert found == {q % 12, q % 12 + 12} < set(coarse.search(points[q], int(sizes[q]), 75).tolist())
     full = np.full((1, 256), 255, np.uint8)
     assert overlap_bound(full, full)[0] > least_overlap(np.array([10**9]), 10**9, 75)[0]
 
