@@ -8,8 +8,10 @@ word beginnings: how much more often each occurs in toxic than in other labelled
 documents, by a lower confidence bound; the three strongest words of a document add up, and
 isotonic regression on labelled rows kept out of the fit turns the sum into a probability.
 
-Tasks add up tables of fixed size; nothing else is gathered. At most ``LABEL_BOUND``
-labelled rows (those with the smallest key hashes) are taken to the tasks.
+Words and beginnings are told apart by hashes of 64 bits. Labelled documents are counted per
+hash by an aggregate with a map-side combine; only features above the bound reach the driver and
+the tasks. Trigrams are added up in tables of fixed size. At most ``LABEL_BOUND`` labelled rows
+(those with the smallest key hashes) are taken to the tasks.
 
 Null text counts as empty; a text without words has no evidence and gets the score of that.
 Labels may be missing, null or repeated (the largest counts); without labelled rows every
@@ -32,8 +34,6 @@ from navette.llm.quality import isotonic
 
 #: Labelled rows the model may learn from.
 LABEL_BOUND = 200_000
-#: Cells of the tables of words and word beginnings.
-CELLS = 1 << 20
 #: Bytes of a word's beginnings that are features of their own.
 BEGINNINGS = (4, 6)
 #: Standard errors below the estimate that a word's weight is set.
@@ -199,12 +199,12 @@ def disguised(buf, row, start, stop) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def word_features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word number and cell of every feature: whole words and their beginnings, without signs around them."""
+    """Row, word number and hash of every feature: whole words and their beginnings, without signs around them."""
     buf = lowered(buf)
     row, start, stop = words(buf, offsets)
     if not len(start):
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none.astype(np.uint64)
     core = np.where(_CORE[buf], np.arange(len(buf)), len(buf))
     begin = np.minimum.accumulate(core[::-1])[::-1][start]
     end = _last_core(buf)[stop - 1] + 1
@@ -212,13 +212,12 @@ def word_features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     row, begin, end = row[keep], begin[keep], end[keep]
     hashes = ByteHash(buf)
     number = np.arange(len(row))
-    rows, numbers, cells = [row], [number], [hashes.spans(begin, end)]
+    rows, numbers, features = [row], [number], [hashes.spans(begin, end)]
     for salt, length in enumerate(BEGINNINGS, 1):
         long = end - begin > length
         rows.append(row[long]), numbers.append(number[long])
-        cells.append(hashes.spans(begin[long], begin[long] + length) + np.uint64(salt))
-    cell = (np.concatenate(cells) % np.uint64(CELLS)).astype(np.int64)
-    return np.concatenate(rows), np.concatenate(numbers), cell
+        features.append(hashes.spans(begin[long], begin[long] + length) + np.uint64(salt))
+    return np.concatenate(rows), np.concatenate(numbers), np.concatenate(features)
 
 
 def label_arrays(labelled: DataFrame, bound: int = LABEL_BOUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,12 +229,27 @@ def label_arrays(labelled: DataFrame, bound: int = LABEL_BOUND) -> tuple[np.ndar
     return rows["doc_id"].to_numpy(np.int64), rows["label"].to_numpy(np.int64), rows["aside"].to_numpy(bool)
 
 
-def word_weights(docs: DataFrame, restorer: Restorer, labels: tuple) -> np.ndarray:
-    """Weight of each cell: lower bound of the log ratio of its document shares, at least 0."""
+@dataclass
+class Weights:
+    """Sorted hashes of the features that count, and their weights."""
+
+    features: np.ndarray
+    values: np.ndarray
+
+    def find(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the features count, and their places."""
+        if not len(self.features):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(self.features, features), len(self.features) - 1)
+        found = np.flatnonzero(self.features[place] == features)
+        return found, place[found]
+
+
+def feature_counts(docs: DataFrame, restorer: Restorer, labels: tuple) -> DataFrame:
+    """(feature, clean, toxic): labelled documents that hold each feature; feature null: all of them."""
     keys, label, aside = labels
 
     def run(batches):
-        counts = np.zeros(2 * CELLS + 2, np.int32)
         for batch in slices(batches):
             ids = batch.column("doc_id").fill_null(-1).to_numpy()
             at = np.minimum(np.searchsorted(keys, ids), max(len(keys) - 1, 0))
@@ -244,36 +258,52 @@ def word_weights(docs: DataFrame, restorer: Restorer, labels: tuple) -> np.ndarr
                 continue
             toxic = label[at[known]]
             taken = batch.filter(pa.array(known))
-            row, _, cell = word_features(*restorer.rows(*utf8(taken.column("text"))))
-            pair = np.unique(row * CELLS + cell)
-            counts[: 2 * CELLS] += np.bincount(toxic[pair // CELLS] * CELLS + pair % CELLS, minlength=2 * CELLS).astype(np.int32)
-            counts[2 * CELLS :] += np.bincount(toxic, minlength=2).astype(np.int32)
-        yield as_blocks(counts)
-
-    counts = summed(docs.mapInArrow(run, "block int, part binary"), "int32")
-    if counts is None:
-        return np.zeros(CELLS, np.float32)
-    clean, toxic = counts[:CELLS] + 1.0, counts[CELLS : 2 * CELLS] + 1.0
-    n_clean, n_toxic = counts[2 * CELLS] + 2.0, counts[2 * CELLS + 1] + 2.0
-    ratio = np.log(toxic / n_toxic) - np.log(clean / n_clean)
-    bound = ratio - CAUTION * np.sqrt(1 / toxic + 1 / clean)
-    return np.where(bound >= LEAST_WEIGHT, bound, 0).astype(np.float32)
-
-
-def evidence(buf: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+            row, _, feature = word_features(*restorer.rows(*utf8(taken.column("text"))))
+            distinct, place = np.unique(feature, return_inverse=True)
+            width = max(len(distinct), 1)
+            pair = np.unique(row * width + place)
+            held = np.bincount(toxic[pair // width] * width + pair % width, minlength=2 * width)
+            clean, bad = held[: len(distinct)], held[width : width + len(distinct)]
+            # the last row counts the documents
+            columns = [
+                pa.array(np.append(distinct.view(np.int64), 0), mask=np.append(np.zeros(len(distinct), bool), True)),
+                pa.array(np.append(clean, np.sum(toxic == 0))), pa.array(np.append(bad, np.sum(toxic == 1))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["feature", "clean", "toxic"])
+
+    found = docs.mapInArrow(run, "feature long, clean long, toxic long")
+    return found.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def word_weights(docs: DataFrame, restorer: Restorer, labels: tuple) -> Weights:
+    """Features by the lower bound of the log ratio of their document shares, if it is high enough."""
+    counts = written(feature_counts(docs, restorer, labels), "toxicity-features")
+    total = counts.where("feature is null").first()
+    if total is None:
+        return Weights(np.zeros(0, np.uint64), np.zeros(0))
+    clean, toxic = F.col("clean") + 1.0, F.col("toxic") + 1.0
+    ratio = F.log(toxic / (total.toxic + 2.0)) - F.log(clean / (total.clean + 2.0))
+    bound = ratio - CAUTION * F.sqrt(1 / toxic + 1 / clean)
+    strong = counts.where("feature is not null").select("feature", bound.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)
+    rows = strong.toPandas()
+    features, values = rows["feature"].to_numpy(np.int64).view(np.uint64), rows["weight"].to_numpy(float)
+    order = np.argsort(features)
+    return Weights(features[order], values[order])
+
+
+def evidence(buf: np.ndarray, offsets: np.ndarray, weights: Weights) -> np.ndarray:
     """Per row the sum of its strongest distinct words' weights."""
     out = np.zeros(len(offsets) - 1)
-    row, number, cell = word_features(buf, offsets)
-    weight = weights[cell]
-    strong = weight > 0
-    row, number, weight, cell = row[strong], number[strong], weight[strong], cell[strong]
+    row, number, feature = word_features(buf, offsets)
+    strong, place = weights.find(feature)
+    row, number, weight = row[strong], number[strong], weights.values[place]
     if not len(row):
         return out
     # a word counts by its strongest feature, and once per document
     order = np.lexsort((-weight, number))
     order = order[np.concatenate([[True], number[order][1:] != number[order][:-1]])]
-    row, weight, cell = row[order], weight[order], cell[order]
-    _, once = np.unique(row * CELLS + cell, return_index=True)
+    row, weight, place = row[order], weight[order], place[order]
+    _, once = np.unique(row * len(weights.features) + place, return_index=True)
     row, weight = row[once], weight[once]
     order = np.lexsort((-weight, row))
     row, weight = row[order], weight[order]
@@ -283,7 +313,7 @@ def evidence(buf: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.nd
     return out
 
 
-def document_evidence(docs: DataFrame, restorer: Restorer, weights: np.ndarray) -> DataFrame:
+def document_evidence(docs: DataFrame, restorer: Restorer, weights: Weights) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
             found = evidence(*restorer.rows(*utf8(batch.column("text"))), weights)

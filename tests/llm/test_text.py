@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from navette.llm import chat_format, decontaminate, mixing, personal_data, quality, toxicity, url_filter
+from navette.llm.common import ByteHash
 from navette.llm.queries import URL_RULES
 
 REGEX = {
@@ -199,6 +200,24 @@ def test_toxicity_learns_and_handles_odd_texts(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_tells_features_apart_that_shared_a_cell(spark):
+    # pairs of four-letter words whose hashes are equal modulo 2^20
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    buf = np.ascontiguousarray(np.stack(np.meshgrid(*[letters] * 4, indexing="ij"), -1)).ravel()
+    at = np.arange(0, len(buf), 4)
+    cell = ByteHash(buf).spans(at, at + 4) % np.uint64(1 << 20)
+    order = np.argsort(cell, kind="stable")
+    mates = np.flatnonzero(cell[order][1:] == cell[order][:-1])[[0, 10]]
+    name = lambda i: buf[at[order[i]] : at[order[i]] + 4].tobytes().decode()
+    (lost, common), (known, stray) = ((name(i), name(i + 1)) for i in mates)
+    rows = [(i, f"plain words {lost if i % 4 else known}", 1) for i in range(200)]
+    rows += [(i, f"plain words {common}", 0) for i in range(200, 600)]
+    rows += [(1000, f"plain words {lost}", None), (1001, f"plain words {stray}", None), (1002, "plain words", None)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    score = {r.doc_id: r.score for r in toxicity.toxicity(rows.drop("label"), rows.select("doc_id", "label")).collect()}
+    assert score[1000] > score[1002] + 0.3 and score[1001] == score[1002]
+
+
 def test_url_verdicts(spark):
     rows = [("http://A.Net/x", "net/"), ("https://www.example.net/en/1?q#f", "example.net/en/"), ("http://net", None),
             ("http://x.example.com/de/3", "example.com/de/"), ("http://b.org/fr/", "org/fr/"), ("http://borg/fr/", None), ("nothing", None), (None, None)]
