@@ -3,7 +3,9 @@
 A disguised word passed a noisy channel: letters written as digits or signs, letters
 set apart by spaces or marks, letters repeated. Words that show such signs become a
 lattice of readings, and the Viterbi algorithm finds the likeliest one under a character
-trigram model counted over all documents. The restored text is scored by its words and
+trigram model counted over all documents. A space inside a run of single letters is read as
+nothing or as a word boundary, so a run is cut into words. Letters are code points with
+the combining marks after them. The restored text is scored by its words and
 word beginnings: how much more often each occurs in toxic than in other labelled
 documents, by a lower confidence bound; the three strongest words of a document add up, and
 isotonic regression on labelled rows kept out of the fit turns the sum into a probability.
@@ -62,7 +64,7 @@ _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in MARKS]] = True
 _CORE = _LETTER.copy()
 _CORE[48:58] = True
-_APART = re.compile(rb"^(?:[^\s.\-_*][.\-_*]+){2,}[^\s.\-_*]$")
+_APART = re.compile(r"^(?:[^\s.\-_*][\u0300-\u036f]*[.\-_*]+){2,}[^\s.\-_*][\u0300-\u036f]*$")
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -72,6 +74,10 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in slices(batches):
             buf, offsets = utf8(batch.column("text"))
+            # one symbol for each code point
+            first = (buf & 0xC0) != 0x80
+            offsets = np.concatenate([[0], np.cumsum(first)])[offsets]
+            buf = buf[first]
             # two boundaries after each document keep triples inside it
             at = np.arange(len(buf)) + 2 * np.repeat(np.arange(1, len(offsets)), np.diff(offsets))
             codes = np.zeros(len(buf) + 2 * len(offsets), np.int64)
@@ -108,10 +114,13 @@ class Restorer:
         # state: the last two symbols and the last letter read; value: cost and the reading so far as a linked list
         states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         for seen in token:
-            choices = READINGS.get(seen, "" if seen in MARKS or seen == " " else seen)
+            space = seen == " "
+            choices = READINGS.get(seen, "" if seen in MARKS or space else seen)
             reached: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
             for (p, q, last), (cost, path) in states.items():
                 steps = [((p, q, last), cost, path)] if not choices or (last and last in choices) else []
+                if space:
+                    steps.append(((q, 0, ""), cost + self.costs[p, q, 0], (" ", path)))
                 for letter in choices:
                     symbol = _symbol(letter)
                     steps.append(((q, symbol, letter), cost + self.costs[p, q, symbol], (letter, path)))
@@ -139,7 +148,7 @@ class Restorer:
         for k, (a, b, apart) in enumerate(zip(begin.tolist(), end.tolist(), several.tolist(), strict=True)):
             token = data[a:b].decode("utf-8", "replace")
             if apart:
-                token = "".join(token.split())
+                token = " ".join(token.split())
             word = self.word(token).encode()
             pieces += [data[at:a], word]
             grown[k] = len(word) - (b - a)
@@ -166,6 +175,14 @@ def _last_core(buf: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(_CORE[buf], np.arange(len(buf)), -1))
 
 
+def _letters(buf: np.ndarray) -> np.ndarray:
+    """Whether a letter or other sign begins at each byte: no continuation byte, no combining mark (U+0300 to U+036F)."""
+    begins = (buf & 0xC0) != 0x80
+    after = np.append(buf[1:], 0)
+    begins[(buf == 0xCC) | ((buf == 0xCD) & (after < 0xB0))] = False
+    return begins
+
+
 def disguised(buf, row, start, stop) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of what looks disguised, in order, and whether it is a run of single letters."""
     end = np.maximum(_last_core(buf)[stop - 1] + 1, start)
@@ -178,22 +195,26 @@ def disguised(buf, row, start, stop) -> tuple[np.ndarray, np.ndarray, np.ndarray
     drawn = count(thrice) > 0
     signed = (count(_SIGN[buf]) > 0) & (letters > 0)
     marks = count(_MARK[buf])
-    apart = np.flatnonzero((marks >= 2) & (letters > 0) & (end - start <= 4 * marks + 2))
+    begins = np.concatenate([[0], np.cumsum(_letters(buf))])
+    apart = np.flatnonzero((marks >= 2) & (letters > 0) & (begins[end] - begins[start] <= 2 * marks + 1))
     marked = np.zeros(len(start), bool)
     for i in apart.tolist():
-        marked[i] = _APART.match(buf[start[i] : end[i]].tobytes()) is not None
+        marked[i] = _APART.match(buf[start[i] : end[i]].tobytes().decode("utf-8", "replace")) is not None
     flagged = drawn | signed | marked
-    single = (stop - start == 1) & (_LETTER[buf[start]] | _SIGN[buf[start]])
+    single = (begins[stop] - begins[start] == 1) & (_LETTER[buf[start]] | _SIGN[buf[start]])
+    # of the signs beyond ASCII only letters count
+    for i in np.flatnonzero(single & (stop - start > 1)).tolist():
+        single[i] = buf[start[i] : stop[i]].tobytes().decode("utf-8", "replace")[0].isalpha()
     edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-    begins, ends, several = [start[flagged]], [end[flagged]], [np.zeros(int(flagged.sum()), bool)]
+    froms, ends, several = [start[flagged]], [end[flagged]], [np.zeros(int(flagged.sum()), bool)]
     first, last = edge[::2], edge[1::2]
     for a, b in zip(first.tolist(), last.tolist(), strict=True):
         if b - a >= 3:
             cuts = [a, *(np.flatnonzero(np.diff(row[a:b])) + a + 1).tolist(), b]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if e - s >= 3 and _LETTER[buf[start[s:e]]].any():
-                    begins.append(start[s : s + 1]), ends.append(stop[e - 1 : e]), several.append(np.ones(1, bool))
-    begin, finish, run = (np.concatenate(x) for x in (begins, ends, several))
+                    froms.append(start[s : s + 1]), ends.append(stop[e - 1 : e]), several.append(np.ones(1, bool))
+    begin, finish, run = (np.concatenate(x) for x in (froms, ends, several))
     order = np.argsort(begin, kind="stable")
     return begin[order], finish[order], run[order]
 

@@ -180,6 +180,19 @@ def test_disguised_words_are_restored(spark):
     assert restorer.text("") == "" and restorer.text(None) is None
 
 
+def test_runs_of_letters_are_cut_into_words_of_any_alphabet(spark):
+    plain = "you are such a scum and an idiot i say a schlöch told you and such a müßig élan of scum i told you schlöch " * 50
+    docs = spark.createDataFrame([(1, plain)], "doc_id long, text string")
+    restorer = toxicity.Restorer.of(toxicity.trigram_counts(docs))
+    for disguised, clear in (
+        ("such a s c u m told", "such a scum told"), ("are y o u i d i o t told", "are you idiot told"),
+        ("such s c h l ö c h told", "such schlöch told"), ("such l.ö.c.h told", "such löch told"), ("such s-c-h-l-ö-c-h, told", "such schlöch, told"),
+        ("such a s c h l o\u0308 c h told", "such a schlo\u0308ch told"), ("such é l a n told", "such élan told"), ("such m ü ß i g told", "such müßig told"),
+    ):
+        assert restorer.text(disguised) == clear
+    assert restorer.text("told — – … them") == "told — – … them"
+
+
 def test_toxicity_learns_and_handles_odd_texts(spark):
     rng = np.random.default_rng(2)
     words = np.array(["the", "house", "stands", "near", "water", "and", "people", "walk", "there", "often"])
