@@ -3,9 +3,12 @@
 Paths are cut into segments and counted in a tree for each host. From the top down,
 each node decides how its children generalise:
 
-* a child value stays literal if it is frequent below its node, otherwise it becomes a wildcard (``*``);
-* literal children whose labelled shares of bad pages do not differ more than chance (a
-  two-proportion test against the rest of the node) are merged into the wildcard as well.
+* a child value stays literal if it has enough pages and its labelled share of bad pages differs more than
+  chance from the rest of the node, otherwise it becomes a wildcard (``*``);
+* chance is a two-proportion test with continuity correction, its bound raised for the number of children tested.
+
+The levels go on until every path has ended. Below a node with too few pages for a literal child, or with labels
+all alike, no test can pass, so its paths end there with a wildcard for each further segment.
 
 A template is the host and the generalised segments. Its purity is the share of bad pages among
 its labelled ones, smoothed towards the share of all labelled pages. A template is rejected if
@@ -16,22 +19,22 @@ Only DataFrame operations are used. Counts are aggregates with a map-side combin
 with a third of all pages costs one row for each distinct segment and task.
 
 Null addresses and those without ``://`` have an empty host and path, fit no rule and form one template.
-Segments beyond ``DEPTH`` are one tail segment. Repeated rows count as often as they occur. Labels may be
+Repeated rows count as often as they occur. Labels may be
 missing or null. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navette.llm.common import null_safe_join, written
 
-DEPTH = 6
-#: A literal child has this share of its node's pages, and so many pages.
-LEAST_SHARE = 0.02
+#: A literal child has so many pages.
 LEAST_COUNT = 8
-#: Standard errors by which a branch differs from its siblings.
+#: Standard errors by which a branch differs from its siblings, if it is the only one tested.
 DIFFERENT = 2.0
 #: Labelled pages the overall share counts for.
 PRIOR = 8.0
@@ -56,44 +59,52 @@ def matching_rule(host: Column, path: Column, rules: dict[str, str]) -> tuple[Co
     return rule, verdict
 
 
-def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(pages: DataFrame) -> DataFrame:
     """Pages (page_id, host, path, bad) with their template, level by level of the tree."""
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    cut = F.concat(F.slice(segments, 1, depth - 1), F.array(F.array_join(F.slice(segments, depth, 1 << 20), "/")))
-    steps = F.when(F.size(segments) > depth, cut).otherwise(segments)
+    steps = F.filter(F.split("path", "/"), lambda s: s != "")
     # one row for each host and path: pages that share it go the same way
     paths = pages.groupBy("host", "path").agg(
         F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
     paths = written(paths.withColumn("steps", steps).withColumn("template", F.col("host")), "url-paths")
-    for level in range(depth):
-        paths = written(_generalised(paths, level), f"url-level-{level}")
-        if paths.where(F.size("steps") > level + 1).isEmpty():
+    ended, level = [], 0
+    while True:
+        ends = F.size("steps") <= level
+        ended.append(paths.where(ends))
+        paths = paths.where(~ends)
+        if paths.isEmpty():
             break
-    return paths.select("host", "path", "template", "n", "labelled", "bad")
+        paths = written(_generalised(paths, level), f"url-level-{level}")
+        level += 1
+    return reduce(DataFrame.unionAll, ended).select("host", "path", "template", "n", "labelled", "bad")
 
 
 def _generalised(paths: DataFrame, level: int) -> DataFrame:
-    """Templates longer by one segment."""
-    step = F.get("steps", F.lit(level))
-    going = paths.withColumn("step", step)
-    children = going.where("step is not null").groupBy("template", "step").agg(
+    """Templates longer by one segment, or by all segments where no test can pass any more."""
+    going = paths.withColumn("step", F.get("steps", F.lit(level)))
+    children = going.groupBy("template", "step").agg(
         F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
     )
+    tested = (F.col("n") >= LEAST_COUNT) & (F.col("labelled") > 0)
     nodes = children.groupBy("template").agg(
-        F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
-    )
-    both = children.join(nodes, "template")
-    frequent = (F.col("n") >= LEAST_COUNT) & (F.col("n") >= F.col("all_n") * LEAST_SHARE)
+        F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"),
+        F.count_if(tested).alias("tests"),
+    )
+    nodes = nodes.where((F.col("all_n") >= LEAST_COUNT) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_labelled")))
+    both = children.where(tested).join(nodes, "template")
     others, other_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
     share = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
-    error = F.sqrt(share * (1 - share) * (1 / F.greatest("labelled", F.lit(1)) + 1 / F.greatest(others, F.lit(1))))
-    apart = F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - other_bad / F.greatest(others, F.lit(1))) >= DIFFERENT * error
-    distinct = (F.col("labelled") > 0) & (others > 0) & apart
-    kept = both.where(frequent & distinct).select("template", "step", F.lit(True).alias("literal"))
-    named = going.join(kept, ["template", "step"], "left")
-    grown = F.concat("template", F.lit("/"), F.when(F.col("literal"), F.col("step")).otherwise(F.lit("*")))
-    return named.withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(grown)).drop("step", "literal")
+    inverse = 1 / F.col("labelled") + 1 / F.greatest(others, F.lit(1))
+    error = F.sqrt(share * (1 - share) * inverse)
+    difference = F.abs(F.col("bad") / F.col("labelled") - other_bad / F.greatest(others, F.lit(1))) - inverse / 2
+    # a normal tail shrinks by 1 / tests or more when the squared bound grows by 2 log(tests)
+    apart = difference >= F.sqrt(DIFFERENT**2 + 2 * F.log(F.col("tests").cast("double"))) * error
+    kept = both.where((others > 0) & apart).select("template", "step", F.lit(True).alias("literal"))
+    named = going.join(nodes.select("template", F.lit(True).alias("open")), "template", "left").join(kept, ["template", "step"], "left")
+    further = F.when(F.col("open"), F.concat(F.lit("/"), F.when(F.col("literal"), F.col("step")).otherwise(F.lit("*"))))
+    grown = F.concat("template", further.otherwise(F.repeat(F.lit("/*"), F.size("steps") - level)))
+    left = F.when(F.col("open"), F.col("steps")).otherwise(F.slice("steps", 1, level))
+    return named.select("host", "path", "n", "labelled", "bad", left.alias("steps"), grown.alias("template"))
 
 
 def verdicts(pages: DataFrame, labelled: DataFrame, rules: dict[str, str], key: str = "page_id", url: str = "url") -> DataFrame:

@@ -248,6 +248,21 @@ def test_url_verdicts(spark):
     assert url_filter.verdicts(pages.limit(0), labels, URL_RULES).count() == 0
 
 
+def test_url_sections_of_small_share_and_great_depth(spark):
+    # 100 even sections of one host, the last one bad; a bad section below seven common segments
+    rows = [(f"http://hot.com/s{i % 100}/{i}", int(i % 100 == 99)) for i in range(2000)]
+    deep = "http://deep.com/" + "/".join("abcdefg")
+    rows += [(f"{deep}/{'bad' if i % 4 == 0 else 'good'}/{i}/x", int(i % 4 == 0)) for i in range(200)]
+    rows += [("http://one.com/" + "/".join("abcdefghij"), None)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows) if y is not None], "page_id long, label int")
+    by = {r.page_id: r for r in url_filter.verdicts(pages, labels, {}).collect()}
+    assert len(by) == len(rows)
+    assert all(by[i].verdict == ("block" if y else "allow") for i, (_, y) in enumerate(rows))
+    assert by[99].template == "hot.com/s99/*" and by[0].template == "hot.com/*/*"
+    assert by[2000].template == "deep.com/*/*/*/*/*/*/*/bad/*/*" and by[2200].template == "one.com" + "/*" * 10
+
+
 @pytest.mark.parametrize("host,path,url", [("", "", "x//y"), ("h", "", "a://H?x"), ("h:1", "/p", "a://H:1/p#q"), ("", "/p", "://" + "/p")])
 def test_host_and_path(spark, host, path, url):
     from pyspark.sql import functions as F
