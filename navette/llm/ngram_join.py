@@ -22,8 +22,8 @@ near copies costs a comparison for each member and centre, not for each pair.
 Null or wordless texts have no shingles, no links and form their own component.
 Rows may repeat: equal rows are one class. Columns other than the key and text are
 not read. An empty table gives an empty result. Null keys count as a key of their own
-and never name a component with others. Equality of classes and shingles is that of
-64-bit hashes (classes carry 128 bits).
+and never name a component with others; their texts link like any other. Equality of
+classes and shingles is that of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -163,7 +164,7 @@ def _finer(column: pa.Array) -> list[np.ndarray | None]:
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, fine: bool) -> DataFrame:
-    """(cls, shingles) of the wanted classes, read from one document of each.
+    """(cls, shingles) of the wanted classes, read from one document of each; without a key, found by their class.
 
     ``fine``: of each hash only the group among 65,536, with repeats, a quarter of the size.
     """
@@ -174,15 +175,20 @@ def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, fine: boo
     def run(batches):
         for batch in slices(batches):
             hashes, bounds = shingle_sets(*utf8(batch.column("text")))
-            cls, _ = _classes(hashes, bounds)
-            same = cls.view(np.int64) == batch.column("cls").to_numpy()
+            cls = pa.array(_classes(hashes, bounds)[0].view(np.int64))
+            # the class asked for; documents without a key are asked for none and tell theirs
+            asked = batch.column("cls")
+            same = pc.fill_null(pc.equal(asked, cls), True)
             kept = (hashes >> np.uint64(48)).astype(np.uint16) if fine else hashes
             sets = [kept[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            out = pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.binary())], ["cls", "shingles"])
-            yield out.filter(pa.array(same))
-
-    texts = docs.join(known, "doc_id").select("cls", "text")
-    return texts.mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"])
+            out = pa.RecordBatch.from_arrays([cls, pa.array(sets, pa.binary())], ["cls", "shingles"])
+            yield out.filter(same)
+
+    keyed = docs.join(known, "doc_id").select("cls", "text").mapInArrow(run, "cls long, shingles binary")
+    # matching null with null would pair every such document with every such class
+    bare = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("cls"), "text")
+    bare = bare.mapInArrow(run, "cls long, shingles binary").join(known.where("doc_id is null").select("cls"), "cls")
+    return keyed.union(bare).dropDuplicates(["cls"])
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int, fine: bool) -> DataFrame:

@@ -122,6 +122,21 @@ def test_one_of_each_with_repeated_and_null_keys(spark):
     assert sorted(map(str, got)) == sorted(map(str, kept))
 
 
+def test_near_texts_with_null_keys_link_and_bridge(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    text = lambda changed: " ".join("zzzzzz" if i in changed else w for i, w in enumerate(words))
+    bare = [(None, text({20})), (None, text({40})), (None, "quite other words that stand alone in this table")]
+    docs = spark.createDataFrame(bare, "doc_id long, text string")
+    rows = ngram_join.ngram_components(docs).collect()
+    assert len(rows) == 3 and sorted(sum(r.root == q.root for q in rows) for r in rows) == [1, 2, 2]
+    assert ngram_join.one_of_each(docs).count() == 2
+    # keyed texts link to texts without a key
+    mixed = spark.createDataFrame([(5, text({60})), *bare, (7, text({80}))], "doc_id long, text string")
+    rows = ngram_join.ngram_components(mixed).collect()
+    assert len({r.root for r in rows}) == 2 and {r.component_id for r in rows} == {5, None}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     assert ngram_join.ngram_components(docs).count() == 0
