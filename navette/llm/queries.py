@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navette.llm import (
+    alignment,
+    centroid_clusters,
     chat_format,
     decontaminate,
     embedding_dedup,
@@ -14,6 +19,7 @@ from navette.llm import (
     personal_data,
     quality,
     suffix_dedup,
+    token_counts,
     toxicity,
     url_filter,
 )
@@ -94,6 +100,28 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = centroid_clusters.centroid_clusters(table(spark, sf_dir, "embeddings"))
+    texts = [",".join(map(str, row)) for row in centroids.tolist()]
+    digests = [(n, hashlib.sha256(t.encode()).hexdigest()) for n, t in enumerate(texts)]
+    named = spark.createDataFrame(digests, "cluster int, centroid_sha256 string")
+    return found.join(F.broadcast(named), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), path)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.aligned_tokens(table(spark, sf_dir, "documents"), *paths, digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_chat_format": op2_chat_format,
@@ -105,6 +133,9 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_decontamination": op9_decontamination,
     "op10_personal_data": op10_personal_data,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_token_counts": op12_token_counts,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -142,3 +173,43 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """,
 }
+
+
+def _cluster_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds written one after the other, components as rows."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT rid, c, d FROM (
+    SELECT x.rid, m.c, sum((x.v - m.v) * (x.v - m.v))::BIGINT AS d FROM parts x JOIN m{n} m USING (i) GROUP BY ALL
+  ) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1
+)""")
+        if n < rounds:
+            steps.append(f"""s{n} AS (
+  SELECT c, i, sum(v)::BIGINT AS s, count(*) AS n FROM a{n} JOIN parts USING (rid) GROUP BY ALL
+), m{n + 1} AS MATERIALIZED (
+  SELECT c, i, CASE WHEN n IS NULL THEN v ELSE (s - ((s % n + n) % n)) // n END AS v FROM m{n} LEFT JOIN s{n} USING (c, i)
+)""")
+    return f"""
+WITH numbered AS (
+  SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+), kept AS (
+  SELECT * FROM numbered WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64
+), places AS (
+  SELECT *, unnest(range(1, 65)) AS i FROM kept
+), parts AS MATERIALIZED (
+  SELECT rid, i, floor(256 * embedding[i]::DOUBLE)::BIGINT AS v FROM places
+), drawn AS (
+  SELECT rid, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM kept QUALIFY c < {k}
+), m0 AS MATERIALIZED (
+  SELECT c, i, v FROM drawn JOIN parts USING (rid)
+), {", ".join(steps)}, digests AS (
+  SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM m{rounds} GROUP BY c
+)
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (rid) JOIN digests USING (c)
+"""
+
+
+ORACLE["op11_centroid_clusters"] = _cluster_sql()

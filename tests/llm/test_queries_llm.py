@@ -13,7 +13,8 @@ DATA = "/root/testdata/sf0.001"
 def test_against_sql(spark, name):
     frame = QUERIES[name](spark, DATA).toPandas()
     base = duckdb.connect()
-    base.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     want = base.execute(ORACLE[name]).df()[list(frame.columns)]
     order = list(frame.columns)
     left = frame.sort_values(order).reset_index(drop=True)
