@@ -28,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navette.llm.common import slices, utf8, written
+from navette.llm.common import SLICE_BYTES, slices, utf8, written
+from navette.llm.encoding import SLICE_BYTES as CHUNK_BYTES
 from navette.llm.encoding import Chunks, Coded, Encoder, Vocabulary, chunks_of, coded, row_totals, spaced
 
 #: Ends that a piece of the merge holds.
@@ -121,12 +122,16 @@ class Aligner:
 
     def _whole(self, side: int, chunks: Chunks, found: Coded, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows whose joined token bytes are the row's own."""
-        names, ids, at = self.names[side], found.ids.tolist(), 0
-        lead = b" " if self.sides[side].adds_space else b""
-        same = np.zeros(len(found.lengths), bool)
-        for k, (n, chunk) in enumerate(zip(found.lengths.tolist(), chunks.distinct.to_pylist(), strict=True)):
-            same[k] = b"".join([names[i] for i in ids[at : at + n]]) == lead + chunk.encode()
-            at += n
+        names, size = self.names[side], self.sizes[side]
+        own, cuts = utf8(chunks.distinct)
+        if self.sides[side].adds_space:
+            own, cuts = spaced(own, cuts)
+        long = row_totals(size[found.ids], np.append(0, np.cumsum(found.lengths)))
+        fits = long == np.diff(cuts)
+        told = np.frombuffer(b"".join([names[i] for i in found.expanded(np.flatnonzero(fits)).tolist()]), np.uint8)
+        differ = told != own[np.repeat(fits, np.diff(cuts))]
+        same = fits.copy()
+        same[fits] = row_totals(differ, np.append(0, np.cumsum(long[fits]))) == 0
         odd = row_totals(~same[chunks.which], chunks.bounds) > 0
         for row in np.flatnonzero(odd).tolist():  # chunks that differ may still join to the same bytes
             joined = found.expanded(chunks.which[chunks.bounds[row] : chunks.bounds[row + 1]])
@@ -141,20 +146,15 @@ class Aligner:
         chunks = [chunks_of(buf, offsets, side) for side in self.sides]
         found = [coded(c.distinct, side) for c, side in zip(chunks, self.sides, strict=True)]
         whole = np.logical_and(*(self._whole(s, chunks[s], found[s], buf, offsets) for s in (0, 1)))
-        ids, ends, counts = [], [], []
-        for c, f, size in zip(chunks, found, self.sizes, strict=True):
-            n = row_totals(f.lengths[c.which], c.bounds) * whole
-            kept = np.repeat(whole, np.diff(c.bounds))
-            ids.append(f.expanded(c.which[kept]))
-            ends.append(np.cumsum(size[ids[-1]]))
-            counts.append(n)
-        links, groups = merged(*ends)
-        row_of = np.repeat(np.arange(len(whole)), counts[0])
-        n_links = np.bincount(row_of[links[0]], minlength=len(whole))
-        group_row = row_of[groups[0]]
-        n_groups = np.bincount(group_row, minlength=len(whole))
-        told = self._told(ids, groups, group_row, whole, digest)
-        pairs, times = self._pairs(ids, links, row_of, len(whole))
+        parts = []
+        cuts = np.flatnonzero(np.diff(offsets[1:] // SLICE_BYTES)) + 1
+        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(whole)], strict=True):
+            if e > s:
+                parts.append(self._rows(s, e, chunks, found, whole, digest))
+        if parts:
+            *numbers, told, pairs, times = (sum(p, []) if isinstance(p[0], list) else np.concatenate(p) for p in zip(*parts, strict=True))
+        else:
+            *numbers, told, pairs, times = *[np.zeros(0, np.int64)] * 4, [], [], []
 
         def spread(values, rest, kind):
             """The values of the rows that have text, the rest for others."""
@@ -165,9 +165,26 @@ class Aligner:
             own = iter(values)
             return pa.array([next(own) if f else rest for f in full.tolist()], kind)
 
-        numbers = [spread(x, 0, pa.int64()) for x in (*counts, n_groups, n_links)]
+        numbers = [spread(x, 0, pa.int64()) for x in numbers]
         return [*numbers, spread(told, "", pa.string()), spread(pairs, b"", pa.binary()), spread(times, b"", pa.binary())]
 
+    def _rows(self, start: int, stop: int, chunks: list[Chunks], found: list[Coded], whole: np.ndarray, digest: bool):
+        """n_a, n_b, n_groups, n_links, groups, pairs, times of some rows."""
+        whole = whole[start:stop]
+        ids, ends, counts = [], [], []
+        for c, f, size in zip(chunks, found, self.sizes, strict=True):
+            bounds = c.bounds[start : stop + 1]
+            which = c.which[bounds[0] : bounds[-1]]
+            counts.append(row_totals(f.lengths[which], bounds - bounds[0]) * whole)
+            ids.append(f.expanded(which[np.repeat(whole, np.diff(bounds))]))
+            ends.append(np.cumsum(size[ids[-1]]))
+        links, groups = merged(*ends)
+        row_of = np.repeat(np.arange(len(whole)), counts[0])
+        group_row = row_of[groups[0]]
+        n_groups, n_links = (np.bincount(x, minlength=len(whole)) for x in (group_row, row_of[links[0]]))
+        told = self._told(ids, groups, group_row, whole, digest)
+        return *counts, n_groups, n_links, told, *self._pairs(ids, links, row_of, len(whole))
+
     def _told(self, ids, groups, group_row, whole, digest: bool) -> list[str]:
         if not len(group_row):
             return [""] * len(whole)
@@ -218,7 +235,7 @@ def encoded(docs: DataFrame, path_a: str, path_b: str, key: str, text: str, dige
     def run(batches):
         aligner = None
         number = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", CHUNK_BYTES):
             aligner = aligner or Aligner(*files.value)
             n = batch.num_rows
             columns = [pa.array(np.arange(number, number + n)), batch.column(0), *aligner(batch.column(1), digest)]

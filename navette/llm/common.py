@@ -87,13 +87,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the text of one holds about ``SLICE_BYTES``."""
+def slices(
+    batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the text of one holds about ``most`` bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes.astype(np.int64)) // SLICE_BYTES
+        part = np.cumsum(sizes.astype(np.int64)) // most
         cuts = np.flatnonzero(np.diff(part)) + 1
         for start, stop in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(start, stop - start)

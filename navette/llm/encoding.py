@@ -27,6 +27,10 @@ import pyarrow.compute as pc
 
 #: Bytes of distinct chunks that the library takes at once.
 BATCH_BYTES = 1 << 18
+#: Bytes of text whose chunks are told apart at once: the more, the fewer are distinct.
+SLICE_BYTES = 8 << 20
+#: Chunks that are encoded as one text where that cannot change their tokens; each call costs more than a chunk.
+JOINED = 200
 
 # Fixed value: the pattern of words without white space that chunks may be cut for.
 _WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -70,6 +74,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.plain = plain
+        self.sizes: np.ndarray | None = None
         #: Texts come with a space before them, which the library adds itself and chunks leave out.
         self.adds_space = vocabulary.kind == "model"
         if self.adds_space:
@@ -95,8 +100,36 @@ class Encoder:
     def ids(self, chunks: list[str]) -> list[list[int]]:
         if self.adds_space:
             return self.library.encode(chunks, num_threads=1)
+        if self.plain and self.cut == self._between_words:
+            return self._joined_ids(chunks)
         return [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def _joined_ids(self, chunks: list[str]) -> list[list[int]]:
+        """Chunks that may follow any other are joined, and their ids told apart by the bytes of tokens."""
+        if self.sizes is None:
+            self.sizes = np.fromiter(map(len, self.token_bytes()), np.int64)
+        follows = [len(c) > 1 and c[0] == " " and not c[1].isspace() for c in chunks]
+        free = [i for i, f in enumerate(follows) if f]
+        groups = [free[i : i + JOINED] for i in range(0, len(free), JOINED)]
+        texts = ["".join(chunks[i] for i in group) for group in groups]
+        alone = [i for i, f in enumerate(follows) if not f]
+        found = self.library.encode_batch_fast([*texts, *(chunks[i] for i in alone)], add_special_tokens=False)
+        out: list[list[int]] = [[]] * len(chunks)
+        for group, one in zip(groups, found, strict=False):
+            ids = one.ids
+            ends = np.cumsum(self.sizes[ids])
+            wanted = np.cumsum([len(chunks[i].encode()) for i in group])
+            cuts = np.searchsorted(ends, wanted) + 1
+            if len(ids) < cuts[-1] or (ends[cuts - 1] != wanted).any():  # not the bytes of the text
+                for i, e in zip(group, self.library.encode_batch_fast([chunks[i] for i in group], add_special_tokens=False), strict=True):
+                    out[i] = e.ids
+                continue
+            for i, s, e in zip(group, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                out[i] = ids[s:e]
+        for i, one in zip(alone, found[len(groups) :], strict=True):
+            out[i] = one.ids
+        return out
+
     def token_bytes(self) -> list[bytes]:
         """The bytes of each id."""
         if self.adds_space:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from navette.llm.common import slices, utf8
-from navette.llm.encoding import Encoder, Vocabulary, batches_of, chunks_of, row_totals, spaced
+from navette.llm.encoding import SLICE_BYTES, Encoder, Vocabulary, batches_of, chunks_of, row_totals, spaced
 
 
 def lengths(distinct: pa.Array, encoder: Encoder) -> np.ndarray:
@@ -37,7 +37,7 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     def run(batches):
         encoder = None
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", SLICE_BYTES):
             encoder = encoder or Encoder(vocabulary.value)
             buf, offsets = utf8(batch.column("__text"))
             size = np.diff(offsets)
