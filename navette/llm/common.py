@@ -232,6 +232,42 @@ def starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+#: Edges a task joins at once in ``forest``.
+FOREST_EDGES = 1 << 18
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """Fewer (a, b) edges that connect the same nodes: each task keeps a spanning forest of what it reads."""
+
+    def run(batches):
+        up: dict[int, int] = {}
+        kept: list[tuple[int, int]] = []
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up.setdefault(y, y)
+                x = up[x]
+            return x
+
+        def told():
+            a, b = zip(*kept, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                one, two = root(a), root(b)
+                if one != two:
+                    up[two] = one
+                    kept.append((a, b))
+            if len(kept) >= FOREST_EDGES:
+                yield told()
+                up, kept = {}, []
+        if kept:
+            yield told()
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component) of all nodes with an edge; a component is its smallest node.
 

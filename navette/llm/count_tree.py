@@ -58,25 +58,27 @@ class CountTree:
                 (np.maximum.reduceat(high, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(top, cuts))
             )
 
-    def search(self, vector: np.ndarray, size: int, percent: int, finer: np.ndarray | None = None) -> np.ndarray:
-        """Indices of the points whose bound allows the similarity."""
+    def search(
+        self, vector: np.ndarray, size: int, percent: int, finer: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the points whose bound allows the similarity, and by how much the bound is above the need."""
         found = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -1, -1):
             high, low, top = self.levels[depth]
             fits = (100 * top[found] >= percent * size) & (percent * low[found] <= 100 * size)
             found = found[fits]
-            need = least_overlap(low[found], size, percent)
-            found = found[overlap_bound(high[found], vector[None, :]) >= need]
+            spare = overlap_bound(high[found], vector[None, :]) - least_overlap(low[found], size, percent)
+            found, spare = found[spare >= 0], spare[spare >= 0]
             if depth:
                 below = len(self.levels[depth - 1][1])
                 found = (found[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                 found = found[found < below]
         found = self.order[found]
         if finer is None or self.finer is None:
-            return found
+            return found, spare
         place = self.place[found]
-        keep = place < 0
-        both = found[~keep]
+        long = place >= 0
+        both = found[long]
         need = least_overlap(self.sizes[both], size, percent)
-        keep[~keep] = overlap_bound(self.finer[place[~keep]], finer[None, :]) >= need
-        return found[keep]
+        spare[long] = np.minimum(spare[long], overlap_bound(self.finer[place[long]], finer[None, :]) - need)
+        return found[spare >= 0], spare[spare >= 0]

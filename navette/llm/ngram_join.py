@@ -10,14 +10,18 @@ pairs in an R-tree and before each exact comparison.
 2.  ``shared_tokens``: a linked pair shares one of the first n/4 + 1 shingles of both, in
     any order common to all documents. The order here is by how full the shingle's
     cell is, so wide-spread passages come last. Only classes enter, once per slice of text.
-3.  ``centred``: the smallest class of a shared token is its centre, and is paired with the others.
-4.  Pairs within the bound are verified on whole sets; links give components.
-5.  ``remaining_pairs``: around a centre that still has several components, classes
+3.  ``centred``: the smallest class of a shared token is its centre. Classes meet their centres in rounds: first
+    the one they share most tokens with, then some more, but only centres of another
+    component. Pairs within the bound are verified on whole sets, and links join components.
+4.  ``remaining_pairs``: around a centre that still has several components, classes
     outside the largest one search R-trees of the others. Blocks bound what a task holds.
-6.  These pairs are verified too, and the components of all links are the result.
+    Each search gives the candidates of the largest bounds first; their pairs are verified and joined, and searches go
+    on with more candidates until none is left out, so every pair within the bound is tried or already joined.
+5.  The components of all links are the result.
 
-Two classes in one component need no further comparison, so a group of thousands of
-near copies costs a comparison for each member and centre, not for each pair.
+In each step links join components, not classes, and each task keeps a spanning forest of its links. Two classes in
+one component need no further comparison, so a group of thousands of near copies costs a few comparisons for each
+member, not one for each pair or for each centre.
 
 Null or wordless texts have no shingles, no links and form their own component.
 Rows may repeat: equal rows are one class. Columns other than the key and text are
@@ -28,6 +32,8 @@ classes and shingles is that of 64-bit hashes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from navette.llm.common import as_blocks, components, mix, slices, summed, utf8, written
+from navette.llm.common import as_blocks, components, forest, mix, slices, summed, utf8, written
 from navette.llm.count_tree import FINE_GROUPS, GROUPS, LARGE, CountTree, count_vectors, least_overlap, overlap_bound
 from navette.llm.shingles import row_sums, shingle_sets
 
@@ -45,6 +51,10 @@ PERCENT = 75
 CELLS = 1 << 18
 #: Rows of one token that go to one task; a token well above the mean is dealt over several.
 SPREAD = 65_536
+#: Centres that a class has met after each round of stars, those with most shared tokens first.
+STAR_ROUNDS = (1, 8)
+#: Candidates of a class from one tree in the first search, and how much more in each further one, until all were given.
+NEAREST, MORE = 8, 16
 #: Classes in one R-tree of the last search.
 BLOCK = 4096
 #: Pairs of two numbers that may be sent to all executors; more are joined by a shuffle of the texts.
@@ -52,16 +62,15 @@ BROADCAST_ROWS = 500_000
 #: Keys of dropped documents that may be sent to all executors; more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 
-_PROFILE = "doc_id long, n long, cls long, check long, vec binary, block int, part binary"
+_PROFILE = "doc_id long, n long, cls long, vec binary, block int, part binary"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _classes(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = np.diff(bounds).astype(np.uint64)
-    return mix(row_sums(hashes, bounds) + n), row_sums(mix(hashes ^ np.uint64(0x5555555555555555)), bounds)
+def _classes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return mix(row_sums(hashes, bounds) + np.diff(bounds).astype(np.uint64))
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -76,7 +85,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             hashes, bounds = shingle_sets(*utf8(batch.column("text")))
             cells += np.bincount((hashes % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
             n = np.diff(bounds)
-            cls, check = _classes(hashes, bounds)
+            cls = _classes(hashes, bounds)
             none = n == 0
             vectors = [v.tobytes() for v in count_vectors(hashes, bounds)]
             for row in np.flatnonzero(n >= LARGE).tolist():
@@ -86,16 +95,15 @@ def profiles(docs: DataFrame) -> DataFrame:
                 batch.column("doc_id"),
                 pa.array(n),
                 pa.array(cls.view(np.int64), mask=none),
-                pa.array(check.view(np.int64), mask=none),
                 pa.array(vectors, pa.binary(), mask=none),
                 pa.nulls(len(n), pa.int32()),
                 pa.nulls(len(n), pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "check", "vec", "block", "part"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "vec", "block", "part"])
         blocks = as_blocks(cells)
-        empty = [pa.nulls(blocks.num_rows, t) for t in (*[pa.int64()] * 4, pa.binary())]
+        empty = [pa.nulls(blocks.num_rows, t) for t in (*[pa.int64()] * 3, pa.binary())]
         yield pa.RecordBatch.from_arrays(
-            [*empty, *blocks.columns], ["doc_id", "n", "cls", "check", "vec", "block", "part"]
+            [*empty, *blocks.columns], ["doc_id", "n", "cls", "vec", "block", "part"]
         )
 
     return docs.mapInArrow(run, _PROFILE)
@@ -109,7 +117,7 @@ def shared_tokens(docs: DataFrame, cells: np.ndarray, percent: int, spread: int
         grade = np.array([int(c).bit_length() for c in cells], np.uint64) << np.uint64(58)
         for batch in slices(batches):
             hashes, bounds = shingle_sets(*utf8(batch.column("text")))
-            cls, _ = _classes(hashes, bounds)
+            cls = _classes(hashes, bounds)
             size = np.diff(bounds)
             once = np.zeros(len(size), bool)
             once[np.unique(cls, return_index=True)[1]] = True
@@ -175,7 +183,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, fine: boo
     def run(batches):
         for batch in slices(batches):
             hashes, bounds = shingle_sets(*utf8(batch.column("text")))
-            cls = pa.array(_classes(hashes, bounds)[0].view(np.int64))
+            cls = pa.array(_classes(hashes, bounds).view(np.int64))
             # the class asked for; documents without a key are asked for none and tell theirs
             asked = batch.column("cls")
             same = pc.fill_null(pc.equal(asked, cls), True)
@@ -225,18 +233,37 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
 
 
 def centred(tokens: DataFrame) -> DataFrame:
-    """(centre, cls): classes by the smallest class of a token they are in, itself included.
+    """(centre, cls, place): classes by the smallest class of a token they are in, itself included.
 
-    Many tokens have one centre, so a pair of classes meets about once, not once for each shared token.
+    Many tokens have one centre, so a pair of classes meets about once, not once for each shared token. The place
+    orders the other centres of a class, the one with most shared tokens first.
     """
     centre = tokens.groupBy("token").agg(F.min("cls").alias("centre"))
-    return tokens.join(centre, "token").select("centre", "cls").distinct()
+    groups = tokens.join(centre, "token").groupBy("centre", "cls").agg(F.count("*").alias("shared"))
+    # a class has no more centres than tokens, a quarter of its set
+    own = Window.partitionBy("cls").orderBy(F.col("centre") == F.col("cls"), F.col("shared").desc(), "centre")
+    return groups.withColumn("place", F.row_number().over(own)).select("centre", "cls", "place")
+
+
+def star_pairs(groups: DataFrame, found: DataFrame, after: int, upto: int) -> DataFrame:
+    """(a, b): classes with centres of other components, by the places after the first limit up to the second."""
+    stars = groups.where((F.col("cls") != F.col("centre")) & (F.col("place") > after) & (F.col("place") <= upto))
+    stars = stars.select(F.col("centre").alias("a"), F.col("cls").alias("b"))
+    if not after:
+        return stars
+    for end in "ab":
+        part = found.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}"))
+        stars = stars.join(part, end, "left").withColumn(f"part_{end}", F.coalesce(f"part_{end}", end))
+    return stars.where("part_a <> part_b").select("a", "b")
 
 
 def remaining_pairs(
-    groups: DataFrame, classes: DataFrame, found: DataFrame, percent: int, block: int = BLOCK
+    groups: DataFrame, classes: DataFrame, found: DataFrame, percent: int, block: int = BLOCK, most: int = 1 << 62
 ) -> DataFrame:
-    """Pairs of different components that share a centre and stay within the bound."""
+    """(a, b, cut): pairs (a < b) of different components that share a centre and stay within the bound.
+
+    A class gets ``most`` candidates from a tree, those with the most overlap to spare; ``cut`` tells where there were more.
+    """
     placed = groups.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left")
     placed = placed.select("centre", "cls", F.coalesce("component", "cls").alias("comp"))
     parts = placed.groupBy("centre", "comp").agg(F.count("*").alias("size"))
@@ -275,13 +302,17 @@ def remaining_pairs(
                 *columns, long = zip(*held["index"], strict=True)
                 c, k, m, v = (np.concatenate(x) for x in columns)
                 held.update(cls=c, comp=k, tree=CountTree(v, m, [f for part in long for f in part]), index=[])
-            a, b = [], []
+            a, b, cut = [], [], []
             for i in range(len(cls)):
-                hits = held["tree"].search(vec[i], int(n[i]), percent, finer[i])
-                hits = held["cls"][hits[held["comp"][hits] != comp[i]]]
+                hits, spare = held["tree"].search(vec[i], int(n[i]), percent, finer[i])
+                other = held["comp"][hits] != comp[i]
+                hits, spare = held["cls"][hits[other]], spare[other]
+                cut.append(np.full(min(len(hits), most), len(hits) > most))
+                if len(hits) > most:
+                    hits = hits[np.lexsort((hits, -spare))[:most]]
                 a.append(np.minimum(hits, cls[i]))
                 b.append(np.maximum(hits, cls[i]))
-            return np.concatenate(a), np.concatenate(b)
+            return np.concatenate(a), np.concatenate(b), np.concatenate(cut)
 
         for batch in batches:
             if not batch.num_rows:
@@ -298,10 +329,23 @@ def remaining_pairs(
                 if got is not None:
                     out.append(got)
             if out:
-                a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                a, b, cut = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cut)], ["a", "b", "cut"])
+
+    return dealt.mapInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def joined_components(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) when links between nodes join the components found before."""
+    ends = links.select("a", "b")
+    for end in "ab":
+        part = found.select(F.col("node").alias(end), F.col("component").alias("__part"))
+        ends = ends.join(part, end, "left").withColumn(end, F.coalesce("__part", end)).drop("__part")
+    more = components(forest(ends.where("a <> b").distinct()), "ngram-joined")
+    above = more.select(F.col("node").alias("component"), F.col("component").alias("__above"))
+    moved = found.join(above, "component", "left").select("node", F.coalesce("__above", "component").alias("component"))
+    # nodes without a component so far
+    return moved.union(more.join(found, "node", "left_anti").select("node", "component"))
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -319,16 +363,23 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     classes = written(classes, "ngram-classes")
     tokens = written(shared_tokens(docs, cells, percent), "ngram-tokens")
     groups = written(centred(tokens), "ngram-groups")
-    stars = groups.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
-    pairs = written(within_bound(stars, classes, percent), "ngram-pairs")
-    links = verified(docs, classes, pairs, percent)
-    found = components(links, "ngram-components")
-    rest = written(remaining_pairs(groups, classes, found, percent), "ngram-rest")
-    rest = rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = written(rest, "ngram-untried")
-    if not rest.isEmpty():
-        links = links.union(verified(docs, classes, rest, percent))
-        found = components(links, "ngram-all-components")
+    found = docs.sparkSession.createDataFrame([], "node long, component long")
+    tried, after = [], 0
+    for upto in STAR_ROUNDS:
+        pairs = written(within_bound(star_pairs(groups, found, after, upto), classes, percent), "ngram-pairs")
+        tried.append(pairs)
+        found = written(joined_components(found, verified(docs, classes, pairs, percent)), "ngram-components")
+        after = upto
+    most, cut = NEAREST, True
+    while cut:
+        rest = written(remaining_pairs(groups, classes, found, percent, most=most), "ngram-rest")
+        cut = not rest.where("cut").isEmpty()
+        known = reduce(DataFrame.union, tried).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        rest = written(rest.select("a", "b").join(known, ["a", "b"], "left_anti"), "ngram-untried")
+        tried.append(rest)
+        if not rest.isEmpty():
+            found = written(joined_components(found, verified(docs, classes, rest, percent)), "ngram-components")
+        most *= MORE
     roots = classes.select("cls", "rep").join(found.withColumnRenamed("node", "cls"), "cls", "left")
     roots = roots.select("cls", "rep", F.coalesce("component", "cls").alias("root"))
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -370,7 +421,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         whole = pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.string())], ["text"])
         for piece in slices([whole]):
             hashes, bounds = shingle_sets(*utf8(piece.column("text")))
-            cls, _ = _classes(hashes, bounds)
+            cls = _classes(hashes, bounds)
             out.append(pd.Series(cls.view(np.int64)).where(np.diff(bounds) > 0).astype("Int64"))
         return pd.concat(out, ignore_index=True)
 

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from navette.llm import embedding_dedup, ngram_join, suffix_dedup
+from navette.llm import common, embedding_dedup, ngram_join, suffix_dedup
 from navette.llm.common import components
 from navette.llm.count_tree import CountTree, count_vectors, least_overlap, overlap_bound
 
@@ -91,7 +91,7 @@ def test_ngram_remaining_pairs_in_small_blocks(spark):
         vector = count_vectors(s, np.array([0, len(s)]))[0].tobytes()
         rows.append((i, i, len(s), bytearray(vector)))
     classes = spark.createDataFrame(rows, "cls long, rep long, n long, vec binary")
-    groups = spark.createDataFrame([(0, i) for i in range(40)], "centre long, cls long")
+    groups = spark.createDataFrame([(0, i, 1) for i in range(40)], "centre long, cls long, place int")
     none = spark.createDataFrame([], "node long, component long")
     got = {(r.a, r.b) for r in ngram_join.remaining_pairs(groups, classes, none, 75, block=7).collect()}
     linked = {
@@ -155,7 +155,7 @@ def test_count_tree_is_complete():
     vectors, sizes = count_vectors(np.concatenate(sets), bounds), np.diff(bounds)
     tree = CountTree(vectors, sizes)
     for q in range(0, len(sets), 7):
-        found = set(tree.search(vectors[q], int(sizes[q]), 75).tolist())
+        found = set(tree.search(vectors[q], int(sizes[q]), 75)[0].tolist())
         linked = {i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, sets[q])) >= 75 * len(np.union1d(s, sets[q]))}
         assert linked <= found
     big = [np.unique(rng.integers(0, 2**63, 6000, dtype=np.uint64)) for _ in range(12)]
@@ -165,8 +165,8 @@ def test_count_tree_is_complete():
     longer = [count_vectors(b, np.array([0, len(b)]), 4096)[0] if len(b) > 2048 else None for b in big]
     tree, coarse = CountTree(points, sizes, longer), CountTree(points, sizes)
     for q in range(24):
-        found = set(tree.search(points[q], int(sizes[q]), 75, longer[q]).tolist())
-        assert found == {q % 12, q % 12 + 12} < set(coarse.search(points[q], int(sizes[q]), 75).tolist())
+        found = set(tree.search(points[q], int(sizes[q]), 75, longer[q])[0].tolist())
+        assert found == {q % 12, q % 12 + 12} < set(coarse.search(points[q], int(sizes[q]), 75)[0].tolist())
     full = np.full((1, 256), 255, np.uint8)
     assert overlap_bound(full, full)[0] > least_overlap(np.array([10**9]), 10**9, 75)[0]
 
@@ -233,3 +233,40 @@ def test_near_vectors(spark, block):
     assert found >= 0.9 * all_links > 0
     assert got[2004].n_links == 1 and got[3001].component_id == 2004 and not got[3001].kept
     assert all(got[i].n_links == 0 and got[i].kept for i in (2000, 2001, 2002, 2003, 2005, 3000))
+
+
+@pytest.mark.parametrize("copies", [40, 200])
+def test_links_of_a_growing_group_stay_few(spark, monkeypatch, copies):
+    """Copies with several edits each and a passage that all share: about one link a copy, not one for each centre."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage, body = [word() for _ in range(60)], [word() for _ in range(140)]
+    texts = {}
+    for i in range(copies):
+        words = passage + body
+        for at in rng.sample(range(len(words)), rng.randint(1, 5)):
+            words[at] = word()
+        texts[i] = " ".join(words)
+    for i in range(40):  # others that share the passage only
+        texts[1000 + i] = " ".join([*(word() for _ in range(200)), *passage])
+    found, real = [], ngram_join.verified
+
+    def counted(*args):
+        links = real(*args)
+        found.append(links.count())
+        return links
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(frame(spark, texts)).collect()}
+    assert got == expected_groups(texts)
+    assert sum(found) <= 4 * copies, found
+
+
+def test_links_join_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)]
+    more = [(rng.randrange(400), rng.randrange(400)) for _ in range(120)]
+    frames = [spark.createDataFrame(x, "a long, b long") for x in (edges, more)]
+    parts = ngram_join.joined_components(common.components(frames[0], "test"), frames[1])
+    whole = common.components(common.forest(frames[0].union(frames[1])), "test")
+    assert {tuple(r) for r in parts.collect()} == {tuple(r) for r in whole.collect()}
