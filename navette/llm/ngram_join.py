@@ -52,9 +52,9 @@ CELLS = 1 << 18
 #: Rows of one token that go to one task; a token well above the mean is dealt over several.
 SPREAD = 65_536
 #: Centres that a class has met after each round of stars, those with most shared tokens first.
-STAR_ROUNDS = (1, 8)
+STAR_ROUNDS = (1,)
 #: Candidates of a class from one tree in the first search, and how much more in each further one, until all were given.
-NEAREST, MORE = 8, 16
+NEAREST, MORE = 16, 64
 #: Classes in one R-tree of the last search.
 BLOCK = 4096
 #: Pairs of two numbers that may be sent to all executors; more are joined by a shuffle of the texts.
@@ -377,8 +377,9 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", p
         known = reduce(DataFrame.union, tried).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         rest = written(rest.select("a", "b").join(known, ["a", "b"], "left_anti"), "ngram-untried")
         tried.append(rest)
-        if not rest.isEmpty():
-            found = written(joined_components(found, verified(docs, classes, rest, percent)), "ngram-components")
+        links = rest if rest.isEmpty() else verified(docs, classes, rest, percent)
+        if not links.isEmpty():
+            found = written(joined_components(found, links), "ngram-components")
         most *= MORE
     roots = classes.select("cls", "rep").join(found.withColumnRenamed("node", "cls"), "cls", "left")
     roots = roots.select("cls", "rep", F.coalesce("component", "cls").alias("root"))
