@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from navette.operators.flows import name_ends, totals
@@ -25,24 +25,32 @@ def commune_order(labelled: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def with_display_order(od: DataFrame, order: DataFrame, *by: str) -> DataFrame:
-    """Positions of both ends in ``order``, rows sorted by them.
+def _place_key(code: str, *by: str) -> Column:
+    """Text key of a commune in its table; NULL if any part is."""
+    parts = [F.col(c).cast("string") for c in (*by, code)]
+    return F.concat(*[part for p in parts for part in (p, F.lit("\x1f"))][:-1])
 
-    An end that is not in the order (nobody lives there) gets NULL and sorts last.
+
+def order_lookup(order: DataFrame, *by: str) -> DataFrame:
+    """``commune_order`` as rows of one text key (``code``) and the position, to be measured as a ``Lookup``."""
+    return order.select(_place_key("resid_code", *by).alias("code"), "position")
+
+
+def with_display_order(od: DataFrame, order: Lookup, *by: str) -> DataFrame:
+    """Positions of both ends in ``order``, an ``order_lookup`` that was measured once.
+
+    An end that is not in the order (nobody lives there) gets NULL. Rows are not sorted; see ``in_display_order``.
     """
     for end in ("resid", "work"):
-        positions = order.select(
-            *by,
-            F.col("resid_code").alias(f"{end}_code"),
-            F.col("position").alias(f"{end}_position"),
-        )
-        od = od.join(positions, [*by, f"{end}_code"], "left")
-    return od.orderBy(
-        *by,
-        F.col("resid_position").asc_nulls_last(),
-        F.col("work_position").asc_nulls_last(),
-        "mode",
-    )
+        keyed = od.withColumn("__place", _place_key(f"{end}_code", *by))
+        od = order.attach(keyed, "__place", {"position": f"{end}_position"}).drop("__place")
+    return od
+
+
+def in_display_order(od: DataFrame, *by: str) -> DataFrame:
+    """The rows sorted for display, unranked ends last: for one report, not for whole tables."""
+    positions = [F.col(f"{end}_position").asc_nulls_last() for end in ("resid", "work")]
+    return od.orderBy(*by, *positions, "mode")
 
 
 def top_origins(flows: DataFrame, registry: Lookup, work_code: str, n: int) -> DataFrame:

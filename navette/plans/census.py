@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navette.functions.modes import recode_mode
-from navette.operators.flows import as_flows, flow_mart, residents_of, totals, workers_in
+from navette.operators.flows import as_flows, flow_mart, residents_of, totals, within, workers_in
 from navette.operators.lookup import Lookup
+from navette.operators.ranking import commune_order, order_lookup
 from navette.sources.delimited import read_delimited
 from navette.sources.geojson import COORDINATE
 from navette.sources.mart import read_mart, write_mart
 from navette.sources.registry import communes_of
 from navette.sources.shared import fresh_path
+from navette.sources.touched import read_touched, write_touched
 
 # The columns read from each table, declared so that no file is opened to infer them.
 TABLES = {
@@ -42,6 +44,10 @@ _MEASURED: dict[tuple, tuple[int, int]] = {}
 _WRITTEN: dict[tuple, str] = {}
 
 
+def _table_name(path: str) -> str:
+    return "navette_" + path.rsplit("/", 1)[1].replace("-", "_")
+
+
 @dataclass(frozen=True)
 class Census:
     spark: SparkSession
@@ -171,6 +177,43 @@ class Census:
         """The written flow mart: survey rows are joined and summed only once."""
         return read_mart(self.spark, self.mart_path())
 
+    def touched_mart(self) -> DataFrame:
+        """The mart under the groups it touches, bucketed by them."""
+        path = self.written("touched_mart", lambda p: write_touched(self.stored_mart(), p, _table_name(p)))
+        return read_touched(self.spark, path, _table_name(path))
+
+    def display_order(self) -> Lookup:
+        """Positions of the communes of every group and year, ranked once and stored."""
+
+        def write(path: str) -> None:
+            inside = within(self.stored_mart())
+            order_lookup(commune_order(inside, "year", "epci"), "year", "epci").write.parquet(path)
+
+        path = self.written("display_order", write)
+        return self._measured("display_order", self.spark.read.schema("code STRING, position INT").parquet(path))
+
+    def editions_frame(self) -> DataFrame:
+        """Two editions: from 1996 on, every fifth commune belongs to the next group."""
+        key = F.col("n_nationkey")
+        group = F.when(key % 5 == 0, (F.col("n_regionkey") + 1) % 5).otherwise(F.col("n_regionkey"))
+        nation, region = self.table("nation"), self.table("region")
+
+        def edition(of_group, first, last):
+            return nation.join(region, F.col("r_regionkey") == of_group).select(
+                key.cast("string").alias("code"), F.col("n_name").alias("name"), F.col("r_name").alias("epci"),
+                F.lit(first).alias("valid_from"), F.lit(last).cast("int").alias("valid_to"),
+            )
+
+        return edition(F.col("n_regionkey"), 1990, 1996).union(edition(group, 1996, None))
+
+    def changes_frame(self) -> DataFrame:
+        """Merged communes: 24 into 23 from 1994, and 23 into 22 from 1997."""
+        key = F.col("n_nationkey")
+        since = F.when(key == 24, 1994).otherwise(1997)
+        return self.table("nation").where(key >= 23).select(
+            key.cast("string").alias("old_code"), (key - 1).cast("string").alias("new_code"), since.alias("since")
+        )
+
     def years(self) -> list[int | None]:
         """Survey years of the mart, its partitions, in order."""
         found = self.stored_mart().select("year").distinct().collect()

@@ -244,13 +244,21 @@ SELECT code, name, epci, lon, lat, 'POINT (' || lon || ' ' || lat || ')' AS wkt
 FROM centroids JOIN registry USING (code)""",
     "geojson_contours": """
 , box AS (
-  SELECT code, name, epci, lon - 0.125 AS w, lon + 0.125 AS e, lat - 0.125 AS s, lat + 0.125 AS n
-  FROM centroids JOIN registry USING (code)
+  SELECT code, name, epci, i, lon - 0.125 + i AS w, lon + 0.125 + i AS e, lat - 0.125 AS s, lat + 0.125 AS n
+  FROM centroids JOIN registry USING (code), range(2) t(i)
+),
+ring AS (
+  SELECT code, name, epci, i, '((' || w || ' ' || s || ', ' || e || ' ' || s || ', ' || e || ' ' || n || ', '
+         || w || ' ' || n || ', ' || w || ' ' || s || '))' AS text
+  FROM (SELECT code, name, epci, i, w::DECIMAL(9,6) AS w, e::DECIMAL(9,6) AS e, s::DECIMAL(9,6) AS s, n::DECIMAL(9,6) AS n FROM box)
 )
 SELECT code, name, epci,
-       'POLYGON ((' || w || ' ' || s || ', ' || e || ' ' || s || ', ' || e || ' ' || n || ', '
-       || w || ' ' || n || ', ' || w || ' ' || s || '))' AS wkt
-FROM box""",
+       CASE WHEN code::INT % 5 = 0 THEN 'MULTIPOLYGON (' || string_agg(text, ', ' ORDER BY i) || ')'
+            ELSE 'POLYGON ' || min(text) FILTER (WHERE i = 0) END AS wkt
+FROM ring GROUP BY code, name, epci""",
+    "geojson_rejects": """
+SELECT 'kind' AS reason, 'Point' AS kind, count(*) AS n FROM registry WHERE code::INT % 5 <> 0
+UNION ALL SELECT 'code', 'Polygon', count(*) FROM registry WHERE code::INT % 6 = 0""",
     "mart_roundtrip": MART,
     "mart_pruned_scan": f"""
 , mart AS ({MART})
@@ -332,6 +340,38 @@ GROUP BY ALL ORDER BY flow DESC, resid_name LIMIT 3""",
     "share_by_residence_mode_all": _shares(
         "touching_all", ["year", "epci", "resid_code"], ["resid_name"]
     ),
+    "group_directions": """
+, ends AS (
+  SELECT year, resid_epci AS epci, CASE WHEN work_epci = resid_epci THEN 'inside' ELSE 'leaving' END AS way, weight
+  FROM labelled WHERE resid_epci IS NOT NULL
+  UNION ALL
+  SELECT year, work_epci, 'entering', weight FROM labelled
+  WHERE work_epci IS NOT NULL AND work_epci IS DISTINCT FROM resid_epci
+)
+SELECT year, epci, coalesce(sum(weight) FILTER (WHERE way = 'inside'), 0) AS inside,
+       coalesce(sum(weight) FILTER (WHERE way = 'leaving'), 0) AS leaving,
+       coalesce(sum(weight) FILTER (WHERE way = 'entering'), 0) AS entering
+FROM ends GROUP BY year, epci""",
+    "flow_mart_as_of": """
+, moved AS (
+  SELECT year, mode, weight, CASE
+      WHEN resid_code = '24' AND year >= 1997 THEN '22' WHEN resid_code = '24' AND year >= 1994 THEN '23'
+      WHEN resid_code = '23' AND year >= 1997 THEN '22' ELSE resid_code END AS resid_code, CASE
+      WHEN work_code = '24' AND year >= 1997 THEN '22' WHEN work_code = '24' AND year >= 1994 THEN '23'
+      WHEN work_code = '23' AND year >= 1997 THEN '22' ELSE work_code END AS work_code
+  FROM moded
+),
+dated AS (
+  SELECT n_nationkey::VARCHAR AS code, n_name AS name, y.year, r_name AS epci
+  FROM nation, (SELECT DISTINCT year FROM moded) y, region
+  WHERE r_regionkey = CASE WHEN y.year >= 1996 AND n_nationkey % 5 = 0 THEN (n_regionkey + 1) % 5 ELSE n_regionkey END
+)
+SELECT m.year, m.resid_code, m.work_code, m.mode, sum(weight) AS flow, count(*) AS n_obs,
+       r.name AS resid_name, r.epci AS resid_epci, w.name AS work_name, w.epci AS work_epci
+FROM moved m
+LEFT JOIN dated r ON r.code = m.resid_code AND r.year = m.year
+LEFT JOIN dated w ON w.code = m.work_code AND w.year = m.year
+GROUP BY ALL""",
     "share_by_residence_mode_from_mart": _shares(
         "touching", ["year", "resid_code"], ["resid_name"]
     ),

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navette.functions.labels import legend_label
 from navette.functions.modes import MODE_LABELS, recode_mode
-from navette.operators import classify, flows, od, ranking, reconcile, residency, shares
+from navette.operators import classify, editions, flows, od, ranking, reconcile, residency, shares
 from navette.plans import ingest, reports
 from navette.plans.census import Census
 from navette.sources import archive, delimited, enriched, geojson, mart, registry
@@ -113,21 +112,12 @@ def ingest_years_union(census: Census) -> DataFrame:
 
 @query
 def scan_zip_member(census: Census) -> DataFrame:
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-        import zipfile
-
-        import pyarrow.csv as pacsv
-
-        for batch in batches:
-            text, packed = io.BytesIO(), io.BytesIO()
-            pacsv.write_csv(batch, text, pacsv.WriteOptions(delimiter=";"))
-            with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as target:
-                target.writestr("lisez_moi.txt", "x")
-                target.writestr("FD_MOBPRO.csv", text.getvalue())
-            yield pa.RecordBatch.from_pydict({"content": [packed.getvalue()]})
-
-    archives = _flow_file(census.flux()).mapInArrow(pack, "content BINARY")
+    """Archives on disk, each task's rows in one member, read back in two steps."""
+    path = census.written(
+        "flux_zip",
+        lambda p: archive.write_zip_archives(_flow_file(census.flux()), p, "FD_MOBPRO.csv"),
+    )
+    archives = archive.read_zip_archives(census.spark, f"{path}/*.zip")
     return archive.read_flux_zip(archives, "FD_MOBPRO*.csv")
 
 
@@ -173,26 +163,47 @@ def geojson_communes(census: Census) -> DataFrame:
     return geojson.named_geometry(geojson.commune_points(features), census.registry())
 
 
-@query
-def geojson_contours(census: Census) -> DataFrame:
+def _contours(census: Census) -> str:
+    """Boxes as polygons, of every fifth commune two as a multipolygon; some points and some features without a code."""
+
     def write(path: str) -> None:
         half = F.lit(0.125).cast(geojson.COORDINATE)
         corners = [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)]
-        ring = F.array(
-            *[F.array(F.col("lon") + half * i, F.col("lat") + half * j) for i, j in corners]
-        )
-        census.centroid_frame().select(
-            F.lit("Feature").alias("type"),
-            F.struct("code", F.col("code").alias("nom")).alias("properties"),
-            F.struct(
-                F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")
-            ).alias("geometry"),
-        ).write.json(path)
 
-    features = geojson.read_features(census.spark, census.written("contours", write))
+        def box(east: int):
+            lon = F.col("lon") + F.lit(east).cast(geojson.COORDINATE)
+            return F.array(F.array(*[F.array(lon + half * i, F.col("lat") + half * j) for i, j in corners]))
+
+        several, known = F.col("code").cast("int") % 5 == 0, F.col("code").cast("int") % 6 != 0
+        code = F.col("code")
+        for kind, kept, shape, named in (
+            ("Polygon", ~several, box(0), code),
+            ("MultiPolygon", several, F.array(box(0), box(1)), code),
+            ("Point", ~several, F.array("lon", "lat"), code),
+            ("Polygon", ~known, box(0), F.lit(None).cast("string")),
+        ):
+            census.centroid_frame().where(kept).select(
+                F.lit("Feature").alias("type"),
+                F.struct(named.alias("code"), code.alias("nom")).alias("properties"),
+                F.struct(F.lit(kind).alias("type"), shape.alias("coordinates")).alias("geometry"),
+            ).write.mode("append").json(path)
+
+    return census.written("contours", write)
+
+
+@query
+def geojson_contours(census: Census) -> DataFrame:
+    features = geojson.read_features(census.spark, _contours(census))
     return geojson.named_geometry(geojson.commune_contours(features), census.registry())
 
 
+@query
+def geojson_rejects(census: Census) -> DataFrame:
+    """What ``geojson_contours`` leaves out, by reason and kind."""
+    features = geojson.read_features(census.spark, _contours(census), with_code=False)
+    return geojson.rejected(features, geojson.CONTOURS)
+
+
 @query
 def mart_roundtrip(census: Census) -> DataFrame:
     return census.stored_mart()
@@ -216,12 +227,13 @@ def mart_build_if_absent(census: Census) -> DataFrame:
 
 
 def _enriched(census: Census) -> DataFrame:
-    path = census.written(
-        "enriched_rows",
-        lambda p: enriched.write_enriched(
-            flows.label_ends(census.flux_with_mode(), census.registry()), p
-        ),
-    )
+    def write(path: str) -> None:
+        rows = flows.label_ends(census.flux_with_mode(), census.registry())
+        staged = census.written("labelled_rows", lambda p: rows.write.parquet(p))
+        stored = census.spark.read.schema(rows.schema).parquet(staged)
+        enriched.write_enriched(stored, path, census.registry())
+
+    path = census.written("enriched_rows", write)
     return enriched.read_enriched(census.spark, path)
 
 
@@ -261,6 +273,15 @@ def flux_labelled(census: Census) -> DataFrame:
     )
 
 
+@query
+def flow_mart_as_of(census: Census) -> DataFrame:
+    """The mart with codes and labels of each survey year, from two registry editions and two merged communes."""
+    years = census.stored_mart().select("year")
+    by_year = editions.editions_by_year(census.editions_frame(), years)
+    changes = editions.changes_by_year(census.changes_frame(), years)
+    return editions.flow_mart_as_of(census.stored_mart(), by_year, changes)
+
+
 @query
 def recode_modes(census: Census) -> DataFrame:
     per_code = flows.totals(flows.as_flows(census.flux()), "year", "mode_code")
@@ -312,8 +333,8 @@ def _touching_selection(census: Census) -> DataFrame:
 
 
 def _touching_all(census: Census) -> DataFrame:
-    """The same for every group, from the mart."""
-    return flows.outsiders_of_group_to_null(flows.by_touched_group(census.stored_mart()))
+    """The same for every group, from the copy of the mart that is bucketed by the touched group."""
+    return flows.outsiders_of_group_to_null(census.touched_mart())
 
 
 def _within_all(census: Census) -> DataFrame:
@@ -406,6 +427,15 @@ def share_by_residence_mode_all(census: Census) -> DataFrame:
     return shares.mode_shares(_touching_all(census), "year", "epci", "resid_code", "resid_name")
 
 
+@query
+def group_directions(census: Census) -> DataFrame:
+    """Flows inside, out of and into every group and year, by the bucketed copy."""
+    home, job = (F.col(f"{end}_epci").eqNullSafe(F.col("epci")) for end in ("resid", "work"))
+    amounts = {"inside": home & job, "leaving": home & ~job, "entering": ~home & job}
+    sums = [F.sum(F.when(test, F.col("flow")).otherwise(0.0)).alias(name) for name, test in amounts.items()]
+    return census.touched_mart().groupBy("year", "epci").agg(*sums)
+
+
 @query
 def share_by_residence_mode_from_mart(census: Census) -> DataFrame:
     """The same as ``share_by_residence_mode``, read from the written mart."""
@@ -489,10 +519,8 @@ def commune_order(census: Census) -> DataFrame:
 @query
 def od_display_order(census: Census) -> DataFrame:
     """Matrix cells of every group and year with the positions of both communes."""
-    inside = _within_all(census)
-    order = ranking.commune_order(inside, "year", "epci")
-    cells = inside.select("year", "epci", "resid_code", "work_code", "mode", "flow")
-    return ranking.with_display_order(cells, order, "year", "epci")
+    cells = _within_all(census).select("year", "epci", "resid_code", "work_code", "mode", "flow")
+    return ranking.with_display_order(cells, census.display_order(), "year", "epci")
 
 
 # --- origin-destination ------------------------------------------------------

@@ -16,9 +16,9 @@ from navette.operators.lookup import Lookup
 def matrix(mart: DataFrame, year: int, epci: str) -> DataFrame:
     """Modal share of every pair of communes, largest communes of residence first."""
     inside = flows.within(mart, year, epci)
-    order = ranking.commune_order(inside, "year")
+    order = Lookup.of(ranking.order_lookup(ranking.commune_order(inside, "year"), "year"), "code")
     cells = shares.with_od_share_label(shares.share_of_total(inside, "resid_code", "work_code"))
-    return ranking.with_display_order(cells, order, "year").select(
+    return ranking.in_display_order(ranking.with_display_order(cells, order, "year"), "year").select(
         "resid_code", "resid_name", "resid_position",
         "work_code", "work_name", "work_position",
         "mode", "flow", "total", "share", "label",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from navette.operators.flows import with_mode
@@ -25,20 +25,40 @@ def _as_text(spark: SparkSession, path: str | list[str], sep: str, trim: bool) -
     )
 
 
+def _unparsed(cell: Column, kind: str) -> Column:
+    return F.count_if(cell.isNotNull() & ~cell.isin(*MISSING) & cell.try_cast(kind).isNull())
+
+
 def unparsed_cells(
     spark: SparkSession, path: str | list[str], types: Mapping[str, str], sep: str = ";"
 ) -> DataFrame:
     """One row: for each column, how many cells hold something that is not of its type.
 
-    ``read_delimited`` takes these as missing, and a missing weight adds nothing.
+    A scan of its own; ``typed`` counts the same cells while it reads.
     """
     raw = _as_text(spark, path, sep, True)
-    counts = []
+    return raw.agg(*[_unparsed(F.btrim(F.col(f"`{name}`")), kind).alias(name) for name, kind in types.items()])
+
+
+def typed(
+    raw: DataFrame, types: Mapping[str, str], trim: bool = True, observed: Observation | None = None
+) -> DataFrame:
+    """Text columns cast to their types; missing markers and cells not of their type are missing.
+
+    ``observed`` gets, in the pass that reads the rows, their number (``rows``) and for each column that is not
+    text how many cells held something not of its type.
+    """
+    raw = raw.select(*[F.col(f"`{name}`") for name in types])
+    columns, bad = [], []
     for name, kind in types.items():
-        cell = F.btrim(F.col(f"`{name}`"))
-        bad = cell.isNotNull() & ~cell.isin(*MISSING) & cell.try_cast(kind).isNull()
-        counts.append(F.count_if(bad).alias(name))
-    return raw.agg(*counts)
+        cell = F.btrim(F.col(f"`{name}`")) if trim else F.col(f"`{name}`")
+        present = F.when(~cell.isin(*MISSING), cell)
+        columns.append(present.try_cast(kind).alias(name))
+        if kind != "string":
+            bad.append(_unparsed(cell, kind).alias(name))
+    if observed is not None:
+        raw = raw.observe(observed, F.count(F.lit(1)).alias("rows"), *bad)
+    return raw.select(*columns)
 
 
 def read_delimited(
@@ -47,30 +67,28 @@ def read_delimited(
     types: Mapping[str, str],
     sep: str = ";",
     trim: bool = True,
+    observed: Observation | None = None,
 ) -> DataFrame:
     """The columns named in ``types``, cast to the declared type.
 
     Every column is read as text under the name in the header and cast after
     selection, so columns are found by name wherever they stand, and codes keep
-    their leading zeros. A cell that is not of its type is missing. A file whose header differs from the first one fails
-    instead of giving shifted values.
+    their leading zeros. A cell that is not of its type is missing and counted by ``observed`` (see ``typed``). A file
+    whose header differs from the first one fails instead of giving shifted values.
     """
-    raw = _as_text(spark, path, sep, trim)
-    columns = []
-    for name, kind in types.items():
-        cell = F.btrim(F.col(f"`{name}`")) if trim else F.col(f"`{name}`")
-        present = F.when(~cell.isin(*MISSING), cell)
-        columns.append(present.try_cast(kind).alias(name))
-    return raw.select(*columns)
+    return typed(_as_text(spark, path, sep, trim), types, trim, observed)
 
 
 def read_flux(
-    spark: SparkSession, path: str | list[str], sep: str = ";", trim: bool = True
+    spark: SparkSession,
+    path: str | list[str],
+    sep: str = ";",
+    trim: bool = True,
+    observed: Observation | None = None,
 ) -> DataFrame:
     """One yearly flow file (or several with the same layout), four columns wide."""
-    return read_delimited(spark, path, FLOW_FILE_TYPES, sep, trim).withColumnsRenamed(
-        FLOW_FILE_COLUMNS
-    )
+    rows = read_delimited(spark, path, FLOW_FILE_TYPES, sep, trim, observed)
+    return rows.withColumnsRenamed(FLOW_FILE_COLUMNS)
 
 
 def read_flux_years(

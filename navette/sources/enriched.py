@@ -4,21 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from navette.functions.zorder import BITS, z_value
+from navette.operators.lookup import Lookup
 from navette.schemas import ENRICHED_COLUMNS, ENRICHED_SCHEMA
 from navette.sources.published import publish_if_absent
 
 
-def write_enriched(labelled: DataFrame, path: str) -> None:
-    """Write by year, rows sorted by the two groups inside each file.
+def group_places(registry: Lookup) -> Lookup:
+    """Each group with its place in the order of names, spread over the numbers below 2^16.
 
-    The rows are sorted where they are: no shuffle, so a group that holds a third
-    of them stays spread over the tasks that read it.
+    The window sees one row for each group, no more than the registry has rows. Groups beyond 2^16 share places.
     """
+    groups = registry.frame.select("epci").where("epci is not null").distinct()
+    place = F.floor(F.percent_rank().over(Window.orderBy("epci")) * ((1 << BITS) - 2)).cast("int") + 1
+    return Lookup.of(groups.select("epci", place.alias("place")), "epci")
+
+
+def write_enriched(labelled: DataFrame, path: str, registry: Lookup, files: int | None = None) -> None:
+    """Write by year, clustered on both groups at once.
+
+    The key interleaves the bits of the places of the two groups, so a file covers few homes *and* few
+    work places, and a request for either end skips most files by their statistics. A hash of the row after the key splits a
+    pair of groups that holds many rows over several files. The range partitioning reads ``labelled`` twice
+    (a sample first), so callers pass stored rows.
+    """
+    rows = labelled.select(*ENRICHED_COLUMNS.values())
+    places = group_places(registry)
+    for end in ("resid", "work"):
+        rows = places.attach(rows, f"{end}_epci", {"place": f"__{end}"})
+    ends = [F.coalesce(F.col(f"__{end}"), F.lit(0)) for end in ("resid", "work")]
+    keyed = rows.withColumns({"__key": z_value(*ends), "__spread": F.xxhash64(*ENRICHED_COLUMNS.values())})
+    ranges = ["year", "__key", "__spread"]
+    dealt = keyed.repartitionByRange(files, *ranges) if files else keyed.repartitionByRange(*ranges)
     (
-        labelled.select(*ENRICHED_COLUMNS.values())
-        .sortWithinPartitions("year", "resid_epci", "work_epci")
+        dealt.sortWithinPartitions("year", "__key", "resid_epci", "work_epci")
+        .select(*ENRICHED_COLUMNS.values())
         .withColumnsRenamed({ours: shown for shown, ours in ENRICHED_COLUMNS.items()})
         .write.mode("overwrite")
         .partitionBy("annee")
@@ -31,11 +54,16 @@ def read_enriched(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ENRICHED_SCHEMA).parquet(path).withColumnsRenamed(ENRICHED_COLUMNS)
 
 
+def _write(build: Callable[[], tuple[DataFrame, Lookup]], folder: str) -> None:
+    labelled, registry = build()
+    write_enriched(labelled, folder, registry)
+
+
 def build_enriched_if_absent(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame], request: str = ""
+    spark: SparkSession, path: str, build: Callable[[], tuple[DataFrame, Lookup]], request: str = ""
 ) -> DataFrame:
-    """Read the rows of ``request`` below ``path``; build and write them first if they are not there."""
+    """Read the rows of ``request`` below ``path``; build (rows and registry) and write them first if they are not there."""
     table = publish_if_absent(
-        spark, path, ENRICHED_SCHEMA, lambda folder: write_enriched(build(), folder), request
+        spark, path, ENRICHED_SCHEMA, lambda folder: _write(build, folder), request
     )
     return table.withColumnsRenamed(ENRICHED_COLUMNS)

@@ -19,8 +19,15 @@ FEATURE_SCHEMA = (
 )
 
 
-def read_features(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
-    """Features as (code, geometry type, coordinate text).
+# Geometry types that are read as points and as contours.
+POINTS = ("Point",)
+CONTOURS = ("Polygon", "MultiPolygon")
+
+
+def read_features(
+    spark: SparkSession, path: str, whole_files: bool = False, with_code: bool = True
+) -> DataFrame:
+    """Features as (code, geometry type, coordinate text); those without a code only if asked for.
 
     Accepts feature collections and single features, one per line or, with
     ``whole_files``, one per file. Anything else fails: a file spread over lines
@@ -36,11 +43,24 @@ def read_features(spark: SparkSession, path: str, whole_files: bool = False) ->
     known = F.col("properties").isNotNull() | F.col("geometry").isNotNull()
     single = F.when(known, F.array(F.struct("properties", "geometry"))).otherwise(neither)
     feature = raw.select(F.explode(F.coalesce("features", single)).alias("f"))
-    return feature.select(
+    features = feature.select(
         F.col("f.properties.code").alias("code"),
         F.col("f.geometry.type").alias("kind"),
         F.col("f.geometry.coordinates").alias("coordinates"),
-    ).filter(F.col("code").isNotNull())
+    )
+    return features.filter(F.col("code").isNotNull()) if with_code else features
+
+
+def rejected(features: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(reason, kind, n) of the features a reader of these kinds leaves out: ``code`` missing, or another ``kind``.
+
+    ``features`` is read with those that have no code.
+    """
+    other = ~F.coalesce(F.col("kind").isin(*kinds), F.lit(False))
+    reason = F.when(F.col("code").isNull(), "code").when(other, "kind")
+    return features.select(reason.alias("reason"), "kind").where("reason is not null").groupBy("reason", "kind").agg(
+        F.count(F.lit(1)).alias("n")
+    )
 
 
 def _pair_text(pair: Column) -> Column:
@@ -51,7 +71,7 @@ def commune_points(features: DataFrame) -> DataFrame:
     """Point features with longitude, latitude and WKT."""
     pair = F.from_json("coordinates", "array<double>")
     return (
-        features.filter(F.col("kind") == "Point")
+        features.filter(F.col("kind").isin(*POINTS))
         .select("code", pair.alias("pair"))
         .select(
             "code",
@@ -80,7 +100,7 @@ def commune_contours(features: DataFrame) -> DataFrame:
     wkt = F.when(F.col("kind") == "Polygon", F.concat(F.lit("POLYGON "), _rings_text(one))).when(
         F.col("kind") == "MultiPolygon", F.concat(F.lit("MULTIPOLYGON "), parts)
     )
-    return features.filter(F.col("kind").isin("Polygon", "MultiPolygon")).select(
+    return features.filter(F.col("kind").isin(*CONTOURS)).select(
         "code", wkt.alias("wkt")
     )
 

@@ -33,9 +33,20 @@ def read_mart(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build_mart_if_absent(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame], request: str = ""
+    spark: SparkSession,
+    path: str,
+    build: Callable[[], DataFrame],
+    request: str = "",
+    check: Callable[[], object] | None = None,
 ) -> DataFrame:
-    """Read the mart of ``request`` below ``path``; build and write it first if it is not there."""
-    return publish_if_absent(
-        spark, path, MART_SCHEMA, lambda folder: write_mart(build(), folder), request
-    )
+    """Read the mart of ``request`` below ``path``; build and write it first if it is not there.
+
+    ``check`` runs after the write; what it raises leaves the mart unpublished.
+    """
+
+    def write(folder: str) -> None:
+        write_mart(build(), folder)
+        if check is not None:
+            check()
+
+    return publish_if_absent(spark, path, MART_SCHEMA, write, request)

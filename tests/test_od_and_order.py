@@ -81,7 +81,8 @@ def test_commune_nobody_leaves_sorts_last(make_flux, registry):
     frame = make_flux([("A", "C", 1.0, "1", 2018), ("B", "A", 2.0, "1", 2018)])
     order = ranking.commune_order(flows.label_ends(frame, registry), "year")
     cells = flows.totals(frame, "year", "resid_code", "work_code", "mode")
-    found = ranking.with_display_order(cells, order, "year").collect()
+    places = Lookup.of(ranking.order_lookup(order, "year"), "code")
+    found = ranking.in_display_order(ranking.with_display_order(cells, places, "year"), "year").collect()
     assert [(r["resid_code"], r["resid_position"], r["work_position"]) for r in found] == [
         ("B", 1, 2),
         ("A", 2, None),

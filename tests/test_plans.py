@@ -88,7 +88,7 @@ def test_classes_do_not_sum_again(spark, name):
 
 # Queries whose result is survey rows, the mart itself, codes the mart does not hold, or the named check.
 READ_SURVEY = {
-    "flow_mart", "od_mode_share", "od_oneway_shares_2016", "recode_modes", "scan_mode_labels", "scan_zip_member",
+    "flow_mart", "od_mode_share", "od_oneway_shares_2016", "recode_modes", "scan_mode_labels",
     "flux_labelled", "flux_residents", "flux_workers", "flux_epci_any", "flux_epci_any_all", "flux_epci_intra",
 }
 
@@ -133,3 +133,19 @@ def test_hot_commune_is_split_when_the_registry_cannot_be_broadcast(spark, tmp_p
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_shares_of_every_group_need_no_shuffle(spark):
+    plan = plan_of(QUERIES["share_by_residence_mode_all"](spark, SMALL_DIR))
+    assert "Exchange" not in plan and "Generate" not in plan and "explode" not in plan
+    assert "Exchange" not in plan_of(QUERIES["group_directions"](spark, SMALL_DIR))
+
+
+def test_one_group_lies_in_one_bucket(census):
+    files = census.touched_mart().groupBy("epci").agg(F.count_distinct(F.input_file_name()).alias("files"))
+    assert {row["files"] for row in files.collect()} == {1}
+
+
+def test_display_order_attaches_stored_ranks(spark):
+    plan = plan_of(QUERIES["od_display_order"](spark, SMALL_DIR))
+    assert plan.count("Exchange") <= 3 and "Sort" not in plan and "Window" not in plan

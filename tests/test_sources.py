@@ -308,3 +308,110 @@ def test_cluster_without_shared_folder_is_an_error():
 def test_local_session_gets_one_temporary_folder():
     session = Session()
     assert shared.shared_folder(session) == shared.shared_folder(session) == session.chosen
+
+
+def test_records_are_cut_where_they_end():
+    import io
+
+    body = 'a;b\n1;"x\ny;""z"\n2;plain\n3;"' + "w\n" * 40 + '"\n4;last'
+    for most in (1, 3, 7, 20, 1000):
+        header, *pieces = archive.record_pieces(io.BytesIO(body.encode()), most)
+        assert header == b"a;b\n" and b"".join([header, *pieces]).decode() == body
+        assert all(p.count(b'"') % 2 == 0 and p.endswith(b"\n") for p in pieces[:-1])
+    assert len(pieces) == 1 and len(list(archive.record_pieces(io.BytesIO(body.encode()), 3))) > 3
+    assert list(archive.record_pieces(io.BytesIO(b""))) == [b""]
+
+
+def test_one_member_is_parsed_by_several_tasks(spark, tmp_path):
+    lines = [f"{i % 97};{i % 89};{i}.5;{i % 7}" for i in range(20_000)]
+    with zipfile.ZipFile(tmp_path / "RP2018.zip", "w", zipfile.ZIP_DEFLATED) as target:
+        target.writestr("FD_MOBPRO_2018.csv", "COMMUNE;DCLT;IPONDI;TRANS\n" + "\n".join(lines) + "\n")
+    archives = archive.read_zip_archives(spark, str(tmp_path / "*.zip"))
+    names = ["spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"]
+    before = {name: spark.conf.get(name) for name in names}
+    spark.conf.set(names[0], "1m")
+    spark.conf.set(names[1], "1m")
+    try:
+        from pyspark.sql import functions as F
+
+        found = archive.read_flux_zip(archives, "FD_MOBPRO_*.csv", most=16_384)
+        tasks = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(r["count"] for r in tasks) == 20_000 and len(tasks) > 2
+    assert max(r["count"] for r in tasks) < 20_000 * 0.6
+
+
+def test_zip_archives_round_trip(spark, tmp_path):
+    frame = spark.range(5000).selectExpr("id AS COMMUNE", "'a;\"b\nc' AS DCLT", "id / 2 AS IPONDI", "'1' AS TRANS").repartition(3)
+    folder = str(tmp_path / "zips")
+    assert archive.write_zip_archives(frame, folder, "FD_MOBPRO.csv") == 3
+    found = archive.read_flux_zip(archive.read_zip_archives(spark, f"{folder}/*.zip"), "*.csv", most=4096)
+    assert {r["resid_code"] for r in found.collect()} == {str(i) for i in range(5000)}
+    assert found.select("work_code").distinct().collect() == [('a;"b\nc',)]
+
+
+@pytest.mark.parametrize("template", ["FD_MOBPRO_{year}.csv", "RP{year}.zip"])
+@pytest.mark.parametrize("with_rows", [False, True])
+def test_unparsed_weights_stop_the_ingest(spark, yearly_files, template, with_rows):
+    text = "COMMUNE;DCLT;IPONDI;TRANS\nA;B;2,5;2\nB;A;1;3\nB;C;NA;3\nC;C;x;3\n"
+    (yearly_files / "FD_MOBPRO_2018.csv").write_text(text)
+    with zipfile.ZipFile(yearly_files / "RP2018.zip", "w") as target:
+        target.writestr("FD_MOBPRO_2018.csv", text)
+    sheet, path = str(yearly_files / "communes.csv"), str(yearly_files / "mart")
+    given = (spark, str(yearly_files / template), [2018], sheet, path, str(yearly_files / "rows") if with_rows else None)
+    with pytest.raises(ingest.UnparsedCells, match="4 rows hold {'IPONDI': 2}"):
+        ingest.build(*given)
+    request = json.dumps([2018, str(yearly_files / template), sheet])
+    assert published.rows_published(spark, path, request) is None
+    found = as_dict(ingest.build(*given, max_unparsed=2), "resid_code", "work_code")
+    assert found[("B", "A")]["flow"] == 1.0 and found[("A", "B")]["flow"] == 0.0
+    assert published.rows_published(spark, path, request) == 4
+
+
+def test_rows_and_mart_come_from_one_parse(spark, yearly_files, monkeypatch):
+    opened, plans = [], []
+    real, write = delimited._as_text, mart.write_mart
+    monkeypatch.setattr(delimited, "_as_text", lambda s, path, *a: opened.append(path) or real(s, path, *a))
+    monkeypatch.setattr(
+        mart, "write_mart", lambda m, p: plans.append(m._jdf.queryExecution().executedPlan().toString()) or write(m, p)
+    )
+    template, sheet = str(yearly_files / "FD_MOBPRO_{year}.csv"), str(yearly_files / "communes.csv")
+    both = ingest.build(spark, template, [2016, 2017], sheet, str(yearly_files / "m1"), str(yearly_files / "rows"))
+    assert opened == [template.format(year=y) for y in (2016, 2017)]
+    assert len(plans) == 2 and not any("FileScan csv" in p.split("FileScan text")[0] for p in plans)
+    alone = ingest.build(spark, template, [2016, 2017], sheet, str(yearly_files / "m2"))
+    assert rows(both) == rows(alone)
+    rows_only = ingest.build_rows(spark, template, [2016, 2017], sheet, str(yearly_files / "rows"))
+    assert rows_only.count() == 5 and len(opened) == 4
+
+
+def test_few_files_overlap_one_group_on_either_end(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from navette.operators.lookup import Lookup
+    from navette.sources import enriched
+
+    table = Lookup.of(spark.createDataFrame([(f"c{i:02d}", f"n{i}", f"g{i // 2:02d}") for i in range(64)], "code STRING, name STRING, epci STRING"), "code")
+    flux = spark.range(64 * 64 * 6).selectExpr(
+        "format_string('c%02d', id % 64) AS resid_code", "format_string('c%02d', cast(id / 64 as int) % 64) AS work_code",
+        "double(id) AS weight", "'1' AS mode_code", "2018 AS year", "'Aucun' AS mode",
+    )
+    # one pair of groups holds as many rows again as all others
+    hot = spark.range(64 * 64 * 6).selectExpr("'c00' AS resid_code", "'c01' AS work_code", "double(id) AS weight", "'1' AS mode_code", "2018 AS year", "'Aucun' AS mode")
+    path = str(tmp_path / "rows")
+    enriched.write_enriched(flows.label_ends(flux.union(hot), table), path, table, files=32)
+    ranges = []
+    for file in Path(path).rglob("*.parquet"):
+        part = pq.read_table(file, columns=["epci_resid", "epci_travail"])
+        ranges.append([(min(c.to_pylist()), max(c.to_pylist()), len(c)) for c in part.columns])
+    assert len(ranges) > 24 and max(r[0][2] for r in ranges) < 4 * 64 * 64 * 12 / 32  # no file holds the hot pair alone
+    normal = [r for r in ranges if r[0][:2] != ("g00", "g00") or r[1][:2] != ("g00", "g00")]
+    for group in ("g05", "g17", "g30"):
+        for end in (0, 1):
+            assert sum(r[end][0] <= group <= r[end][1] for r in normal) <= len(normal) / 2
+        either = sum(any(low <= group <= high for low, high, _ in r) for r in normal)
+        assert either <= 0.75 * len(normal)
+    found = enriched.read_enriched(spark, path)
+    assert found.count() == 2 * 64 * 64 * 6
