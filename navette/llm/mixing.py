@@ -111,18 +111,27 @@ def mix_copies(
     )
 
 
+def _free_names(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of the frame."""
+    taken = {c.lower() for c in frame.columns}
+    return [next(n for n in ("_" * i + name for i in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
+
+
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **settings) -> DataFrame:
     """The documents of the mix, as often as they are taken; columns of ``docs`` and ``copy`` (from 1).
 
-    Rows that share a key take what the mix grants that key, shared out among them.
+    Rows that share a key take what the mix grants that key, shared out among them. Where ``docs`` has a
+    column ``copy``, it stays and the number of the copy is the last column, under the first free of ``_copy``, ``__copy``, ...
     """
     taken = mix_copies(docs, key, source, text, **settings)
-    per_key = taken.groupBy(F.col(key).alias("__key")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    rows = docs.join(per_key, docs[key].eqNullSafe(F.col("__key")))
-    several = Window.partitionBy("__key").orderBy(F.xxhash64(F.col(text)))
-    single = rows.where("__rows = 1").withColumn("__mine", F.col("__copies"))
-    shared = rows.where("__rows > 1").withColumn("__at", F.row_number().over(several))
-    mine = F.floor(F.col("__copies") * F.col("__at") / F.col("__rows")) - F.floor(F.col("__copies") * (F.col("__at") - 1) / F.col("__rows"))
-    rows = single.unionByName(shared.withColumn("__mine", mine).drop("__at")).where("__mine > 0")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__mine").cast("int"))))
-    return rows.select(*docs.columns, "copy")
+    own, copies, n, mine, at, number = _free_names(docs, "__key", "__copies", "__rows", "__mine", "__at", "copy")
+    per_key = taken.groupBy(F.col(key).alias(own)).agg(F.sum("copies").alias(copies), F.count("*").alias(n))
+    rows = docs.join(per_key, docs[key].eqNullSafe(F.col(own)))
+    several = Window.partitionBy(own).orderBy(F.xxhash64(F.col(text)))
+    single = rows.where(F.col(n) == 1).withColumn(mine, F.col(copies))
+    shared = rows.where(F.col(n) > 1).withColumn(at, F.row_number().over(several))
+    upto = lambda place: F.floor(F.col(copies) * place / F.col(n))
+    shared = shared.withColumn(mine, upto(F.col(at)) - upto(F.col(at) - 1)).drop(at)
+    rows = single.unionByName(shared).where(F.col(mine) > 0)
+    rows = rows.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(mine).cast("int"))))
+    return rows.select(*docs.columns, number)

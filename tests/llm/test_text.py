@@ -269,3 +269,16 @@ def test_host_and_path(spark, host, path, url):
 
     columns = url_filter.host_and_path(F.lit(url))
     assert tuple(spark.range(1).select(*columns).first()) == (host, path)
+
+
+def test_mixed_keeps_columns_of_clashing_names(spark):
+    rows = [(1, "a b c", "x", "mine", 5, 7), (2, "d e f", "y", "yours", 6, 8), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy string, __key int, __ROWS int")
+    got = mixing.mixed(docs)
+    assert got.columns == [*docs.columns, "_copy"]
+    plain = mixing.mixed(docs.select("doc_id", "text", "source"))
+    assert plain.columns[-1] == "copy"
+    key = lambda r, n: (r["doc_id"], r[n])
+    assert sorted(key(r, "_copy") for r in got.collect()) == sorted(key(r, "copy") for r in plain.collect())
+    assert {(r["doc_id"], r["copy"], r["__key"], r["__ROWS"]) for r in got.collect()} <= {(i, c, k, n) for i, _, _, c, k, n in rows}
+    assert mixing.mixed(docs.limit(0)).count() == 0
