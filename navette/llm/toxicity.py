@@ -3,8 +3,12 @@
 A disguised word passed a noisy channel: letters written as digits or signs, letters
 set apart by spaces or marks, letters repeated. Words that show such signs become a
 lattice of readings, and the Viterbi algorithm finds the likeliest one under a character
-trigram model counted over all documents. A space inside a run of single letters is read as
-nothing or as a word boundary, so a run is cut into words. Letters are code points with
+trigram model counted over all documents. The channel has costs, negative logarithms of what it
+does to a meant letter: showing a sign for it (``SUBSTITUTE``), repeating it once
+(``REPEAT``) and once more (``AGAIN``), setting a gap after it (``GAP``) that may also
+end a word (``BOUNDARY``); a digit may also be meant as one
+(``LITERAL``). A double letter therefore stays where the language has it. A space inside a run of single letters is
+read as a gap or as a word boundary, so a run is cut into words. Letters are code points with
 the combining marks after them. The restored text is scored by its words and
 word beginnings: how much more often each occurs in toxic than in other labelled
 documents, by a lower confidence bound; the three strongest words of a document add up, and
@@ -17,7 +21,7 @@ the tasks. Trigrams are added up in tables of fixed size. At most ``LABEL_BOUND`
 
 Null text counts as empty; a text without words has no evidence and gets the score of that.
 Labels may be missing, null or repeated (the largest counts); without labelled rows every
-score is 0. Rows may repeat; each gets its own score. Whole texts are read.
+score is 0. A null key has no label; keys are integers. Rows may repeat; each gets its own score. Whole texts are read.
 """
 
 from __future__ import annotations
@@ -52,6 +56,14 @@ READINGS = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t",
 }
 MARKS = ".-_*"
+# costs of the channel in nats, set by hand: in a word that looks disguised, signs and gaps are common, and a letter
+# that was drawn out once is often drawn out further
+SUBSTITUTE = 1.0
+REPEAT = 6.0
+AGAIN = 2.0
+GAP = 0.1
+BOUNDARY = 1.0
+LITERAL = 6.0
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[97:123] = np.arange(1, 27)
@@ -111,30 +123,43 @@ class Restorer:
         return known
 
     def _decode(self, token: str) -> str:
-        # state: the last two symbols and the last letter read; value: cost and the reading so far as a linked list
-        states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
+        # state: the last two symbols, the last letter read and whether it was repeated;
+        # value: cost and the reading so far as a linked list
+        start = (0, 0, "", False)
+        states: dict[tuple, tuple[float, tuple | None]] = {start: (0.0, None)}
         for seen in token:
-            space = seen == " "
-            choices = READINGS.get(seen, "" if seen in MARKS or space else seen)
-            reached: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
-            for (p, q, last), (cost, path) in states.items():
-                steps = [((p, q, last), cost, path)] if not choices or (last and last in choices) else []
-                if space:
-                    steps.append(((q, 0, ""), cost + self.costs[p, q, 0], (" ", path)))
-                for letter in choices:
-                    symbol = _symbol(letter)
-                    steps.append(((q, symbol, letter), cost + self.costs[p, q, symbol], (letter, path)))
-                for state, total, way in steps:
+            reached: dict[tuple, tuple[float, tuple | None]] = {}
+            for (p, q, last, again), (cost, path) in states.items():
+                for state, price, read in self._steps(seen, p, q, last, again):
+                    total = cost + price
                     if state not in reached or total < reached[state][0]:
-                        reached[state] = total, way
+                        reached[state] = total, (read, path) if read else path
             states = reached
-        _, path = min(((cost + self.costs[p, q, 0], way) for (p, q, _), (cost, way) in states.items()), key=lambda x: x[0])
+        _, path = min(((cost + self.costs[p, q, 0], way) for (p, q, _, _), (cost, way) in states.items()), key=lambda x: x[0])
         out = []
         while path is not None:
             out.append(path[0])
             path = path[1]
         return "".join(reversed(out))
 
+    def _steps(self, seen: str, p: int, q: int, last: str, again: bool):
+        """What a seen sign may mean: next state, cost, and the letter it adds."""
+        boundary = self.costs[p, q, 0]
+        if seen == " " or seen in MARKS:
+            yield (p, q, last, again), GAP, ""
+            if seen == " ":
+                yield (q, 0, "", False), BOUNDARY + boundary, " "
+            return
+        meant = READINGS.get(seen)
+        for letter in meant or seen:
+            symbol = _symbol(letter)
+            channel = SUBSTITUTE if meant else 0.0
+            yield (q, symbol, letter, False), channel + self.costs[p, q, symbol], letter
+            if letter == last:
+                yield (p, q, last, True), AGAIN if again else REPEAT, ""
+        if meant and seen.isdigit():
+            yield (q, 0, "", False), LITERAL + boundary, seen
+
     def rows(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows with disguised words restored."""
         row, start, stop = words(buf, offsets)
@@ -272,9 +297,10 @@ def feature_counts(docs: DataFrame, restorer: Restorer, labels: tuple) -> DataFr
 
     def run(batches):
         for batch in slices(batches):
-            ids = batch.column("doc_id").fill_null(-1).to_numpy()
+            column = batch.column("doc_id")
+            ids, named = column.fill_null(0).to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
             at = np.minimum(np.searchsorted(keys, ids), max(len(keys) - 1, 0))
-            known = (keys[at] == ids) & ~aside[at] if len(keys) else np.zeros(len(ids), bool)
+            known = named & (keys[at] == ids) & ~aside[at] if len(keys) else np.zeros(len(ids), bool)
             if not known.any():
                 continue
             toxic = label[at[known]]
