@@ -3,16 +3,22 @@
 Paths are cut into segments and counted in a tree for each host. From the top down,
 each node decides how its children generalise:
 
-* a child value stays literal if it has enough pages and its labelled share of bad pages differs more than
+* a child value becomes a branch of its own if it has enough pages and its labelled share of bad pages differs more than
   chance from the rest of the node, otherwise it becomes a wildcard (``*``);
+* branches that lie on the same side of the rest are put in order of their shares, ties by value, and
+  neighbours that do not differ more than chance are merged. A merged branch goes on as one node and is written as
+  ``//`` and its smallest value, which no single segment can look like;
 * chance is a two-proportion test with continuity correction, its bound raised for the number of children tested.
 
-The levels go on until every path has ended. Below a node with too few pages for a literal child, or with labels
+The levels go on until every path has ended. Below a node with too few pages for a branch, or with labels
 all alike, no test can pass, so its paths end there with a wildcard for each further segment.
 
 A template is the host and the generalised segments. Its purity is the share of bad pages among
-its labelled ones, smoothed towards the share of all labelled pages. A template is rejected if
-its purity is above ``REJECT``. Rules come first: a rule fits its host and all subdomains if the path starts with
+its labelled ones, smoothed towards the share of all labelled pages (the base). A template is rejected if
+its purity is ``LIFT`` times the base or more, or above one half, and above the base by more than chance: the excess is at
+least ``CERTAIN`` standard errors, raised for the number of templates with labels. If labels were dealt
+to pages at random, some template would be rejected wrongly with a chance below one in 700 (normal tail), so labels that do not go with
+addresses reject nothing. Rules come first: a rule fits its host and all subdomains if the path starts with
 the rule's path; the longest rule wins.
 
 Only DataFrame operations are used. Counts are aggregates with a map-side combine, so a host
@@ -25,9 +31,10 @@ missing or null. An empty table gives an empty result. Extra columns are not rea
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from navette.llm.common import null_safe_join, written
@@ -38,7 +45,11 @@ LEAST_COUNT = 8
 DIFFERENT = 2.0
 #: Labelled pages the overall share counts for.
 PRIOR = 8.0
-REJECT = 0.5
+#: A rejected template is so many times worse than the base, or mostly bad.
+LIFT = 2.0
+MOSTLY = 0.5
+#: Standard errors above the base, if there were one template only.
+CERTAIN = 3.0
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -93,20 +104,41 @@ def _generalised(paths: DataFrame, level: int) -> DataFrame:
     nodes = nodes.where((F.col("all_n") >= LEAST_COUNT) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_labelled")))
     both = children.where(tested).join(nodes, "template")
     others, other_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-    share = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
-    inverse = 1 / F.col("labelled") + 1 / F.greatest(others, F.lit(1))
-    error = F.sqrt(share * (1 - share) * inverse)
-    difference = F.abs(F.col("bad") / F.col("labelled") - other_bad / F.greatest(others, F.lit(1))) - inverse / 2
-    # a normal tail shrinks by 1 / tests or more when the squared bound grows by 2 log(tests)
-    apart = difference >= F.sqrt(DIFFERENT**2 + 2 * F.log(F.col("tests").cast("double"))) * error
-    kept = both.where((others > 0) & apart).select("template", "step", F.lit(True).alias("literal"))
-    named = going.join(nodes.select("template", F.lit(True).alias("open")), "template", "left").join(kept, ["template", "step"], "left")
-    further = F.when(F.col("open"), F.concat(F.lit("/"), F.when(F.col("literal"), F.col("step")).otherwise(F.lit("*"))))
+    apart = _differ(F.col("bad"), F.col("labelled"), other_bad, others)
+    above = F.col("bad") * others > other_bad * F.col("labelled")
+    kept = both.where((others > 0) & apart).withColumn("above", above)
+    branches = _merged(kept).withColumnRenamed("step", "__step")
+    named = going.join(nodes.select("template", F.lit(True).alias("open")), "template", "left")
+    named = named.join(branches.withColumnRenamed("template", "__node"), F.expr("template = __node AND step = __step"), "left")
+    further = F.when(F.col("open"), F.concat(F.lit("/"), F.coalesce("branch", F.lit("*"))))
     grown = F.concat("template", further.otherwise(F.repeat(F.lit("/*"), F.size("steps") - level)))
     left = F.when(F.col("open"), F.col("steps")).otherwise(F.slice("steps", 1, level))
     return named.select("host", "path", "n", "labelled", "bad", left.alias("steps"), grown.alias("template"))
 
 
+def _differ(bad: Column, labelled: Column, other_bad: Column, others: Column) -> Column:
+    """Whether two labelled shares differ by more than chance, for ``tests`` tests in the node."""
+    share = (bad + other_bad + 1) / (labelled + others + 2)
+    inverse = 1 / labelled + 1 / F.greatest(others, F.lit(1))
+    error = F.sqrt(share * (1 - share) * inverse)
+    difference = F.abs(bad / labelled - other_bad / F.greatest(others, F.lit(1))) - inverse / 2
+    # a normal tail shrinks by 1 / tests or more when the squared bound grows by 2 log(tests)
+    return difference >= F.sqrt(DIFFERENT**2 + 2 * F.log(F.col("tests").cast("double"))) * error
+
+
+def _merged(kept: DataFrame) -> DataFrame:
+    """(template, step, branch): branches of a node that are alike get one name.
+
+    Only children that passed a test come here, a small part of a node's; the window spills.
+    """
+    side = Window.partitionBy("template", "above").orderBy(F.col("bad") / F.col("labelled"), "step")
+    new = F.coalesce(_differ(F.col("bad"), F.col("labelled"), F.lag("bad").over(side), F.lag("labelled").over(side)), F.lit(True))
+    numbered = kept.withColumn("new", new.cast("int")).withColumn("place", F.sum("new").over(side))
+    branch = Window.partitionBy("template", "above", "place")
+    name = F.when(F.count("*").over(branch) > 1, F.concat(F.lit("/"), F.min("step").over(branch))).otherwise(F.col("step"))
+    return numbered.select("template", "step", name.alias("branch"))
+
+
 def verdicts(pages: DataFrame, labelled: DataFrame, rules: dict[str, str], key: str = "page_id", url: str = "url") -> DataFrame:
     """Per page: key, host, path, rule, verdict, template and purity.
 
@@ -118,13 +150,22 @@ def verdicts(pages: DataFrame, labelled: DataFrame, rules: dict[str, str], key:
     known = pages.join(labels, F.col("page_id") == F.col("__page"), "left").select("page_id", "host", "path", "bad")
     known = written(known, "url-pages")
     paths = written(templates(known), "url-templates")
-    overall = paths.agg(F.sum("bad") / F.sum("labelled")).first()[0] or 0.0
-    purity = (F.sum("bad") + PRIOR * overall) / (F.sum("labelled") + PRIOR)
-    rated = paths.groupBy("template").agg(purity.alias("purity"))
+    labelled_all, bad_all = paths.agg(F.sum("labelled"), F.sum("bad")).first()
+    base = (bad_all or 0) / labelled_all if labelled_all else 0.0
+    rated = paths.groupBy("template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+    rated = written(rated, "url-rated")
+    tests = max(rated.where("labelled > 0").count(), 1)
+    purity = (F.col("bad") + PRIOR * base) / (F.col("labelled") + PRIOR)
+    error = math.sqrt(base * (1 - base)) / F.sqrt(F.col("labelled").cast("double"))
+    # half a page for the step of a count
+    excess = (F.col("bad") - 0.5) / F.col("labelled") - base
+    certain = (F.col("labelled") > 0) & (excess >= math.sqrt(CERTAIN**2 + 2 * math.log(tests)) * error)
+    rejected = certain & ((purity >= LIFT * base) | (purity > MOSTLY)) & (purity > base)
+    rated = rated.select("template", purity.alias("purity"), F.coalesce(rejected, F.lit(False)).alias("rejected"))
     rated = paths.select("host", "path", "template").join(rated, "template")
     judged = null_safe_join(known.drop("bad"), rated, ["host", "path"])
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    method = F.when(F.col("purity") > REJECT, "block").otherwise("allow")
+    method = F.when(F.col("rejected"), "block").otherwise("allow")
     return judged.select(
         F.col("page_id").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"),
         "template", "purity",
