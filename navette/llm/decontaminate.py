@@ -8,21 +8,26 @@ bit-parallel edit distance (Myers) decides.
 Items and texts are compared lower-cased and with each run of white space as one
 space. Null and empty texts and items match nothing; items whose pieces would be
 shorter than ``LEAST_PIECE`` get fewer edits, down to none. Equal items are matched
-once and reported under each of their ids. The items are the query set: they are
-taken to the tasks in blocks of bounded size, each a pass over the documents.
+once and reported under each of their ids; ids may be of any type. The items are the query set: they are
+dealt into blocks by a hash of their text and taken to the tasks one block at a time, each a pass over the documents
+whose result is written before the next block is fetched. So the driver and a task hold one block, of about
+``BLOCK_CHARS`` characters or one longer item, however large the benchmark is.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from navette.llm.common import written
+
 #: One edit is allowed for each so many characters of an item.
 EDIT_SHARE = 20
 LEAST_PIECE = 12
@@ -126,56 +131,69 @@ def _merged(begins: set[int], edits: int, length: int) -> list[list[int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", chars: int = BLOCK_CHARS):
-    """The items in lists of at most so many characters (or one item)."""
-    block: list[tuple[int, str]] = []
-    held = 0
-    rows = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("text"))
-    for row in rows.where("text is not null").toLocalIterator():
-        if block and held + len(row.text) > chars:
-            yield block
-            block, held = [], 0
-        block.append((row.item_id, row.text))
-        held += len(row.text)
-    if block:
-        yield block
+def item_blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> tuple[DataFrame, int]:
+    """(item_id, text, block) of all items with text, and how many blocks of about so many characters there are."""
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-total // chars)
+    return items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(max(blocks, 1)))), blocks
+
+
+def _block(items: DataFrame, number: int) -> list[tuple]:
+    return [(r.item_id, r.text) for r in items.where(F.col("block") == number).collect()]
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: int = EDIT_SHARE
-) -> DataFrame:
-    """(key, item_id, distance) of each benchmark item found in a document; one row for each document row and item."""
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: int = EDIT_SHARE,
+    chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """(key, item_id, distance) of each benchmark item found in a document; one row for each document row and item.
+
+    Of several blocks each writes its rows to the shared folder before the next one starts.
+    """
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     id_type = benchmark.schema["item_id"].dataType
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {id_type.simpleString()}, distance int"
-    result = None
-    for block in item_blocks(benchmark):
-
-        def run(batches, block=block):
-            finder = ItemFinder(block, share)
-            for batch in batches:
-                rows = [
-                    (i, item, distance)
-                    for i, value in enumerate(batch.column("text").to_pylist())
-                    for item, distance in finder(value)
-                ]
-                at = pa.array([r[0] for r in rows], pa.int64())
-                names = ["doc_id", "item_id", "distance"]
-                items = pa.array([r[1] for r in rows], pa.int64())
-                found = [batch.column("doc_id").take(at), items, pa.array([r[2] for r in rows], pa.int32())]
-                yield pa.RecordBatch.from_arrays(found, names)
-
-        part = docs.mapInArrow(run, schema)
-        result = part if result is None else result.union(part)
-    if result is None:
-        result = docs.where("false").select("doc_id", F.lit(None).cast(id_type).alias("item_id"), F.lit(0).alias("distance"))
-    return result.withColumnRenamed("doc_id", key)
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", share: int = EDIT_SHARE) -> DataFrame:
-    """The documents in which no benchmark item is found."""
-    for block in item_blocks(benchmark):
-        docs = docs.where(~_leaking(block, share)(F.col(text).cast("string")))
+    arrow_type = benchmark.select("item_id").limit(0).toArrow().schema.field(0).type
+    items, blocks = item_blocks(benchmark, chars)
+    parts = []
+    for number in range(blocks):
+        part = docs.mapInArrow(_finding(_block(items, number), share, arrow_type), schema)
+        parts.append(written(part, f"leaks-{number}") if blocks > 1 else part)
+    if not parts:
+        parts = [docs.where("false").select("doc_id", F.lit(None).cast(id_type).alias("item_id"), F.lit(0).alias("distance"))]
+    return reduce(DataFrame.union, parts).withColumnRenamed("doc_id", key)
+
+
+def _finding(block: list[tuple], share: int, arrow_type: pa.DataType):
+    def run(batches):
+        finder = ItemFinder(block, share)
+        for batch in batches:
+            rows = [
+                (i, item, distance)
+                for i, value in enumerate(batch.column("text").to_pylist())
+                for item, distance in finder(value)
+            ]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            items = pa.array([r[1] for r in rows], arrow_type)
+            found = [batch.column("doc_id").take(at), items, pa.array([r[2] for r in rows], pa.int32())]
+            yield pa.RecordBatch.from_arrays(found, ["doc_id", "item_id", "distance"])
+
+    return run
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", share: int = EDIT_SHARE, chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """The documents in which no benchmark item is found.
+
+    Of several blocks each but the last writes what it keeps to the shared folder.
+    """
+    items, blocks = item_blocks(benchmark, chars)
+    for number in range(blocks):
+        docs = docs.where(~_leaking(_block(items, number), share)(F.col(text).cast("string")))
+        if number + 1 < blocks:
+            docs = written(docs, f"unleaked-{number}")
     return docs
 
 
