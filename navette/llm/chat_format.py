@@ -13,7 +13,8 @@ allocated once, that becomes an Arrow column.
 Turns are ordered by turn, nulls first, ties by role and text. Null texts and roles count as empty;
 a null conversation id is a conversation of its own; repeated rows are repeated turns; extra columns
 are not read. An empty table gives an empty result. A conversation is one value, so it is built in one
-task; conversations of any size are dealt by their id.
+task, and its formatted text has at most 2 GiB, as any value of Spark; conversations are dealt by their id and
+formatted in batches bounded by bytes.
 """
 
 from __future__ import annotations
@@ -25,7 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navette.llm.common import utf8, whole_groups
+from navette.llm.common import slices, utf8, whole_groups
+
+#: Turns or bytes of turns that are formatted at once; a longer conversation is formatted alone.
+TURNS_AT_ONCE = 4000
+BYTES_AT_ONCE = 8 << 20
 
 HEAD, AFTER_ROLE, FOOT = b"### ", b":\n", b"</turn>\n"
 ASSISTANT = "assistant"
@@ -108,7 +113,7 @@ def formatted_chats(turns: DataFrame) -> DataFrame:
     dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches):
-        for table in whole_groups(batches, ["conv_id"], least=4000):
+        for table in whole_groups(slices(batches), ["conv_id"], TURNS_AT_ONCE, BYTES_AT_ONCE):
             yield format_turns(table)
 
     return dealt.mapInArrow(run, "conv_id long, formatted string, loss array<struct<begin: long, end: long>>")

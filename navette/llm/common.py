@@ -186,27 +186,32 @@ def held_out(key, modulus: int, remainder: int):
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 20_000) -> Iterator[pa.Table]:
+def whole_groups(
+    batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 20_000, least_bytes: int = 1 << 62
+) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by the keys.
 
-    Memory holds ``least`` rows, one batch and one group; callers bound their groups.
+    Memory holds ``least`` rows or ``least_bytes`` bytes, one batch and one group; callers bound their groups.
     """
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
+    enough = least_bytes
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < least:
+        size += batch.nbytes
+        if rows < least and size < enough:
             continue
         table = pa.Table.from_batches(held)
         last = _last_group_start(table, keys)
         if last:
             yield table.slice(0, last)
         held = table.slice(last).combine_chunks().to_batches()
-        rows = table.num_rows - last
-        least = max(least, 2 * rows)
+        rows, size = table.num_rows - last, sum(b.nbytes for b in held)
+        # a group longer than the bounds is not looked at again until it has doubled
+        least, enough = max(least, 2 * rows), max(least_bytes, 2 * size)
     if held:
         yield pa.Table.from_batches(held)
 
