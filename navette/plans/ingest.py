@@ -85,7 +85,7 @@ def _registry(spark: SparkSession, sheet: str) -> Lookup:
 
 
 def _each_year(years: Iterable[int], inputs: tuple[str, str], publish) -> DataFrame:
-    """Tables of single years stacked, so that another year builds that year only."""
+    """Tables of single years stacked, so that another year, or one whose files were replaced, builds that year only."""
     tables = [publish(year, json.dumps([year, *inputs])) for year in sorted(set(years))]
     return reduce(DataFrame.unionByName, tables)
 
@@ -116,7 +116,7 @@ def _rows_of(
         check_cells(seen, year, max_unparsed)
         return spark.read.schema(rows.schema).parquet(staged), _registry(spark, registry_sheet)
 
-    return build_enriched_if_absent(spark, path, parsed, request)
+    return build_enriched_if_absent(spark, path, parsed, request, [template.format(year=year), registry_sheet])
 
 
 def build(
@@ -146,7 +146,7 @@ def build(
             return flow_mart(flux, _registry(spark, registry_sheet))
 
         check = None if rows_path else lambda: check_cells(seen, year, max_unparsed)
-        return build_mart_if_absent(spark, path, mart, request, check)
+        return build_mart_if_absent(spark, path, mart, request, check, [template.format(year=year), registry_sheet])
 
     return _each_year(years, (template, registry_sheet), publish)
 

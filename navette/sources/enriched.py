@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,10 +60,14 @@ def _write(build: Callable[[], tuple[DataFrame, Lookup]], folder: str) -> None:
 
 
 def build_enriched_if_absent(
-    spark: SparkSession, path: str, build: Callable[[], tuple[DataFrame, Lookup]], request: str = ""
+    spark: SparkSession,
+    path: str,
+    build: Callable[[], tuple[DataFrame, Lookup]],
+    request: str = "",
+    inputs: Sequence[str] = (),
 ) -> DataFrame:
     """Read the rows of ``request`` below ``path``; build (rows and registry) and write them first if they are not there."""
     table = publish_if_absent(
-        spark, path, ENRICHED_SCHEMA, lambda folder: _write(build, folder), request
+        spark, path, ENRICHED_SCHEMA, lambda folder: _write(build, folder), request, inputs
     )
     return table.withColumnsRenamed(ENRICHED_COLUMNS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,8 +38,9 @@ def build_mart_if_absent(
     build: Callable[[], DataFrame],
     request: str = "",
     check: Callable[[], object] | None = None,
+    inputs: Sequence[str] = (),
 ) -> DataFrame:
-    """Read the mart of ``request`` below ``path``; build and write it first if it is not there.
+    """Read the mart of ``request`` below ``path``; build and write it first if it is not there or its ``inputs`` changed.
 
     ``check`` runs after the write; what it raises leaves the mart unpublished.
     """
@@ -49,4 +50,4 @@ def build_mart_if_absent(
         if check is not None:
             check()
 
-    return publish_if_absent(spark, path, MART_SCHEMA, write, request)
+    return publish_if_absent(spark, path, MART_SCHEMA, write, request, inputs)
