@@ -216,6 +216,15 @@ SELECT year, resid_code, work_code, mode, count(*) AS n_obs, sum(weight) AS flow
 FROM labelled GROUP BY ALL
 """
 
+# the mart of the survey rows as corrected: weights of mode code 3 raised, homes of one commune withdrawn
+CORRECTED = """
+SELECT year, resid_code, work_code, mode, count(*) AS n_obs,
+       sum(weight + CASE WHEN mode_code = '3' THEN 1 ELSE 0 END) AS flow,
+       resid_name, resid_epci, work_name, work_epci
+FROM labelled WHERE resid_code IS DISTINCT FROM '7' AND year IS NOT NULL
+GROUP BY year, resid_code, work_code, mode, resid_name, resid_epci, work_name, work_epci
+"""
+
 SHARE_LABEL = (
     f"'Part modale : ' || {_pct('share')} || ' % ' || chr(10) || 'Trajets : ' || "
     f"{_num('flow')} || ' / ' || {_num('total')}"
@@ -264,6 +273,9 @@ UNION ALL SELECT 'code', 'Polygon', count(*) FROM registry WHERE code::INT % 6 =
 , mart AS ({MART})
 SELECT * FROM mart WHERE year = {YEAR} AND resid_epci = '{EPCI}' AND work_epci = '{EPCI}'""",
     "mart_build_if_absent": MART,
+    "mart_corrected": CORRECTED,
+    "mart_corrected_compacted": CORRECTED,
+    "mart_as_first_published": f"SELECT * FROM ({MART}) WHERE year IS NOT NULL",
     "enriched_roundtrip": "SELECT * FROM labelled",
     "enriched_pruned_scan": f"""
 SELECT * FROM labelled WHERE year = {YEAR} AND resid_epci = '{EPCI}' AND work_epci = '{EPCI}'""",

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navette.functions.labels import legend_label
 from navette.functions.modes import MODE_LABELS, recode_mode
-from navette.operators import classify, editions, flows, od, ranking, reconcile, residency, shares
+from navette.operators import classify, corrections, editions, flows, od, ranking, reconcile, residency, shares
 from navette.plans import ingest, reports
 from navette.plans.census import Census
+from navette.sources import corrections as stored
 from navette.sources import archive, delimited, enriched, geojson, mart, registry
 
 # The selection of the step-by-step analysis.
@@ -226,6 +228,51 @@ def mart_build_if_absent(census: Census) -> DataFrame:
     return mart.build_mart_if_absent(census.spark, path, unwanted)
 
 
+def _stored_corrections(census: Census) -> str:
+    """Year by year the mart as first published, then two corrections: weights of one mode raised, homes of one commune withdrawn."""
+
+    def write(path: str) -> None:
+        spark, registry = census.spark, census.registry()
+        rows = spark.read.parquet(census.written("survey_rows", lambda p: census.flux_with_mode().write.partitionBy("year").parquet(p)))
+        old = F.col("mode_code") == "3"
+        gone = F.coalesce(F.col("resid_code") == "7", F.lit(False))
+        raised = rows.where(old).withColumn("weight", F.col("weight") + 1)
+        left = rows.where(gone & ~old).unionByName(raised.where(gone))
+        first = corrections.correction(rows.where(old), raised, registry)
+        second = corrections.correction(left, None, registry)
+        for year in census.years():
+            if year is not None:
+                of = F.col("year") == year
+                stored.publish_base(spark, path, year, lambda of=of: census.stored_mart().where(of))
+                stored.publish_correction(spark, path, year, 1, lambda of=of: first.where(of))
+                stored.publish_correction(spark, path, year, 2, lambda of=of: second.where(of))
+
+    return census.written("corrected_mart", write)
+
+
+def _corrected_years(census: Census, read) -> DataFrame:
+    path = _stored_corrections(census)
+    return reduce(DataFrame.unionByName, [read(census.spark, path, y) for y in census.years() if y is not None])
+
+
+@query
+def mart_corrected(census: Census) -> DataFrame:
+    """Every year with its corrections added as it is read."""
+    return _corrected_years(census, stored.read_corrected)
+
+
+@query
+def mart_corrected_compacted(census: Census) -> DataFrame:
+    """Every year written again with its corrections in it."""
+    return _corrected_years(census, stored.compact)
+
+
+@query
+def mart_as_first_published(census: Census) -> DataFrame:
+    """Every year as it was before its corrections."""
+    return _corrected_years(census, lambda spark, path, year: stored.read_corrected(spark, path, year, upto=0))
+
+
 def _enriched(census: Census) -> DataFrame:
     def write(path: str) -> None:
         rows = flows.label_ends(census.flux_with_mode(), census.registry())

@@ -102,6 +102,16 @@ def rows_published(spark: SparkSession, path: str, request: str = "") -> int | N
     return receipt["rows"] if receipt else None
 
 
+def published_requests(
+    spark: SparkSession, path: str, which: Callable[[str], bool] = lambda request: True
+) -> dict[str, str]:
+    """The folder readers take for each chosen request that has a whole table at ``path``."""
+    receipts = [r for r in _receipts(spark, path) if which(r["request"])]
+    of = {r["request"]: [x for x in receipts if x["request"] == r["request"]] for r in receipts}
+    won = {request: _winner(spark, mine) for request, mine in of.items()}
+    return {request: receipt["folder"] for request, receipt in won.items() if receipt}
+
+
 def lost_files(spark: SparkSession, path: str, request: str = "") -> DataFrame:
     """(attempt, path, length) of files that attempts at ``request`` wrote and that are gone or have another size."""
     schema = "attempt STRING, path STRING, length BIGINT"
@@ -156,11 +166,7 @@ def remove_unused(spark: SparkSession, path: str, older_than: float = KEPT_SECON
     no write takes longer than that. The receipt goes first: a table is never listed without its files. Returns the removed names.
     """
     receipts = _receipts(spark, path)
-    used = set()
-    for request in {r["request"] for r in receipts}:
-        winner = _winner(spark, [r for r in receipts if r["request"] == request])
-        if winner:
-            used.add(winner["attempt"])
+    used = {folder.rsplit("/", 1)[1] for folder in published_requests(spark, path).values()}
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
