@@ -6,10 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-# The words of the share labels, and what stands for a missing value.
-SHARE_WORDS = "Part modale :"
-TRIPS_WORDS = "Trajets :"
-PERCENT = "%"
+# The labels of a share over two lines, and what stands for a missing value.
+SHARE_LABEL = "Part modale : %s %% \nTrajets : %s / %s"
+OD_SHARE_LABEL = "%s \nPart modale : %s %%\nTrajets : %s / %s"
 MISSING_TEXT = "NA"
 
 
@@ -24,31 +23,14 @@ def number_text(value: Column, digits: int = 0) -> Column:
 
 
 def share_label(part: Column, total: Column, share: Column) -> Column:
-    """``Part modale : p % / Trajets : n / t`` over two lines."""
-    return F.concat_ws(
-        " ",
-        F.lit(SHARE_WORDS),
-        number_text(share * 100, 1),
-        F.lit(PERCENT),
-        F.lit("\n" + TRIPS_WORDS),
-        number_text(part),
-        F.lit("/"),
-        number_text(total),
-    )
+    """Share in percent, then trips out of all trips."""
+    return F.format_string(SHARE_LABEL, number_text(share * 100, 1), number_text(part), number_text(total))
 
 
 def od_share_label(mode: Column, part: Column, total: Column, share: Column) -> Column:
     """The matrix form of the label: the mode first, then share and trips."""
-    return F.concat_ws(
-        " ",
-        F.coalesce(mode, F.lit(MISSING_TEXT)),
-        F.lit("\n" + SHARE_WORDS),
-        number_text(share * 100, 1),
-        F.lit(PERCENT + "\n" + TRIPS_WORDS),
-        number_text(part),
-        F.lit("/"),
-        number_text(total),
-    )
+    shown = F.coalesce(mode, F.lit(MISSING_TEXT))
+    return F.format_string(OD_SHARE_LABEL, shown, number_text(share * 100, 1), number_text(part), number_text(total))
 
 
 def legend_label(value: Column) -> Column:
