@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,10 @@ from navette.sources.shared import fresh_path
 
 #: Bytes of text a kernel takes at once; a longer document is a slice of its own.
 SLICE_BYTES = 2 << 20
+#: The same for kernels that hold many 64-bit numbers for each byte.
+SMALL_SLICE_BYTES = 512 << 10
+#: Bytes of rows that a written step hands to Python at once, rather than 10,000 rows of any length.
+BATCH_BYTES = 8 << 20
 
 WORD_BYTES = "[^\\x20\\x09-\\x0D]+"
 
@@ -51,7 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _steps(name: str, base: int, n: int) -> np.ndarray:
     have = _STEPS.get(name)
     if have is None or len(have) < n:
-        have = np.full(max(n, SLICE_BYTES + 65536), base, np.uint64)
+        have = np.full(max(n, SMALL_SLICE_BYTES) + 65536, base, np.uint64)
         have[0] = 1
         have = _STEPS[name] = np.multiply.accumulate(have)
     return have[:n]
@@ -121,11 +126,24 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans that run inside pass rows to Python in batches cut by bytes too; the session's setting comes back after."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame, written to the shared folder and read back, so that lost executors cost no earlier step."""
     spark, schema = frame.sparkSession, frame.schema
     path = fresh_path(spark, name)
-    frame.write.parquet(path)
+    with small_batches(spark):
+        frame.write.parquet(path)
     del frame
     release(spark)
     return spark.read.schema(schema).parquet(path)

@@ -15,8 +15,8 @@ pairs in an R-tree and before each exact comparison.
     component. Pairs within the bound are verified on whole sets, and links join components.
 4.  ``remaining_pairs``: around a centre that still has several components, classes
     outside the largest one search R-trees of the others. Blocks bound what a task holds.
-    Each search gives the candidates of the largest bounds first; their pairs are verified and joined, and searches go
-    on with more candidates until none is left out, so every pair within the bound is tried or already joined.
+    Each search gives the candidates of the largest bounds first; their pairs are verified and joined. Classes that had
+    more search again for more until none is left out, so every pair within the bound is tried or already joined.
 5.  The components of all links are the result.
 
 In each step links join components, not classes, and each task keeps a spanning forest of its links. Two classes in
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from navette.llm.common import as_blocks, components, forest, mix, slices, summed, utf8, written
+from navette.llm.common import SMALL_SLICE_BYTES, as_blocks, components, forest, mix, slices, summed, utf8, written
 from navette.llm.count_tree import FINE_GROUPS, GROUPS, LARGE, CountTree, count_vectors, least_overlap, overlap_bound
 from navette.llm.shingles import row_sums, shingle_sets
 
@@ -81,7 +81,7 @@ def profiles(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         cells = np.zeros(CELLS, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_SLICE_BYTES):
             hashes, bounds = shingle_sets(*utf8(batch.column("text")))
             cells += np.bincount((hashes % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
             n = np.diff(bounds)
@@ -115,7 +115,7 @@ def shared_tokens(docs: DataFrame, cells: np.ndarray, percent: int, spread: int
 
     def run(batches):
         grade = np.array([int(c).bit_length() for c in cells], np.uint64) << np.uint64(58)
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_SLICE_BYTES):
             hashes, bounds = shingle_sets(*utf8(batch.column("text")))
             cls = _classes(hashes, bounds)
             size = np.diff(bounds)
@@ -181,7 +181,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, fine: boo
         known = F.broadcast(known)
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_SLICE_BYTES):
             hashes, bounds = shingle_sets(*utf8(batch.column("text")))
             cls = pa.array(_classes(hashes, bounds).view(np.int64))
             # the class asked for; documents without a key are asked for none and tell theirs
@@ -258,11 +258,14 @@ def star_pairs(groups: DataFrame, found: DataFrame, after: int, upto: int) -> Da
 
 
 def remaining_pairs(
-    groups: DataFrame, classes: DataFrame, found: DataFrame, percent: int, block: int = BLOCK, most: int = 1 << 62
+    groups: DataFrame, classes: DataFrame, found: DataFrame, percent: int, block: int = BLOCK, most: int = 1 << 62,
+    again: DataFrame | None = None,
 ) -> DataFrame:
-    """(a, b, cut): pairs (a < b) of different components that share a centre and stay within the bound.
+    """(a, b, centre): pairs (a < b) of different components that share a centre and stay within the bound.
 
-    A class gets ``most`` candidates from a tree, those with the most overlap to spare; ``cut`` tells where there were more.
+    A class gets ``most`` candidates from a tree, those with the most overlap to spare. Where there were more, a row
+    without b tells the class (a) and its centre. ``again`` has such (centre, cls) of the search before: only they ask
+    then, as a pair not given before has one of them.
     """
     placed = groups.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left")
     placed = placed.select("centre", "cls", F.coalesce("component", "cls").alias("comp"))
@@ -274,10 +277,15 @@ def remaining_pairs(
     )
     spread = spread.where("parts > 1").select("centre", "largest", F.ceil(F.col("total") / block).cast("int").alias("n_blocks"))
     rows = placed.join(spread, "centre")
+    if again is None:
+        asking = rows.where("comp <> largest")
+    else:
+        asking = rows.join(again, ["centre", "cls"], "left_semi")
+        rows = rows.join(again.select("centre").distinct(), "centre", "left_semi")
     indexed = rows.select(
         "centre", F.expr("int(pmod(xxhash64(cls), n_blocks))").alias("piece"), F.lit(0).alias("asks"), "cls", "comp"
     )
-    asking = rows.where("comp <> largest").select(
+    asking = asking.select(
         "centre", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("piece"), F.lit(1).alias("asks"), "cls", "comp"
     )
     sized = classes.select("cls", "n", "vec")
@@ -307,12 +315,14 @@ def remaining_pairs(
                 hits, spare = held["tree"].search(vec[i], int(n[i]), percent, finer[i])
                 other = held["comp"][hits] != comp[i]
                 hits, spare = held["cls"][hits[other]], spare[other]
-                cut.append(np.full(min(len(hits), most), len(hits) > most))
                 if len(hits) > most:
+                    cut.append(int(cls[i]))
                     hits = hits[np.lexsort((hits, -spare))[:most]]
                 a.append(np.minimum(hits, cls[i]))
                 b.append(np.maximum(hits, cls[i]))
-            return np.concatenate(a), np.concatenate(b), np.concatenate(cut)
+            more = [cut, [None] * len(cut), [group[0]] * len(cut)]
+            pairs = [np.concatenate(a), np.concatenate(b), pa.nulls(sum(map(len, a)), pa.int64())]
+            return [pa.concat_arrays([pa.array(x), pa.array(y, pa.int64())]) for x, y in zip(pairs, more, strict=True)]
 
         for batch in batches:
             if not batch.num_rows:
@@ -329,10 +339,9 @@ def remaining_pairs(
                 if got is not None:
                     out.append(got)
             if out:
-                a, b, cut = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cut)], ["a", "b", "cut"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*out, strict=True)], ["a", "b", "centre"])
 
-    return dealt.mapInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    return dealt.mapInArrow(run, "a long, b long, centre long").distinct()
 
 
 def joined_components(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -370,12 +379,13 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", p
         tried.append(pairs)
         found = written(joined_components(found, verified(docs, classes, pairs, percent)), "ngram-components")
         after = upto
-    most, cut = NEAREST, True
+    most, again, cut = NEAREST, None, True
     while cut:
-        rest = written(remaining_pairs(groups, classes, found, percent, most=most), "ngram-rest")
-        cut = not rest.where("cut").isEmpty()
+        rest = written(remaining_pairs(groups, classes, found, percent, most=most, again=again), "ngram-rest")
+        again = rest.where("b is null").select("centre", F.col("a").alias("cls"))
+        cut = not again.isEmpty()
         known = reduce(DataFrame.union, tried).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = written(rest.select("a", "b").join(known, ["a", "b"], "left_anti"), "ngram-untried")
+        rest = written(rest.where("b is not null").select("a", "b").join(known, ["a", "b"], "left_anti"), "ngram-untried")
         tried.append(rest)
         links = rest if rest.isEmpty() else verified(docs, classes, rest, percent)
         if not links.isEmpty():
@@ -420,7 +430,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     def class_of(texts):
         out = [pd.Series([], dtype="Int64")]
         whole = pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.string())], ["text"])
-        for piece in slices([whole]):
+        for piece in slices([whole], most=SMALL_SLICE_BYTES):
             hashes, bounds = shingle_sets(*utf8(piece.column("text")))
             cls = _classes(hashes, bounds)
             out.append(pd.Series(cls.view(np.int64)).where(np.diff(bounds) > 0).astype("Int64"))

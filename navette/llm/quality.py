@@ -17,12 +17,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navette.llm.common import ByteHash, as_blocks, lowered, mix, slices, summed, utf8, words, written
+from navette.llm.common import SMALL_SLICE_BYTES, ByteHash, as_blocks, lowered, mix, slices, summed, utf8, words, written
 
 N_FEATURES = 22
 #: Random Fourier features; with the constant, the side of the ridge system.
@@ -110,7 +109,7 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_SLICE_BYTES):
             rows = statistics(*utf8(batch.column("text")))
             stats = pa.array([r.tobytes() for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), stats], ["doc_id", "stats"])
@@ -244,13 +243,14 @@ def scored(stats: DataFrame, model: QualityModel) -> DataFrame:
 def quality_score(model: QualityModel, text: Column) -> Column:
     """The score of a text column."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    # on Arrow columns: a series would hold each text as an object once more
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         out = [np.zeros(0)]
-        batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.string())], ["text"])
-        for piece in slices([batch]):
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        for piece in slices([batch], most=SMALL_SLICE_BYTES):
             out.append(model.score(statistics(*utf8(piece.column("text")))))
-        return pd.Series(np.concatenate(out))
+        return pa.array(np.concatenate(out))
 
     return score(text.cast("string"))
 

@@ -103,6 +103,44 @@ def test_ngram_remaining_pairs_in_small_blocks(spark):
     assert linked and linked <= got
 
 
+def test_only_cut_classes_search_again(spark):
+    """Eight near copies and far ones around one centre: the searches after the first ask for the cut classes only."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.append(base[1:], rng.integers(0, 2**63, 1, dtype=np.uint64))) for _ in range(8)]
+    sets += [np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64)) for _ in range(20)]
+    rows = [(i, i, len(s), bytearray(count_vectors(s, np.array([0, len(s)]))[0].tobytes())) for i, s in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "cls long, rep long, n long, vec binary")
+    groups = spark.createDataFrame([(0, i, 1) for i in range(28)], "centre long, cls long, place int")
+    none = spark.createDataFrame([], "node long, component long")
+    rest = ngram_join.remaining_pairs(groups, classes, none, 75, block=9, most=1)
+    first, cut = {(r.a, r.b) for r in rest.where("b is not null").collect()}, rest.where("b is null")
+    assert {(r.a, r.centre) for r in cut.collect()} <= {(i, 0) for i in range(8)}
+    again = cut.selectExpr("centre", "a AS cls")
+    more = ngram_join.remaining_pairs(groups, classes, none, 75, block=9, most=64, again=again).collect()
+    second = {(r.a, r.b) for r in more}
+    linked = {(a, b) for a in range(8) for b in range(a + 1, 8)}
+    assert linked <= first | second and not linked <= first
+    asked = {r.cls for r in again.collect()}
+    assert asked and all(a in asked or b in asked for a, b in second)
+    nobody = spark.createDataFrame([], "centre long, cls long")
+    assert ngram_join.remaining_pairs(groups, classes, none, 75, again=nobody).isEmpty()
+
+
+def test_written_steps_hand_over_batches_cut_by_bytes(spark):
+    texts = spark.range(0, 400, 1, 1).selectExpr("repeat(char(97 + id % 26), 100000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield type(batch).from_pydict({"rows": [batch.num_rows], "size": [batch.nbytes]})
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    found = common.written(texts.mapInArrow(sizes, "rows long, size long"), "test-batches").collect()
+    assert sum(r.rows for r in found) == 400 and max(r.size for r in found) <= common.BATCH_BYTES + (1 << 20)
+    assert spark.conf.get(setting) == before
+
+
 def test_ngram_dealt_tokens_lose_nothing(spark):
     texts = texts_with_copies()
     docs = frame(spark, texts).select("doc_id", "text")
