@@ -23,12 +23,13 @@ def group_places(registry: Lookup) -> Lookup:
     return Lookup.of(groups.select("epci", place.alias("place")), "epci")
 
 
-def write_enriched(labelled: DataFrame, path: str, registry: Lookup, files: int | None = None) -> None:
-    """Write by year, clustered on both groups at once.
+def dealt(labelled: DataFrame, registry: Lookup, files: int | None = None) -> DataFrame:
+    """The rows in the order of the files, with their key.
 
     The key interleaves the bits of the places of the two groups, so a file covers few homes *and* few
     work places, and a request for either end skips most files by their statistics. A hash of the row after the key splits a
-    pair of groups that holds many rows over several files. The range partitioning reads ``labelled`` twice
+    pair of groups that holds many rows over several files. Labels follow from the codes, and the groups are in the
+    key, so neither is hashed or compared again. The range partitioning reads ``labelled`` twice
     (a sample first), so callers pass stored rows.
     """
     rows = labelled.select(*ENRICHED_COLUMNS.values())
@@ -36,11 +37,17 @@ def write_enriched(labelled: DataFrame, path: str, registry: Lookup, files: int
     for end in ("resid", "work"):
         rows = places.attach(rows, f"{end}_epci", {"place": f"__{end}"})
     ends = [F.coalesce(F.col(f"__{end}"), F.lit(0)) for end in ("resid", "work")]
-    keyed = rows.withColumns({"__key": z_value(*ends), "__spread": F.xxhash64(*ENRICHED_COLUMNS.values())})
+    spread = F.xxhash64("resid_code", "work_code", "weight", "mode_code")
+    keyed = rows.withColumns({"__key": z_value(*ends), "__spread": spread}).drop("__resid", "__work")
     ranges = ["year", "__key", "__spread"]
-    dealt = keyed.repartitionByRange(files, *ranges) if files else keyed.repartitionByRange(*ranges)
+    ranged = keyed.repartitionByRange(files, *ranges) if files else keyed.repartitionByRange(*ranges)
+    return ranged.sortWithinPartitions("year", "__key")
+
+
+def write_enriched(labelled: DataFrame, path: str, registry: Lookup, files: int | None = None) -> None:
+    """Write by year, clustered on both groups at once."""
     (
-        dealt.sortWithinPartitions("year", "__key", "resid_epci", "work_epci")
+        dealt(labelled, registry, files)
         .select(*ENRICHED_COLUMNS.values())
         .withColumnsRenamed({ours: shown for shown, ours in ENRICHED_COLUMNS.items()})
         .write.mode("overwrite")

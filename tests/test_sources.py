@@ -415,3 +415,22 @@ def test_few_files_overlap_one_group_on_either_end(spark, tmp_path):
         assert either <= 0.75 * len(normal)
     found = enriched.read_enriched(spark, path)
     assert found.count() == 2 * 64 * 64 * 6
+
+
+def test_enriched_rows_are_ordered_by_key_and_hashed_by_codes_alone(spark):
+    from navette.operators.lookup import Lookup
+    from navette.sources import enriched
+
+    table = Lookup.of(spark.createDataFrame([(f"c{i}", f"n{i}", f"g{i // 2}") for i in range(8)], "code STRING, name STRING, epci STRING"), "code")
+    flux = spark.range(640).selectExpr(
+        "concat('c', id % 9) AS resid_code", "concat('c', cast(id / 9 as int) % 9) AS work_code", "double(id % 50) AS weight",
+        "'1' AS mode_code", "int(2017 + id % 2) AS year", "'Aucun' AS mode",
+    )
+    labelled = flows.label_ends(flux, table)
+    found = enriched.dealt(labelled, table, files=4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "epci" not in plan.split("xxhash64(")[1].split(")")[0] and "epci" not in plan.split("Sort [")[1].split("]")[0]
+    parts = found.selectExpr("spark_partition_id() AS part", "year", "__key").collect()
+    runs = [[(r.year, r["__key"]) for r in parts if r.part == part] for part in range(4)]
+    assert all(run == sorted(run) for run in runs) and sum(runs, []) == sorted(sum(runs, []))
+    assert sorted(map(str, found.select(labelled.columns).collect())) == sorted(map(str, labelled.collect()))
