@@ -12,6 +12,9 @@ from navette.operators.lookup import Lookup
 from navette.schemas import ENRICHED_COLUMNS, ENRICHED_SCHEMA
 from navette.sources.published import publish_if_absent
 
+#: Rows sampled for each file; with Spark's 100 the bounds of the files vary from run to run.
+FILE_SAMPLE = 600
+
 
 def group_places(registry: Lookup) -> Lookup:
     """Each group with its place in the order of names, spread over the numbers below 2^16.
@@ -45,15 +48,16 @@ def dealt(labelled: DataFrame, registry: Lookup, files: int | None = None) -> Da
 
 
 def write_enriched(labelled: DataFrame, path: str, registry: Lookup, files: int | None = None) -> None:
-    """Write by year, clustered on both groups at once."""
-    (
-        dealt(labelled, registry, files)
-        .select(*ENRICHED_COLUMNS.values())
-        .withColumnsRenamed({ours: shown for shown, ours in ENRICHED_COLUMNS.items()})
-        .write.mode("overwrite")
-        .partitionBy("annee")
-        .parquet(path)
-    )
+    """Write by year, clustered on both groups at once; a larger sample than usual sets the bounds of the files."""
+    shown = dealt(labelled, registry, files).select(*ENRICHED_COLUMNS.values())
+    shown = shown.withColumnsRenamed({ours: name for name, ours in ENRICHED_COLUMNS.items()})
+    conf, setting = labelled.sparkSession.conf, "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = conf.get(setting)
+    conf.set(setting, str(FILE_SAMPLE))
+    try:
+        shown.write.mode("overwrite").partitionBy("annee").parquet(path)
+    finally:
+        conf.set(setting, before)
 
 
 def read_enriched(spark: SparkSession, path: str) -> DataFrame:
